@@ -5,9 +5,54 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from .common import table
+from .mixing import mixed
+from .quality import selected
+from .secrets import secret_scan
 from .simhash import simhash_groups
+from .spotsigs import edited_likeness
+from .substrings import repeats_removed
+from .tokenfiles import token_files
+
+
+def vocabulary() -> str:
+    """The tokenizer file of the token queries: the same path on every executor."""
+    import public_tokenizers
+
+    return str(public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def quality_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, weight)`` for the mix, from the ratings: good 2, poor 0.5, toxic 0.25; the unrated have none."""
+    weight = F.when(F.col("toxic") > 0, 0.25).when(F.col("quality") > 0, 2.0).when(F.col("quality") <= 0, 0.5)
+    return table(spark, sf_dir, "labels").select("doc_id", weight.alias("weight"))
+
+
+def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_files(spark, table(spark, sf_dir, "documents"), vocabulary())
+
+
+def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op6_quality_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return selected(docs, table(spark, sf_dir, "labels")).drop("text")
+
+
+def op7_weighted_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixed(table(spark, sf_dir, "documents"), quality_weights(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+
+
+def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan(table(spark, sf_dir, "documents")).drop("blob")
+
+
+def op9_repeats_removed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats_removed(table(spark, sf_dir, "documents"))
 
 
 def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,7 +60,64 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_token_files": op1_token_files,
+    "op2_spotsigs": op2_spotsigs,
+    "op6_quality_selection": op6_quality_selection,
+    "op7_weighted_mix": op7_weighted_mix,
+    "op8_secret_scan": op8_secret_scan,
+    "op9_repeats_removed": op9_repeats_removed,
     "op10_simhash_groups": op10_simhash_groups,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+_OP7 = r"""
+WITH rated AS (
+  SELECT doc_id, max(CASE WHEN toxic > 0 THEN 0.25 WHEN quality > 0 THEN 2.0 WHEN quality <= 0 THEN 0.5 END)::DOUBLE AS weight FROM labels GROUP BY doc_id
+), r AS (
+  SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '[^\x20\x09-\x0D]+'))::BIGINT AS size,
+    -ln((('0x' || substr(md5(coalesce(d.doc_id::VARCHAR, '') || '|' || md5(coalesce(d.text, '')) || '|20240'), 1, 13))::BIGINT + 0.5) / 4503599627370496.0)
+      / CASE WHEN w.weight > 0 THEN w.weight ELSE 1.0 END AS key
+  FROM documents d LEFT JOIN rated w USING (doc_id)
+), per AS (
+  SELECT source, sum(size)::BIGINT AS source_size, ([5.0, 2.0, 1.0]::DOUBLE[])[(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS w, 3.0::DOUBLE * sum(size)::BIGINT AS cap
+  FROM r GROUP BY source
+), f AS (
+  SELECT *, ((SELECT sum(source_size) FROM per) - coalesce(sum(cap) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
+    / sum(w) OVER (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS level
+  FROM per
+), t AS (
+  SELECT source, source_size, coalesce(least(cap, (SELECT level FROM f WHERE cap > level * w ORDER BY cap / w, source NULLS LAST LIMIT 1) * w), cap) AS target FROM f
+), p AS (
+  SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS epochs FROM t
+), o AS (
+  SELECT r.*, p.source_size, p.target, p.epochs, round(p.target - p.epochs * p.source_size)::BIGINT AS rest,
+    coalesce(sum(size) OVER (PARTITION BY r.source ORDER BY key, doc_id NULLS FIRST, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS ahead
+  FROM r JOIN p ON r.source IS NOT DISTINCT FROM p.source
+)
+SELECT doc_id, size, source_size, target, (epochs * size + greatest(0, least(size, rest - ahead)))::BIGINT AS taken FROM o
+"""
+
+
+_OP9 = r"""
+WITH d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+), w AS (
+  SELECT rid, doc_id, words, unnest(range(1, len(words) - 48)) AS pos FROM d WHERE len(words) >= 50 AND doc_id IS NOT NULL
+), h AS (
+  SELECT rid, doc_id, pos, array_to_string(words[pos:pos + 49], ' ') AS win FROM w
+), o AS (
+  SELECT win, min(doc_id) AS lo FROM h GROUP BY win HAVING min(doc_id) < max(doc_id)
+), c AS (
+  SELECT DISTINCT rid, unnest(range(pos, pos + 50)) AS pos FROM h JOIN o USING (win) WHERE doc_id > lo
+), g AS (
+  SELECT rid, list(pos) AS gone FROM c GROUP BY rid
+), k AS (
+  SELECT d.doc_id, d.words, g.gone, list_filter(list_transform(range(1, len(d.words) + 1), lambda i: CASE WHEN g.gone IS NULL OR NOT list_contains(g.gone, i) THEN d.words[i] END), lambda x: x IS NOT NULL) AS kept
+  FROM d LEFT JOIN g USING (rid)
+)
+SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
+"""
+
+ORACLE_SQL: dict[str, str] = {
+    "op7_weighted_mix": _OP7,
+    "op9_repeats_removed": _OP9,
+}
