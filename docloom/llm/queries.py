@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import table
+from .decontaminate import leaks
+from .linededup import boilerplate_removed
 from .mixing import mixed
 from .quality import selected
 from .secrets import secret_scan
@@ -38,6 +40,15 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
+
+
+def op5_line_spread(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = boilerplate_removed(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return rows.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.col("n_removed").cast("bigint").alias("n_removed"), F.sha2(F.coalesce("kept", F.lit("")).cast("binary"), 256).alias("kept_sha256"))
+
+
 def op6_quality_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return selected(docs, table(spark, sf_dir, "labels")).drop("text")
@@ -62,6 +73,8 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_spotsigs": op2_spotsigs,
+    "op4_benchmark_leaks": op4_benchmark_leaks,
+    "op5_line_spread": op5_line_spread,
     "op6_quality_selection": op6_quality_selection,
     "op7_weighted_mix": op7_weighted_mix,
     "op8_secret_scan": op8_secret_scan,
@@ -69,6 +82,16 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_groups": op10_simhash_groups,
 }
 
+_OP5 = r"""
+WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
+l AS (SELECT rid, coalesce('=' || source, '') AS site, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
+w AS (SELECT trim(line) AS line FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 10),
+g AS (SELECT rid, count(*) AS n FROM l JOIN w ON trim(l.line) = w.line GROUP BY rid),
+k AS (SELECT rid, string_agg(l.line, chr(10) ORDER BY pos) AS kept FROM l LEFT JOIN w ON trim(l.line) = w.line WHERE w.line IS NULL GROUP BY rid)
+SELECT d.doc_id, coalesce(len(d.lines), 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
+FROM d LEFT JOIN g USING (rid) LEFT JOIN k USING (rid)
+"""
+
 _OP7 = r"""
 WITH rated AS (
   SELECT doc_id, max(CASE WHEN toxic > 0 THEN 0.25 WHEN quality > 0 THEN 2.0 WHEN quality <= 0 THEN 0.5 END)::DOUBLE AS weight FROM labels GROUP BY doc_id
@@ -118,6 +141,7 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(kept))::BIGINT A
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op5_line_spread": _OP5,
     "op7_weighted_mix": _OP7,
     "op9_repeats_removed": _OP9,
 }
