@@ -156,7 +156,7 @@ def scored(docs: DataFrame, model: OrdinalModel | None, wanted: int = 2) -> Data
     return rows.select(*[rows[c] for c in docs.columns], "_score.expected_grade", "_score.tail_probability")
 
 
-def selected(docs: DataFrame, labels: DataFrame, least: float = 0.5, sample: int = 12_000) -> DataFrame:
+def selected(docs: DataFrame, labels: DataFrame, least: float = 0.4, sample: int = 12_000) -> DataFrame:
     """The rows of ``docs`` whose probability of the best grade is ``least`` or more, with both scores.
 
     Rows without words are rejected.  Null ids are scored like others.  Without ratings of two grades nothing is rejected, and

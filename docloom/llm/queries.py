@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import leaks
+from .licenses import OVERRULED, RULES, SENTENCES, license_scan, normalised, rule_pattern
 from .linededup import boilerplate_removed
 from .mixing import mixed
 from .quality import selected
@@ -40,6 +41,10 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan(table(spark, sf_dir, "documents"))
+
+
 def op4_benchmark_leaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
@@ -73,6 +78,7 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_spotsigs": op2_spotsigs,
+    "op3_license_scan": op3_license_scan,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_line_spread": op5_line_spread,
     "op6_quality_selection": op6_quality_selection,
@@ -82,6 +88,27 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_simhash_groups": op10_simhash_groups,
 }
 
+_OP3 = r"""
+WITH known(id, sentence) AS (VALUES %(known)s), rules(license, rule) AS (VALUES %(rules)s),
+m AS (
+  SELECT row_number() OVER () AS rid, doc_id, way, regexp_replace(lower(text), CASE way WHEN 0 THEN '[.;:!?]+[ \t\r\n]+|[.;:!?]+\z|\n[ \t\r]*\n' ELSE '[.;:!?]+[ \t\r\n]+|[.;:!?]+\z|\n[ \t\r]*\n|\n' END, chr(1), 'g') AS text
+  FROM documents CROSS JOIN (VALUES (0), (1)) ways(way)
+), n AS (
+  SELECT rid, doc_id, way, string_split(regexp_replace(regexp_replace(text, '[^a-z0-9\x01]+', ' ', 'g'), ' *\x01 *', chr(1), 'g'), chr(1)) AS parts FROM m
+), s AS (
+  SELECT rid, doc_id, trim(unnest(parts)) AS sentence, generate_subscripts(parts, 1) AS pos FROM n
+), f AS (
+  SELECT rid, doc_id, string_agg(id, ' ' ORDER BY pos) AS sentences FROM s JOIN known USING (sentence) GROUP BY rid, doc_id
+), l AS (
+  SELECT doc_id, license, max(sentences) AS sentences FROM f JOIN rules ON regexp_matches(f.sentences, rules.rule) GROUP BY doc_id, license
+)
+SELECT doc_id, license, sentences FROM l WHERE NOT EXISTS (SELECT 1 FROM l AS o WHERE o.doc_id = l.doc_id AND (l.license, o.license) IN (VALUES %(over)s))
+""" % {
+    "known": ", ".join(f"('{i}', '{normalised(x)}')" for i, x in SENTENCES.items()),
+    "rules": ", ".join(f"('{n}', '{rule_pattern(ids)}')" for n, ids in RULES),
+    "over": ", ".join(f"('{a}', '{b}')" for a, b in OVERRULED.items()),
+}
+
 _OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT rid, coalesce('=' || source, '') AS site, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
@@ -141,6 +168,7 @@ SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(kept))::BIGINT A
 """
 
 ORACLE_SQL: dict[str, str] = {
+    "op3_license_scan": _OP3,
     "op5_line_spread": _OP5,
     "op7_weighted_mix": _OP7,
     "op9_repeats_removed": _OP9,
