@@ -6,9 +6,11 @@ Whatever meets at one value is within four bits of each other, so a group is a c
 the smallest one keeps every connection without emitting pairs, and needs no pass over candidate pairs.  A group
 holds at most 1 + 64 + 2016 distinct fingerprints, however many documents carry them.
 
-The full ball has 2,081 values.  A lossless first step keeps it small: at distance four or less, one 32-bit half differs
-in two bits at most, so the two fingerprints meet on that half's own ball of radius one (33 values).  Only
-fingerprints that share such a half value emit the rest of the ball from there, with the flips that remain.
+The full ball has 2,081 values.  A lossless first step keeps it small: of the 64 bits in three blocks, some two blocks
+hold at most two of four differing bits, so the two fingerprints meet in those 42 or 43 bits' own ball of radius one.  A
+fingerprint that meets no other there is done.  Few that meet are verified in place, and a pair's link is
+emitted on one of its keys.  Where many meet, each emits the rest of the ball from there: the flips that remain, in the block
+left out.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, release, stored
+from .common import checkpointed, components, release, stored, width
 
 _SLICE = 1 << 16
 
@@ -59,35 +61,72 @@ def fingerprints(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_c
     return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, fp bigint").withColumnRenamed("id", id_col)
 
 
+#: The three blocks that are left out in turn: first bit, bits.
+_BLOCKS = ((0, 22), (22, 21), (43, 21))
+_INSIDE = [((1 << 64) - 1) & ~(((1 << bits) - 1) << at) for at, bits in _BLOCKS]
+#: Up to so many fingerprints on a key are compared in place, each with those before it; more emit the rest of the ball.
+FRAME = 256
+
+
+def _bits(x: int):
+    """A column of 64 constant bits."""
+    x &= (1 << 64) - 1
+    return F.lit(str(x - (1 << 64) if x >> 63 else x)).cast("bigint")
+
+
 def _flips(bits: int, most: int) -> list[int]:
     return [sum(1 << i for i in c) for n in range(most + 1) for c in combinations(range(bits), n)]
 
 
+def _entry(table: int, mask: int):
+    key = lambda m: F.col("fp").bitwiseXOR(m).bitwiseAND(_bits(mask))
+    return lambda m: F.struct(F.lit(table).alias("table"), key(m).alias("key"), F.when(m == 0, 2).otherwise(1).alias("left"))
+
+
+def meetings(fps: DataFrame) -> DataFrame:
+    """The distinct ``fps(fp)`` on the variants where they meet others: ``(fp, table, key, left, n, b, before, linked)``.
+
+    Two fingerprints within four bits meet on some key.  ``left`` is the number of flips that the ball has left there and ``n``
+    counts a key's fingerprints; ``b`` is their smallest, ``before`` the next smaller one.  ``linked`` has
+    the smaller ones within four bits, on one key of all on which a pair meets; null where more than ``FRAME`` meet.
+    """
+    fp, tables = F.col("fp"), []
+    for n, mask in enumerate(_INSIDE):
+        flips = F.array(*[_bits(1 << i) for i in range(64) if mask >> i & 1] + [_bits(0)])
+        tables.append(F.transform(flips, _entry(n, mask)))
+    spread = fps.repartition(width(fps.sparkSession), "fp")
+    keyed = spread.select("fp", F.explode(F.concat(*tables)).alias("k")).select("fp", "k.*")
+    # Bounded by how many fingerprints fit around one value, not by the number of documents.
+    group = Window.partitionBy("table", "key")
+    met = keyed.withColumn("n", F.count("*").over(group)).where("n > 1")
+    order = group.orderBy("fp")
+    met = met.withColumns({"b": F.min("fp").over(group), "before": F.lag("fp").over(order), "smaller": F.collect_list("fp").over(order.rowsBetween(1 - FRAME, -1))})
+    inside = F.array(*[_bits(m) for m in _INSIDE])
+
+    def once(y):
+        """The links of a pair on its first table; there, on the key without a flip of the larger one or on the lesser of two keys."""
+        apart = fp.bitwiseXOR(y)
+        within = [F.bit_count(apart.bitwiseAND(_bits(m))) for m in _INSIDE]
+        first = F.when(within[0] <= 2, 0).when(within[1] <= 2, 1).otherwise(2)
+        here = apart.bitwiseAND(inside[F.col("table")])
+        key = F.when(F.bit_count(here) < 2, F.col("left") == 2).otherwise((F.col("left") == 1) & (F.col("key") < F.col("key").bitwiseXOR(here)))
+        return (F.bit_count(apart) <= 4) & (first == F.col("table")) & key
+
+    met = met.withColumn("linked", F.when(F.col("n") <= FRAME, F.filter("smaller", once))).drop("smaller")
+    return stored(met, "simhash-met")
+
+
 def links(fps: DataFrame) -> DataFrame:
-    """Star edges ``(a, b)`` that connect all of the distinct ``fps(fp)`` within four bits of each other."""
-    low = F.lit(0xFFFFFFFF).cast("bigint")
-    sides = F.array(
-        F.struct(F.lit(0).alias("side"), F.col("fp").bitwiseAND(low).alias("half"), F.shiftrightunsigned("fp", 32).alias("rest")),
-        F.struct(F.lit(1).alias("side"), F.shiftrightunsigned("fp", 32).alias("half"), F.col("fp").bitwiseAND(low).alias("rest")),
-    )
-    near = F.array(*[F.lit(m).cast("bigint") for m in _flips(32, 1)])
-    half = (
-        fps.select("fp", F.explode(sides).alias("s"))
-        .select("fp", "s.*", F.explode(near).alias("m"))
-        .select("fp", "rest", (F.col("half").bitwiseXOR(F.col("m")) + F.col("side") * F.lit(1 << 32)).alias("key"), F.when(F.col("m") == 0, 2).otherwise(1).alias("left"))
-    )
-    shared = stored(half.groupBy("key").agg(F.min("fp").alias("x"), F.max("fp").alias("y")).where("x <> y").select("key"), "simhash-keys")
-    met = half.join(shared, "key")
-    masks = {n: F.array(*[F.lit(m).cast("bigint") for m in _flips(32, n)]) for n in (1, 2)}
-    ball = met.select("fp", "rest", "key", F.explode(F.when(F.col("left") == 2, masks[2]).otherwise(masks[1])).alias("m")).select(
-        "fp",
-        F.when(F.col("key") < F.lit(1 << 32), F.col("key").bitwiseOR(F.shiftleft(F.col("rest").bitwiseXOR(F.col("m")), 32)))
-        .otherwise(F.shiftleft(F.col("key").bitwiseAND(low), 32).bitwiseOR(F.col("rest").bitwiseXOR(F.col("m"))))
-        .alias("v"),
-    )
+    """Edges ``(a, b)`` that connect all of the distinct ``fps(fp)`` within four bits of each other."""
+    fp, met = F.col("fp"), meetings(fps)
+    direct = met.where("size(linked) > 0").select(fp.alias("a"), F.explode("linked").alias("b"))
+    rest = F.array(*[F.array(*[F.array(*[_bits(m << at) for m in _flips(bits, most)]) for most in (1, 2)]) for at, bits in _BLOCKS])
+    outside = F.array(*[_bits(~m) for m in _INSIDE])
+    crowded = met.where("linked is null").select("fp", F.col("key").bitwiseOR(fp.bitwiseAND(outside[F.col("table")])).alias("v"), F.explode(rest[F.col("table")][F.col("left") - 1]).alias("m"))
+    ball = crowded.select("fp", F.col("v").bitwiseXOR(F.col("m")).alias("v"))
     # A value's group is bounded by the ball's own size, so its smallest fingerprint needs no join.
     led = ball.withColumn("b", F.min("fp").over(Window.partitionBy("v"))).where("fp <> b")
-    return led.select(F.col("fp").alias("a"), "b").distinct()
+    return direct.union(led.select(fp.alias("a"), "b")).distinct()
 
 
 def _grouped(each: DataFrame, id_col: str) -> DataFrame:
@@ -113,20 +152,60 @@ def simhash_groups(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text
     return _grouped(each, id_col).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_duplicates_removed(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs``, same columns, with one row of each group: one with the group's smallest id.
+def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``(id_col, h, class_id)`` for every row: near copies, linked at a Jaccard coefficient of ``similarity`` or more.
 
-    Of several rows with that id one stays.  Rows with a null id all stay, since nothing tells them apart.
+    The coefficient is over sets of ``shingle``-word shingles of the lowered text (fewer words: one of all).  That many edits
+    flip more than four bits of a fingerprint of shingles but hardly any of one of single words, so here texts meet by the latter
+    on the ball's keys, each with its key's smallest and next smaller fingerprint, and every pair is verified on whole
+    texts.  Equal texts are one member.  ``h`` is a hash of the text; ``class_id`` the smallest id of the class.  Rows with
+    a null id are not returned.
+    """
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("k"), F.col(text_col).alias("text"))
+    each = stored(fingerprints(rows, 1, "k", "text").select("fp", "k.*"), "texts-fp")
+    nodes = stored(each.groupBy("h", "fp").agg(F.min("id").alias("node")), "texts-nodes")
+    tops = stored(nodes.groupBy("fp").agg(F.min("node").alias("top"), F.count("*").alias("n")), "texts-tops")
+    same = nodes.join(tops.where("n > 1").select("fp", "top"), "fp").select(F.col("node").alias("a"), F.col("top").alias("b"))
+    met = meetings(tops.select("fp"))
+    near = met.select("fp", F.explode(F.array("b", "before")).alias("other")).where((F.col("other") != F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 4)).distinct()
+    across = near.join(nodes.select("fp", "node"), "fp").join(tops.select(F.col("fp").alias("other"), "top"), "other").select(F.col("node").alias("a"), F.col("top").alias("b"))
+    pairs = stored(same.union(across).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "texts-pairs")
+    release(docs.sparkSession)
+
+    def sets(batches):
+        for b in batches:
+            out = []
+            for t in b.column(1):
+                words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
+                out.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))), np.uint32)).view(np.int32))
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["node", "s"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    # Rows with equal ids but other texts are left out by the hash of the node's own text.
+    own = stored(nodes.groupBy("node").agg(F.min("h").alias("h")).join(wanted, "node"), "texts-wanted")
+    texts = docs.join(own, (docs[id_col] == own["node"]) & (F.xxhash64(docs[text_col]) == own["h"])).select("node", F.col(text_col).alias("text"))
+    shingles = stored(texts.mapInArrow(sets, f"node {kind}, s array<int>").dropDuplicates(["node"]), "texts-shingles")
+    both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+    shared = F.size(F.array_intersect("sa", "sb"))
+    verified = stored(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "texts-links")
+    release(docs.sparkSession)
+    tree = components(verified)
+    rooted = stored(nodes.join(tree, "node", "left").select("h", "fp", F.coalesce("root", "node").alias("class_id")), "texts-classes")
+    return each.join(rooted, ["h", "fp"]).select(F.col("id").alias(id_col), "h", "class_id")
+
+
+def near_duplicates_removed(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs``, same columns, with one row of each class of near copies: one with the class's smallest id.
+
+    Of several rows with that id in a class one stays.  Rows with a null id all stay, since nothing tells them apart.
     """
-    keyed = docs.select(id_col, text_col, F.xxhash64(text_col).alias("_h"))
-    key = F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h"))
-    each = stored(fingerprints(keyed.select(key.alias("k"), text_col), words, "k", text_col).select("fp", F.col("k.id").alias("id"), F.col("k.h").alias("h")), "simhash-fp")
-    found = stored(_grouped(each, "id").where("id is not null"), "simhash-found")
-    gone = found.where("id > component_id").select("id", "h").distinct()
-    ours = [docs[id_col] == F.col("id"), F.xxhash64(docs[text_col]) == F.col("h")]
-    left = docs.join(gone, ours, "left_anti")
-    again = found.where("id = component_id").groupBy("id").agg(F.count("*").alias("n")).where("n > 1").select("id")
+    found = stored(text_classes(docs, similarity, shingle, id_col, text_col), "simhash-found")
+    gone = found.where(F.col(id_col) > F.col("class_id")).select(F.col(id_col).alias("_id"), F.col("h").alias("_h")).distinct()
+    left = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_h"]), "left_anti")
+    again = found.where(F.col(id_col) == F.col("class_id")).groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
     if again.isEmpty():
         return left
     again = checkpointed(again)
-    return left.join(again, docs[id_col] == again["id"], "left_anti").unionByName(left.join(again, docs[id_col] == again["id"], "left_semi").dropDuplicates([id_col]))
+    repeated = docs[id_col] == again["class_id"]
+    return left.join(again, repeated, "left_anti").unionByName(left.join(again, repeated, "left_semi").dropDuplicates([id_col]))
