@@ -108,4 +108,4 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, run: int =
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs``, same columns, without the rows that hold a benchmark item."""
     bad = stored(leaks(docs, benchmark).select(F.col("doc_id").alias("_id"), F.col("row").alias("_row")).distinct(), "leaks")
-    return docs.join(bad, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_row")), "left_anti")
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_row"]), "left_anti")

@@ -43,12 +43,12 @@ def boilerplate_removed(docs: DataFrame, sites: int = 10) -> DataFrame:
     """
     found = _lines(docs).join(widespread_lines(docs, sites).select("hash"), "hash").groupBy("doc_id", "row").agg(F.collect_set("at").alias("_gone"))
     found = stored(found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_gone"), "line-places")
-    rows = docs.join(found, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["text"]) == F.col("_row")), "left")
+    rows = docs.join(found, docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_row"]), "left")
     lines = F.split(docs["text"], "\n")
-    kept = F.filter(lines, lambda x, i: ~F.array_contains("_gone", i))
+    kept = F.filter(lines, lambda x, i: ~F.array_contains(found["_gone"], i))
     return rows.select(
         *[docs[c] for c in docs.columns],
         F.coalesce(F.size(lines), F.lit(0)).alias("n_lines"),
-        F.coalesce(F.size("_gone"), F.lit(0)).alias("n_removed"),
-        F.when(F.col("_gone").isNull(), docs["text"]).otherwise(F.array_join(kept, "\n")).alias("kept"),
+        F.coalesce(F.size(found["_gone"]), F.lit(0)).alias("n_removed"),
+        F.when(found["_gone"].isNull(), docs["text"]).otherwise(F.array_join(kept, "\n")).alias("kept"),
     )

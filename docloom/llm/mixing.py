@@ -86,6 +86,7 @@ def mixture(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[fl
     each comes as often as the luckiest.
     """
     picks = mixed(docs, quality, weights, most, seed).groupBy("doc_id", "row").agg(F.max(F.col("epochs") + F.col("drawn").cast("int")).alias("_copies")).where("_copies > 0")
-    picks = stored(picks.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_copies"), "mix-picks")
-    taken = docs.join(picks, docs["doc_id"].eqNullSafe(F.col("_id")) & (F.xxhash64(docs["source"], docs["text"]) == F.col("_row")))
-    return taken.withColumn("_time", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*[docs[c] for c in docs.columns])
+    picks = stored(picks.select("doc_id", "row", "_copies"), "mix-picks")
+    taken = docs.join(picks, docs["doc_id"].eqNullSafe(picks["doc_id"]) & (F.xxhash64(docs["source"], docs["text"]) == picks["row"]))
+    times = taken.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.explode(F.sequence(F.lit(1), picks["_copies"].cast("int"))))
+    return times.select("doc.*")

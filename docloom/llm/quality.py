@@ -136,7 +136,7 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = 12_000, seed: int = S
 def scored(docs: DataFrame, model: OrdinalModel | None, wanted: int = 2) -> DataFrame:
     """Every row of ``docs`` with ``expected_grade`` and ``tail_probability``, that of a grade of ``wanted`` or more.
 
-    Rows without words get 0 for both; without a model both are null.
+    Columns of these names are replaced.  Rows without words get 0 for both; without a model both are null.
     """
     if model is None:
         return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "tail_probability": F.lit(None).cast("double")})
@@ -152,8 +152,8 @@ def scored(docs: DataFrame, model: OrdinalModel | None, wanted: int = 2) -> Data
             out.append((float(tails.sum()), float(tails[wanted - 1]) if wanted <= len(tails) else 0.0))
         return pd.DataFrame(out, columns=["expected_grade", "tail_probability"])
 
-    rows = docs.withColumn("_score", score("text"))
-    return rows.select(*[rows[c] for c in docs.columns], "_score.expected_grade", "_score.tail_probability")
+    rows = docs.drop("expected_grade", "tail_probability").withColumn("__score", score("text"))
+    return rows.select("*", "__score.expected_grade", "__score.tail_probability").drop("__score")
 
 
 def selected(docs: DataFrame, labels: DataFrame, least: float = 0.4, sample: int = 12_000) -> DataFrame:

@@ -1,0 +1,252 @@
+"""Operators with an exact result, held against brute force on rows with nulls, blanks, ties, repeats and odd characters."""
+
+import hashlib
+import random
+import re
+import zlib
+from itertools import combinations
+
+import numpy as np
+import pytest
+import xxhash
+
+from docloom.llm import secrets, simhash, substrings
+from docloom.llm.mixing import mixed, mixture
+from docloom.llm.queries import vocabulary
+from docloom.llm.tokenfiles import read_tokens, token_files, write_tokens
+from docloom.llm.common import scratch
+
+from .helpers import CLASHING, documents
+
+ODD = [None, "", " \n\t ", "one", "a\t  b\r\nc", "x y 　z", "tab\tand\x1ccontrol", "<|endoftext|> inside <|endoftext|>", "don't  stop'll  \n\n now ", "🙂 naïve ſtraße K", "word " * 3000]
+
+
+def tokens(text):
+    return re.findall(r"[^\x20\x09-\x0D]+", text or "")
+
+
+def expected_tokens(rows):
+    from tokenizers import Tokenizer
+
+    enc, start, out = Tokenizer.from_file(vocabulary()), 0, []
+    for i, t in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, (r[1] or "").encode())):
+        ids = enc.encode(t or "", add_special_tokens=False).ids + [2]
+        out.append((i, start, len(ids), zlib.crc32(np.asarray(ids, "<u4").tobytes())))
+        start += len(ids)
+    return out
+
+
+def test_token_files_round_trip(spark):
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(None, "no id"), (3, "tie"), (3, "tie"), (-5, "negative")]
+    got = [tuple(r) for r in token_files(spark, documents(spark, rows, **CLASHING), vocabulary()).collect()]
+    assert sorted(got, key=str) == sorted(expected_tokens(rows), key=str)
+
+
+def test_token_files_small_memo_and_manifest(spark):
+    from docloom.llm.tokenfiles import Encoder
+
+    texts = [t or "" for t in ODD]
+    assert Encoder(vocabulary(), memo=1)(texts) == Encoder(vocabulary())(texts)
+    manifest = write_tokens(documents(spark, [(i, "some text") for i in range(20)]), scratch(spark, "t"), vocabulary())
+    parts = sorted(tuple(r) for r in manifest.select("part", "docs", "tokens", "base").collect())
+    assert [p[3] for p in parts] == [sum(q[2] for q in parts[:k]) for k in range(len(parts))] and sum(p[1] for p in parts) == 20
+    assert read_tokens(manifest.where("docs < 0")).count() == 0
+
+
+def test_token_files_empty(spark):
+    assert token_files(spark, documents(spark, [(1, "x")]).where("doc_id > 1"), vocabulary()).collect() == []
+
+
+def brute_fingerprint(text, n=4):
+    words = re.sub("[A-Z]", lambda m: m[0].lower(), text or "")
+    words = tokens(words)
+    if not words:
+        return 0
+    h = [xxhash.xxh64_intdigest(" ".join(words[i : i + n]).encode(), 42) for i in range(max(1, len(words) - n + 1))]
+    return sum(1 << b for b in range(64) if sum(x >> b & 1 for x in h) * 2 > len(h))
+
+
+@pytest.mark.parametrize("text", [*ODD, "A b C d E", "ÀÉ Straße ABC x"])
+def test_fingerprint(text):
+    assert simhash.fingerprint(text) == brute_fingerprint(text)
+
+
+def brute_components(fps):
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for a, b in combinations(sorted(root), 2):
+        if (a ^ b).bit_count() <= 4:
+            root[find(a)] = find(b)
+    return {f: find(f) for f in root}
+
+
+@pytest.mark.parametrize("frame", [256, 2])
+def test_links_connect_all_within_four_bits(spark, monkeypatch, frame):
+    monkeypatch.setattr(simhash, "FRAME", frame)
+    rnd = random.Random(5)
+    fps = set()
+    for size, reach in ((60, 5), (40, 8), (30, 3)):
+        seed = rnd.getrandbits(64)
+        for _ in range(size):
+            f = seed
+            for bit in rnd.sample(range(64), rnd.randint(0, reach)):
+                f ^= 1 << bit
+            fps.add(f)
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    edges = simhash.links(spark.createDataFrame([(signed(f),) for f in fps], "fp bigint")).collect()
+    assert all(((r.a ^ r.b) & ((1 << 64) - 1)).bit_count() <= 4 for r in edges)
+    found = {f: f for f in map(signed, fps)}
+
+    def find(x):
+        while found[x] != x:
+            x = found[x]
+        return x
+
+    for r in edges:
+        found[find(r.a)] = find(r.b)
+    want = brute_components(fps)
+    classes = lambda m: sorted(sorted(k for k in m if m[k] == v) for v in set(m.values()))
+    assert classes({f: find(f) for f in found}) == classes({signed(k): signed(v) for k, v in want.items()})
+
+
+def test_simhash_groups(spark):
+    base = " ".join(f"w{i}" for i in range(300))
+    rows = [(i, t) for i, t in enumerate(ODD)] + [(20, base), (21, base.upper()), (22, base + " tail"), (23, base.replace("w7 ", "v7 ")), (21, base), (None, base), (None, None)]
+    got = sorted(map(str, (tuple(r) for r in simhash.simhash_groups(documents(spark, rows, **CLASHING)).collect())))
+    fp = [(i, brute_fingerprint(t)) for i, t in rows]
+    comp = brute_components({f for _, f in fp})
+    least = {}
+    for i, f in fp:
+        if i is not None:
+            least[comp[f]] = min(i, least.get(comp[f], 1 << 60))
+    assert got == sorted(str((i, f"{f:016x}", least.get(comp[f]))) for i, f in fp)
+    assert simhash.simhash_groups(documents(spark, rows).where("doc_id > 999")).collect() == []
+
+
+def brute_repeats(rows, width):
+    lows = {}
+    for i, t in rows:
+        w = tokens(t)
+        for p in range(len(w) - width + 1 if i is not None else 0):
+            k = tuple(w[p : p + width])
+            lows[k] = min(i, lows.get(k, i))
+    out = []
+    for i, t in rows:
+        w = tokens(t)
+        gone = set()
+        for p in range(len(w) - width + 1 if i is not None else 0):
+            if lows[tuple(w[p : p + width])] < i:
+                gone |= set(range(p, p + width))
+        out.append((i, len(w), len(gone), hashlib.sha256(" ".join(x for k, x in enumerate(w) if k not in gone).encode()).hexdigest()))
+    return sorted(map(str, out))
+
+
+@pytest.mark.parametrize("width,batches", [(10, 1), (10, 3), (3, 2)])
+def test_repeats_removed(spark, width, batches):
+    rnd = random.Random(width)
+    words = [f"w{i}" for i in range(400)]
+    passages = [" ".join(rnd.choices(words, k=rnd.randint(5, 30))) for _ in range(6)]
+    rows = []
+    for i in range(40):
+        parts = [" ".join(rnd.choices(words, k=rnd.randint(0, 25))) for _ in range(3)]
+        rows.append((i, " \n".join([parts[0], rnd.choice(passages), parts[1], rnd.choice(passages), parts[2]])))
+    rows += [(50, rows[3][1]), (51, rows[3][1]), (51, rows[4][1]), (51, rows[4][1]), (52, "same " * 60), (53, "same " * 61), (None, rows[5][1]), (None, rows[5][1]), (60, None), (61, ""), (62, rows[3][1].replace(" ", "\t"))]
+    got = substrings.repeats_removed(documents(spark, rows, **CLASHING), width, batches).collect()
+    assert sorted(str(tuple(r)) for r in got) == brute_repeats(rows, width)
+
+
+def test_repeats_empty_table_and_index_growth(spark):
+    assert substrings.repeats_removed(documents(spark, [(1, "x")]).where("doc_id > 1"), 5).collect() == []
+    index = substrings.FingerprintIndex(spark, 4)
+    text = "a b c d e f g h"
+    index.add(documents(spark, [(1, text)]).select("doc_id", "text"))
+    second = index.add(documents(spark, [(2, "x " + text), (3, "nothing in common at all here")]).select("doc_id", "text"))
+    assert sorted((r.doc_id, r.n_removed) for r in second.collect()) == [(2, 8), (3, 0)]
+    before = spark.table(index.runs[0]).count() + spark.table(index.runs[1]).count()
+    index.compact()
+    assert len(index.runs) == 1 and spark.table(index.runs[0]).count() == before
+
+
+def brute_secrets(text):
+    found = []
+    for kind, pattern, ok in (
+        ("assign", r"""(?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", lambda m: len(m[1]) >= 6),
+        ("access", r"AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 20),
+        ("hex", r"[0-9a-f]+", lambda m: len(m[0]) >= 24),
+    ):
+        found += [(m.start(), ["assign", "access", "hex"].index(kind), kind, m.end()) for m in re.finditer(pattern, text) if ok(m)]
+    found.sort()
+    return ",".join(f"{k}:{a}:{e}" for a, _, k, e in found), [sum(f[2] == k for f in found) for k in ("assign", "access", "hex")]
+
+
+SECRETS = [
+    'password = "hunter22"', "PassWd:abc", "secret: token: abcdefgh", "toKen=" + "0a" * 20, "apikey='Zz9+/=' api_KEY=abcdef", "AKIA" + "Q" * 16, "AKIAAKIAQ", "ſecret: abcdefgh toKen: abcdefgh",
+    "é" * 5 + "f" * 24 + "g" + "f" * 23, "eyJabcdefgh1.eyJabcdefgh2.abcdefghi", "ghp_" + "a" * 36, "postgres://me:pass@host", None, "", "password" * 5000,
+]
+
+
+def test_secret_scan(spark):
+    rows = list(enumerate(SECRETS)) + [(None, SECRETS[0]), (0, SECRETS[0]), (0, SECRETS[1])]
+    got = secrets.secret_scan(documents(spark, rows, **CLASHING)).collect()
+    assert len(got) == len(rows)
+    want = sorted(str((i, *brute_secrets(t or "")[1], hashlib.sha256(brute_secrets(t or "")[0].encode()).hexdigest())) for i, t in rows)
+    assert sorted(str((r.doc_id, r.n_assign, r.n_access, r.n_hex, r.base_sha256)) for r in got) == want
+    spans = {r.doc_id: r.spans for r in got}
+    assert "jwt:0:35" in spans[9] and spans[10].startswith("code_host:0:") and "url_login" in spans[11] and spans[2] == ""
+    assert secrets.secret_scan(documents(spark, rows).where("doc_id > 99")).collect() == []
+
+
+def test_ledger_scans_only_unseen_blobs(spark):
+    docs = documents(spark, [(1, SECRETS[0]), (2, SECRETS[0]), (3, "plain")])
+    ledger = secrets.update_ledger(docs)
+    assert ledger.count() == 2
+    marked = ledger.withColumn("spans", ledger["rules"])  # what the ledger says is kept, not scanned again
+    more = documents(spark, [(1, SECRETS[0]), (4, "new"), (5, "new")])
+    grown = secrets.update_ledger(more, marked)
+    assert grown.count() == 3 and grown.where("spans = rules").count() == 2
+    assert secrets.update_ledger(more, grown, rules="2").count() == 5
+    assert {r.spans for r in secrets.findings(docs, marked).collect()} == {secrets.RULES}
+
+
+def test_mix(spark):
+    rnd = random.Random(2)
+    rows = [(i, " ".join(["w"] * rnd.randint(0, 60)), f"s{min(7, int(rnd.expovariate(0.5)))}") for i in range(3000)]
+    rows += [(9000 + i, "x y z", None) for i in range(5)] + [(5, "twice", "s1"), (5, "twice", "s1"), (None, "no id", "s2"), (None, None, "s2"), (9999, "", "empty")]
+    docs = documents(spark, rows, **CLASHING)
+    quality = spark.createDataFrame([(i, float(1 + i % 3)) for i in range(0, 3000, 2)] + [(4, None), (None, 9.0)], "doc_id bigint, weight double")
+    out = mixed(docs, quality).collect()
+    assert len(out) == len(rows) and sorted(map(str, out)) == sorted(map(str, mixed(docs.repartition(7), quality).collect()))
+    size, taken, target = {}, {}, {}
+    for r in out:
+        assert 0 <= r.taken <= 3 * r.size
+        size[r.source] = size.get(r.source, 0) + r.size
+        taken[r.source] = taken.get(r.source, 0) + r.taken
+        target[r.source] = r.target
+    names = sorted(target, key=lambda s: (s is None, s))
+    left, weights, want = sum(size.values()), {s: (5.0, 2.0, 1.0)[k % 3] for k, s in enumerate(names)}, {}
+    while True:
+        share = {s: left * weights[s] / sum(weights[x] for x in names if x not in want) for s in names if s not in want}
+        over = [s for s in share if share[s] > 3 * size[s]]
+        if not over:
+            want |= share
+            break
+        for s in over:
+            want[s] = 3 * size[s]
+        left = sum(size.values()) - sum(want.values())
+    for s in names:
+        assert target[s] == pytest.approx(want[s]) and abs(taken[s] - target[s]) <= 1
+    copies = mixture(docs, quality)
+    assert copies.columns == docs.columns and abs(copies.selectExpr("sum(size(filter(split(coalesce(text, ''), ' '), x -> x <> '')))").first()[0] - sum(taken.values())) <= 60 * len(names)
+    assert mixed(docs.where("doc_id < -1")).collect() == [] and mixture(docs.where("doc_id < -1")).collect() == []
+
+
+def test_heavier_documents_come_first(spark):
+    docs = documents(spark, [(i, "w " * 10, "big") for i in range(2000)] + [(5000 + i, "w " * 10, "small") for i in range(2000)])
+    quality = spark.createDataFrame([(i, 4.0) for i in range(1000)] + [(5000 + i, 4.0) for i in range(1000)], "doc_id bigint, weight double")
+    out = [r for r in mixed(docs, quality, weights=(1.0, 3.0)).collect() if r.source == "big" and r.taken]
+    assert sum(r.doc_id < 1000 for r in out) > 2 * sum(r.doc_id >= 1000 for r in out)
