@@ -62,15 +62,16 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - float(self.weights[found].sum()), -50, 50)))
 
 
-def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, least: int = 20, decay: float = 3e-4) -> OrdinalModel:
-    """Full-batch Adam on the cumulative-link likelihood; features in fewer than ``least`` rows weigh nothing.
+def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, least: int = 5, prior: float = 3.6) -> OrdinalModel:
+    """Full-batch Adam on the cumulative-link likelihood with a normal prior of precision ``prior`` on the weights.
 
-    Thresholds stay in order, as gaps are positive by construction.
+    Features in fewer than ``least`` rows, or than one of 600, weigh nothing.  Thresholds stay in order, as gaps are positive by construction.
     """
     k = int(grades.max()) + 1
     flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
     often = np.bincount(flat, minlength=1 << BITS)
-    used = np.nonzero(often >= least)[0]
+    used = np.nonzero(often >= max(least, len(rows) / 600))[0]
+    decay = prior / len(rows)
     compact = np.full(1 << BITS, -1)
     compact[used] = np.arange(len(used))
     row = np.repeat(np.arange(len(rows)), sizes)
