@@ -18,8 +18,10 @@ from __future__ import annotations
 import functools
 import os
 import re
+import sys
 import uuid
 import zlib
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +44,7 @@ class Encoder:
     an added token's string, or with control characters on whose class the two splitters differ, are encoded directly.
     """
 
-    def __init__(self, path: str, memo: int = 400_000):
+    def __init__(self, path: str, memo: int = 700_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -53,8 +55,14 @@ class Encoder:
         self.pieces = '"ByteLevel"' in self.tokenizer.pre_tokenizer.__getstate__().decode() if self.tokenizer.pre_tokenizer else False
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
+    def _bytes(self, ids: list[int]) -> bytes:
+        out = array("H" if self.dtype.itemsize == 2 else "I", ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def _direct(self, text: str) -> bytes:
-        return np.asarray(self.tokenizer.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
