@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from .common import checkpointed, components, release, stored, width
 
 _SLICE = 1 << 16
+#: Multipliers and summands of four orders of shingle hashes.
+_MIXES = [(np.uint32(m), np.uint32(a)) for m, a in ((1, 0), (2654435761, 40503), (2246822519, 3266489917), (3266489917, 668265263))]
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -156,28 +158,44 @@ def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_
     """``(id_col, h, class_id)`` for every row: near copies, linked at a Jaccard coefficient of ``similarity`` or more.
 
     The coefficient is over sets of ``shingle``-word shingles of the lowered text (fewer words: one of all).  That many edits
-    flip more than four bits of a fingerprint of shingles but hardly any of one of single words, so here texts meet by the latter
-    on the ball's keys, each with its key's smallest and next smaller fingerprint, and every pair is verified on whole
-    texts.  Equal texts are one member.  ``h`` is a hash of the text; ``class_id`` the smallest id of the class.  Rows with
+    flip more than four bits of a fingerprint of shingles but hardly any of one of single words, so here texts meet by the latter,
+    within four bits.  There each goes with the first text that has the same smallest shingle hash (of four kinds), and
+    every pair is verified on whole texts.  Equal texts are one member.  ``h`` is a hash of the text; ``class_id`` the smallest id of the class.  Rows with
     a null id are not returned.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("k"), F.col(text_col).alias("text"))
-    each = stored(fingerprints(rows, 1, "k", "text").select("fp", "k.*"), "texts-fp")
-    nodes = stored(each.groupBy("h", "fp").agg(F.min("id").alias("node")), "texts-nodes")
-    tops = stored(nodes.groupBy("fp").agg(F.min("node").alias("top"), F.count("*").alias("n")), "texts-tops")
-    same = nodes.join(tops.where("n > 1").select("fp", "top"), "fp").select(F.col("node").alias("a"), F.col("top").alias("b"))
-    met = meetings(tops.select("fp"))
-    near = met.select("fp", F.explode(F.array("b", "before")).alias("other")).where((F.col("other") != F.col("fp")) & (F.bit_count(F.col("fp").bitwiseXOR(F.col("other"))) <= 4)).distinct()
-    across = near.join(nodes.select("fp", "node"), "fp").join(tops.select(F.col("fp").alias("other"), "top"), "other").select(F.col("node").alias("a"), F.col("top").alias("b"))
+
+    def shingles_of(text):
+        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
+        return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))), np.uint32))
+
+    def sketch(batches):
+        for b in batches:
+            fps, least = [], []
+            for t in b.column(1):
+                fps.append(fingerprint(t.as_py(), 1))
+                own = shingles_of(t.as_py())
+                least.append([int((own * m + a).min()) for m, a in _MIXES])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["k", "fp", "least"])
+
+    key = rows.schema["k"].dataType.simpleString()
+    each = stored(rows.mapInArrow(sketch, f"k {key}, fp bigint, least array<bigint>").select("k.*", "fp", "least"), "texts-fp")
+    nodes = stored(each.groupBy("h", "fp").agg(F.min("id").alias("node"), F.first("least").alias("least")), "texts-nodes")
+    met = meetings(nodes.select("fp").distinct())
+    near = met.select("fp", F.explode(F.coalesce("linked", F.array("b", "before"))).alias("other")).where("other <> fp").distinct()
+    near = stored(near.union(near.select("other", "fp")).distinct(), "texts-near")
+    # In each pair of fingerprints, and in each one, texts go with the first text that has the same smallest shingle hash.
+    slots = nodes.select("fp", "node", F.posexplode("least").alias("n", "m"))
+    tops = stored(slots.groupBy("fp", "n", "m").agg(F.min("node").alias("top")), "texts-tops")
+    same = slots.join(tops, ["fp", "n", "m"]).select(F.col("node").alias("a"), F.col("top").alias("b"))
+    moved = slots.join(near, "fp").select(F.col("other").alias("fp"), "n", "m", "node")
+    across = moved.join(tops, ["fp", "n", "m"]).select(F.col("node").alias("a"), F.col("top").alias("b"))
     pairs = stored(same.union(across).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "texts-pairs")
     release(docs.sparkSession)
 
     def sets(batches):
         for b in batches:
-            out = []
-            for t in b.column(1):
-                words = (t.as_py() or "").encode("utf-8", "surrogatepass").lower().split()
-                out.append(np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))), np.uint32)).view(np.int32))
+            out = [shingles_of(t.as_py()).view(np.int32) for t in b.column(1)]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["node", "s"])
 
     kind = docs.schema[id_col].dataType.simpleString()
