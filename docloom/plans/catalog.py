@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 
 from ..functions import url as U
 from ..functions import values as V
-from ..operators import analytics, graph, registry
+from ..functions import markdown
+from ..operators import analytics, graph, registry, runs
 from ..operators.registry import Filters
 from ..operators.sql import run_sql
 from ..sinks import tables
+from ..sources import cms, signals
+from ..sources.files import accepted
 from . import views
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -387,6 +390,128 @@ def _(spark, sf):
     return views.table(spark, sf, "pages").select("page_id", U.normal_strict("url").alias("value"))
 
 
+# -- runs, posts and content ------------------------------------------------------------------------------------------------
+
+_RUNS = """r AS (SELECT o_orderkey::VARCHAR AS id, o_orderpriority AS workflow, CASE o_orderstatus WHEN 'F' THEN 'failed' WHEN 'O' THEN 'running' ELSE 'completed' END AS status, o_orderdate AS started_at,
+  CASE WHEN o_orderkey % 3 = 0 THEN '{"workflow_type": "tool", "parent_workflow_id": "p' || o_orderkey % 5 || '"}' WHEN o_orderkey % 3 = 1 THEN '{"workflow_type": "agent"}' END AS metadata_json FROM orders)"""
+
+
+def _runs(spark, sf):
+    k = F.col("o_orderkey")
+    meta = F.when(k % 3 == 0, F.concat(F.lit('{"workflow_type": "tool", "parent_workflow_id": "p'), (k % 5).cast("string"), F.lit('"}'))).when(k % 3 == 1, '{"workflow_type": "agent"}')
+    status = F.when(F.col("o_orderstatus") == "F", "failed").when(F.col("o_orderstatus") == "O", "running").otherwise("completed")
+    return views.table(spark, sf, "orders").select(k.cast("string").alias("id"), F.col("o_orderpriority").alias("workflow"), status.alias("status"), F.col("o_orderdate").alias("started_at"), meta.alias("metadata_json"))
+
+
+@query("run_list_filter", f"""WITH {_RUNS}, p AS (SELECT * FROM r WHERE status IN ('pending', 'running', 'canceling') AND (id LIKE '%7%' OR workflow LIKE '%7%') ORDER BY started_at DESC NULLS LAST, id LIMIT 200 OFFSET 10)
+SELECT id, workflow FROM p WHERE json_extract_string(metadata_json, '$.parent_workflow_id') IS NULL AND json_extract_string(metadata_json, '$.workflow_type') = 'agent'""")
+def _(spark, sf):
+    return runs.listed(_runs(spark, sf), "pending", "7", "agent", n=200, offset=10).select("id", "workflow")
+
+
+@query("run_children", f"WITH {_RUNS}, p AS (SELECT * FROM r WHERE status = 'failed' ORDER BY started_at DESC NULLS LAST, id LIMIT 300) SELECT id FROM p WHERE json_extract_string(metadata_json, '$.parent_workflow_id') = 'p2'")
+def _(spark, sf):
+    return runs.listed(_runs(spark, sf), "ERROR", parent="p2", n=300).select("id")
+
+
+@query("run_by_prefix", f"WITH {_RUNS} SELECT id, status FROM r WHERE id LIKE '12%' ORDER BY id <> '12', id LIMIT 1")
+def _(spark, sf):
+    return runs.by_prefix(_runs(spark, sf), "12").select("id", "status")
+
+
+@query("run_output_summary", f"WITH {_STEPS} SELECT run_id, nullif(sum(output_count), 0)::BIGINT AS total_output, nullif(sum(greatest(0, output_count - error_count)), 0)::BIGINT AS total_success, nullif(sum(error_count), 0)::BIGINT AS total_errors FROM s GROUP BY run_id")
+def _(spark, sf):
+    return runs.outputs(_steps(spark, sf))
+
+
+@query("run_correlation", f"""WITH {_EVENTS}, {_STEPS}, u AS (SELECT DISTINCT run_id AS id FROM e), l AS (SELECT run_id, least(count(*), 20) AS events FROM e GROUP BY run_id), k AS (SELECT run_id, count(*) AS steps FROM s GROUP BY run_id)
+SELECT u.id, coalesce(k.steps, 0) AS steps, l.events FROM u LEFT JOIN k ON k.run_id = u.id LEFT JOIN l ON l.run_id = u.id""")
+def _(spark, sf):
+    e = views.step_events(spark, sf)
+    rows = runs.correlated(e.select(F.col("run_id").alias("id")).distinct(), _steps(spark, sf), e)
+    return rows.select("id", F.coalesce(F.size("steps"), F.lit(0)).cast("bigint").alias("steps"), F.size("events").cast("bigint").alias("events"))
+
+
+@query("metadata_merge", """SELECT event_id, json_extract_string(json_merge_patch(props, '{"k": "new", "z": "1"}'), '$.k') AS k, '1' AS z, json_extract_string(json_merge_patch('{"a": "old"}', props), '$.a') AS a FROM events WHERE event_id < 300""")
+def _(spark, sf):
+    e = views.table(spark, sf, "events").where("event_id < 300")
+    one, two = runs.merged_metadata(F.col("props"), F.lit('{"k": "new", "z": "1"}')), runs.merged_metadata(F.lit('{"a": "old"}'), F.col("props"))
+    return e.select("event_id", F.get_json_object(one, "$.k").alias("k"), F.get_json_object(one, "$.z").alias("z"), F.get_json_object(two, "$.a").alias("a"))
+
+
+def _posts(spark, sf):
+    d = views.table(spark, sf, "documents").where("text is not null")
+    post = F.struct(F.col("doc_id").cast("string").alias("id"), F.substring("text", 1, 60).alias("title"), F.concat(F.lit("/r/"), "source").alias("permalink"), F.substring("text", 61, 900).alias("selftext"), (F.col("doc_id") * 3600.0).alias("created_utc"), F.col("lang").alias("author"), (F.col("n_chars") % 300).cast("int").alias("score"), (F.col("doc_id") % 90).cast("int").alias("num_comments"))
+    return d.select(F.to_json(post).alias("value"), "source")
+
+
+_POSTS = "p AS (SELECT 'reddit_' || doc_id AS signal_id, substr(text, 1, 60) AS title, nullif(substr(substr(text, 61, 900), 1, 500), '') AS snippet, (n_chars % 300)::INTEGER AS score, (doc_id % 90)::INTEGER AS comment_count, source AS subreddit, make_timestamp(doc_id * 3600000000) AS timestamp, ['http', 'and', 'LIZENZ'] AS k FROM documents WHERE text IS NOT NULL)"
+
+
+@query("signals_posts", f"""WITH {_POSTS}, f AS (SELECT *, list_filter(k, lambda w: contains(lower(title), lower(w)) OR contains(lower(coalesce(snippet, '')), lower(w))) AS found FROM p WHERE score >= 50)
+SELECT signal_id, subreddit, score, comment_count, length(snippet) AS snippet_length, array_to_string(found, ',') AS keywords FROM f WHERE len(found) > 0""")
+def _(spark, sf):
+    rows = signals.posts(_posts(spark, sf), F.col("source"), ["http", "and", "LIZENZ"], 50)
+    return rows.select("signal_id", "subreddit", "score", "comment_count", F.length("snippet").cast("bigint").alias("snippet_length"), F.array_join("keywords", ",").alias("keywords"))
+
+
+@query("signals_recent_ranked", f"WITH {_POSTS} SELECT signal_id, {_REL.replace('comments', 'comment_count')} AS relevance FROM p WHERE timestamp >= TIMESTAMP '1970-02-08 00:00:00' - INTERVAL 168 HOUR ORDER BY relevance DESC, signal_id LIMIT 30")
+def _(spark, sf):
+    rows = signals.recent(signals.posts(_posts(spark, sf), F.col("source")), F.lit("1970-02-08").cast("timestamp"), "week")
+    return signals.ranked(rows, 30).select("signal_id", "relevance")
+
+
+def _cms(spark, sf):
+    d = views.table(spark, sf, "documents")
+    k = F.col("doc_id")
+    return d.select(F.concat(F.when(k % 4 == 0, "drafts.").otherwise(""), k.cast("string")).alias("_id"), F.col("lang").alias("_type"), F.lpad((k * 7 % 1000).cast("string"), 4, "0").alias("_updatedAt"), F.substring("text", 1, 50).alias("title"), F.col("text").alias("body"), F.array(F.col("source"), F.lit("all")).alias("tags"))
+
+
+_CMS = "c AS (SELECT CASE WHEN doc_id % 4 = 0 THEN 'drafts.' ELSE '' END || doc_id AS _id, lang AS _type, lpad((doc_id * 7 % 1000)::VARCHAR, 4, '0') AS _updatedAt, substr(text, 1, 50) AS title, text AS body, [source, 'all'] AS tags FROM documents)"
+
+
+@query("cms_types", f"WITH {_CMS} SELECT _type, count(*) AS n FROM c GROUP BY _type")
+def _(spark, sf):
+    return cms.types(_cms(spark, sf))
+
+
+@query("cms_search", f"""WITH {_CMS} SELECT _id, title, CASE WHEN starts_with(_id, 'drafts.') THEN 'draft' ELSE 'published' END AS status FROM c
+WHERE _type = 'en' AND (contains(lower(title), 'the') OR contains(lower(body), 'the')) AND list_contains(tags, 'src0') AND _updatedAt > '0200' ORDER BY _updatedAt DESC, _id LIMIT 40""")
+def _(spark, sf):
+    return cms.search(_cms(spark, sf), "The", {"tags": ["src0"], "_updatedAt": ">0200"}, "en", 40).select("_id", "title", "status")
+
+
+@query("content_accepted", "SELECT page_id, CASE WHEN page_id % 3 = 0 THEN 'Unsupported content type: image/png' END AS error, CASE WHEN page_id % 3 = 0 THEN 'ERROR' ELSE 'SUCCESS' END AS status FROM pages")
+def _(spark, sf):
+    p = views.table(spark, sf, "pages").select("page_id", F.col("html").alias("content"), F.when(F.col("page_id") % 3 == 0, "image/png").otherwise("Text/HTML; charset=utf-8").alias("content_type"))
+    return accepted(p).select("page_id", "error", "status")
+
+
+@query("post_markdown", """SELECT o_orderkey, '# Tweet by ' || o_orderpriority || ' (@u' || o_custkey || ')' || CASE WHEN o_orderkey % 2 = 0 THEN ' ✓' ELSE '' END || chr(10) || chr(10) || '**URL:** https://x.com/' || o_orderkey || chr(10) || chr(10) || 'text'
+  || CASE WHEN o_orderkey % 5 = 0 THEN '' ELSE chr(10) || chr(10) || '**Engagement:** ' || format('{:,}', o_orderkey % 5 * 1000) || ' likes' END AS value FROM orders WHERE o_orderkey < 2000""")
+def _(spark, sf):
+    k = F.col("o_orderkey")
+    made = markdown.post(F.col("o_orderpriority"), F.concat(F.lit("u"), F.col("o_custkey").cast("string")), k % 2 == 0, F.lit(None).cast("string"), F.concat(F.lit("https://x.com/"), k.cast("string")), F.lit("text"), {"likes": k % 5 * 1000, "replies": F.lit(0)})
+    return views.table(spark, sf, "orders").where("o_orderkey < 2000").select("o_orderkey", made.alias("value"))
+
+
+@query("citations", f"SELECT page_id, 'Source 1' AS title, regexp_extract(url, '^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)', 1) AS domain FROM pages")
+def _(spark, sf):
+    return views.table(spark, sf, "pages").select("page_id", F.inline(markdown.citations(F.array("url")))).select("page_id", "title", "domain")
+
+
+@query("cost_by_engine", "SELECT source AS engine, sum(n_chars)::BIGINT AS units, count(*) AS calls, count(*) FILTER (n_chars = 0) AS failed FROM documents GROUP BY source")
+def _(spark, sf):
+    d = views.table(spark, sf, "documents").groupBy(F.col("source").alias("engine"))
+    return d.agg(F.sum("n_chars").alias("units"), F.count("*").alias("calls"), F.count(F.when(F.col("n_chars") == 0, 1)).alias("failed"))
+
+
+@query("tenant_fill", "SELECT c_custkey, CASE WHEN c_custkey % 2 = 0 THEN c_mktsegment ELSE 'w9' END AS workspace_id, 'u9' AS user_id FROM customer")
+def _(spark, sf):
+    c = views.table(spark, sf, "customer").select("c_custkey", F.when(F.col("c_custkey") % 2 == 0, F.col("c_mktsegment")).alias("workspace_id"))
+    return tables.tenant_filled(c, workspace_id="w9", user_id="u9")
+
+
 # -- SQL through the guarded entry -----------------------------------------------------------------------------------------
 
 _TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()

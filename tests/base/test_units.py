@@ -259,3 +259,28 @@ def test_packing(spark):
     rnd = random.Random(0)
     df = spark.createDataFrame([([rnd.random() for _ in range(5)],), (None,)], "v array<float>")
     assert [r.s for r in df.select(V.unpacked(V.packed("v")).eqNullSafe(F.col("v")).alias("s")).collect()] == [True, True]
+
+
+BLOCKS = [
+    {"_type": "block", "style": "h2", "children": [{"text": "Head", "marks": []}]},
+    {"_type": "block", "children": [{"text": "a ", "marks": ["strong", "em"]}, {"text": "link", "marks": ["l1", "code"]}], "markDefs": [{"_key": "l1", "_type": "link", "href": "https://e.com"}]},
+    {"_type": "code", "language": "py", "code": "x = 1"}, {"_type": "image", "_key": "k1", "alt": "pic"}, {"_type": "other"}, {"_type": "block", "style": "blockquote", "children": [{"text": "q"}]},
+]
+
+
+def test_markdown(spark):
+    from docloom.functions import markdown
+
+    got = values(spark, markdown.from_blocks, [json.dumps(BLOCKS), "[]", None, "broken"])
+    assert got[0] == "## Head\n\n***a ***[`link`](https://e.com)\n\n```py\nx = 1\n```\n\n![pic](sanity-image-k1)\n\n> q" and got[1:] == ["", "", ""]
+    assert [tuple(r) for r in values(spark, markdown.front_matter, ["---\na: 1\n---\nbody", "no matter"])] == [("a: 1", "body"), (None, "no matter")]
+
+
+def test_cms_fields(spark):
+    from docloom.sources import cms
+
+    doc = json.dumps({"slug": {"current": "s"}, "tags": ["a", "b"], "author": {"name": "J"}, "cats": [{"title": "x"}, {"other": 1}, {"title": "y"}]})
+    want = {"slug.current": "s", "tags[]": '["a","b"]', "title[]": "[]", "author->name": "J", "cats[]->title": '["x","y"]', "none.deep": None}
+    for field, value in want.items():
+        assert values(spark, lambda c, f=field: cms.field_value(c, f), [doc]) == [value]
+    assert values(spark, lambda c: cms.document_url(c, "https://e.com/", F.lit("b"), {"b": "/blog/"}), ["slug"]) == ["https://e.com/blog/slug"]
