@@ -284,3 +284,35 @@ def test_cms_fields(spark):
     for field, value in want.items():
         assert values(spark, lambda c, f=field: cms.field_value(c, f), [doc]) == [value]
     assert values(spark, lambda c: cms.document_url(c, "https://e.com/", F.lit("b"), {"b": "/blog/"}), ["slug"]) == ["https://e.com/blog/slug"]
+
+
+def test_blocks_round_trip(spark):
+    from docloom.functions import blocks, markdown
+
+    text = "# Head\n\none\ntwo\n\n> q\n\n```py\nx = 1\n\ny\n```"
+    assert values(spark, lambda c: markdown.from_blocks(blocks.to_blocks(c)), [text]) == ["# Head\n\none two\n\n> q\n\n```py\nx = 1\n\ny\n```"]
+
+
+def test_content_and_rows(spark, tmp_path):
+    from docloom.sinks import content
+
+    docs = spark.createDataFrame([("a/b.md", "text ü"), ("../evil.md", "x"), (None, "y")], "path string, content string")
+    content.write_files(docs, f"file://{tmp_path}/out")
+    assert (tmp_path / "out/a/b.md").read_text() == "text ü" and not (tmp_path / "evil.md").exists()
+    rows = spark.createDataFrame([("d1", "weird", "boom", 12, "abc", None, '{"k": "v", "latency_ms": "1"}'), (None, "success", None, 1, "", None, None)], "document_id string, status string, error string, latency_ms int, content string, public_url string, metadata_json string")
+    got = content.fetch_rows(rows).collect()
+    assert [(r.status, json.loads(r.metadata_json)) for r in got] == [("ERROR", {"k": "v", "latency_ms": "12", "bytes_fetched": "3"})]
+    calls = spark.createDataFrame([("m", "p", 3, None, None)], "model string, provider string, input_tokens int, output_tokens int, cost double")
+    assert [(r.total_tokens, r.cost) for r in content.trace_rows(calls).collect()] == [(3, 0.0)]
+    with pytest.raises(ValueError):
+        content.trace_rows(calls.withColumn("model", F.lit("")))
+
+
+def test_actor_items_and_usage(spark):
+    from docloom.sources import actors
+
+    items = spark.createDataFrame([('{"full_text": "Hello\\nworld", "likeCount": [7], "author": {"userName": "jo"}, "createdAt": "2024-01-02T03:04:05Z"}',), ('{"likes": 1}',), ('{"url": "https://e.com", "likes": "x"}',)], "value string")
+    got = {r.title: r for r in actors.parsed(items, F.lit("2020-01-01").cast("timestamp")).collect()}
+    assert got["Hello"].score == 7 and got["Hello"].author == "jo" and got["Hello"].timestamp.year == 2024 and got["https://e.com"].score == 0 and len(got) == 2
+    assert [tuple(r) for r in values(spark, V.usage, ['{"usage": {"total_tokens": 10, "output_tokens": 4}}', '{"usage": {"prompt_tokens": 3}}', "{}"])] == [(6, 4), (3, 0), (0, 0)]
+    assert [str(x) for x in values(spark, V.parsed_time, ["2024-01-02 03:04:05", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05.123456", "no"])] == ["2024-01-02 03:04:05", "2024-01-02 03:04:05", "2024-01-02 03:04:05.123456", "None"]
