@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed, components, release, stored, width
+from .common import checkpointed, components, discard, release, stored, width
 
 _SLICE = 1 << 16
 #: Multipliers and summands of four orders of shingle hashes.
@@ -210,7 +210,9 @@ def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_
     release(docs.sparkSession)
     tree = components(verified)
     rooted = stored(nodes.join(tree, "node", "left").select("h", "fp", F.coalesce("root", "node").alias("class_id")), "texts-classes")
-    return each.join(rooted, ["h", "fp"]).select(F.col("id").alias(id_col), "h", "class_id")
+    found = stored(each.join(rooted, ["h", "fp"]).select(F.col("id").alias(id_col), "h", "class_id"), "simhash-found")
+    discard(each, nodes, met, near, tops, pairs, own, shingles, verified, rooted)
+    return found
 
 
 def near_duplicates_removed(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -218,7 +220,7 @@ def near_duplicates_removed(docs: DataFrame, similarity: float = 0.8, shingle: i
 
     Of several rows with that id in a class one stays.  Rows with a null id all stay, since nothing tells them apart.
     """
-    found = stored(text_classes(docs, similarity, shingle, id_col, text_col), "simhash-found")
+    found = text_classes(docs, similarity, shingle, id_col, text_col)
     gone = found.where(F.col(id_col) > F.col("class_id")).select(F.col(id_col).alias("_id"), F.col("h").alias("_h")).distinct()
     left = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_h"]), "left_anti")
     again = found.where(F.col(id_col) == F.col("class_id")).groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
