@@ -62,16 +62,27 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - float(self.weights[found].sum()), -50, 50)))
 
 
+def contrasts(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray) -> np.ndarray:
+    """For each hashed feature the largest difference, over all cuts between grades, of its smoothed log frequencies below and
+    above the cut."""
+    out, of = np.zeros(1 << BITS), np.repeat(grades, sizes)
+    for cut in range(1, int(grades.max()) + 1):
+        low, high = (np.log((np.bincount(flat[side], minlength=1 << BITS) + 1) / (n + 2)) for side, n in ((of < cut, (grades < cut).sum()), (of >= cut, (grades >= cut).sum())))
+        out = np.maximum(out, np.abs(low - high))
+    return out
+
+
 def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, least: int = 5, prior: float = 3.6) -> OrdinalModel:
     """Full-batch Adam on the cumulative-link likelihood with a normal prior of precision ``prior`` on the weights.
 
-    Features in fewer than ``least`` rows, or than one of 600, weigh nothing.  Thresholds stay in order, as gaps are positive by construction.
+    A feature's value is its contrast between grades instead of 1, so that the prior holds words that tell grades apart
+    less than words that don't; the model's weights include it.  Features in fewer than ``least`` rows, or than one of 600, weigh nothing.  Thresholds stay in order, as gaps are positive by construction.
     """
     k = int(grades.max()) + 1
     flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
     often = np.bincount(flat, minlength=1 << BITS)
     used = np.nonzero(often >= max(least, len(rows) / 600))[0]
-    decay = prior / len(rows)
+    decay, scale = prior / len(rows), contrasts(flat, sizes, grades)[used]
     compact = np.full(1 << BITS, -1)
     compact[used] = np.arange(len(used))
     row = np.repeat(np.arange(len(rows)), sizes)
@@ -82,7 +93,7 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, least: int
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, first, gaps)]
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for step in range(1, steps + 1):
-        eta = np.bincount(row, w[col], len(rows))
+        eta = np.bincount(row, (w * scale)[col], len(rows))
         t = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
         # P(y = g) = S(eta - t[g-1]) - S(eta - t[g]), with S at the ends 1 and 0
         s = np.concatenate([np.ones((len(rows), 1)), sigmoid(eta[:, None] - t[None]), np.zeros((len(rows), 1))], axis=1)
@@ -94,13 +105,13 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, least: int
         for j in range(k - 1):
             g_t[j] = (each / p * np.where(grades == j + 1, d[:, j + 1], np.where(grades == j, -d[:, j + 1], 0))).sum()
         tail = np.cumsum(g_t[::-1])[::-1]
-        grads = (np.bincount(col, g_eta[row], len(used)) + decay * w, tail[:1], tail[1:] * np.exp(gaps))
+        grads = (np.bincount(col, g_eta[row], len(used)) * scale + decay * w, tail[:1], tail[1:] * np.exp(gaps))
         for x, g, m in zip((w, first, gaps), grads, moments):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
             x -= 0.05 * (m[0] / (1 - 0.9**step)) / (np.sqrt(m[1] / (1 - 0.99**step)) + 1e-9)
     full = np.zeros(1 << BITS)
-    full[used] = w
+    full[used] = w * scale
     return OrdinalModel(full, first + np.concatenate([[0], np.cumsum(np.exp(gaps))]))
 
 
