@@ -26,8 +26,6 @@ from pyspark.sql import functions as F
 from .common import checkpointed, components, discard, release, stored, width
 
 _SLICE = 1 << 16
-#: Multipliers and summands of four orders of shingle hashes.
-_MIXES = [(np.uint32(m), np.uint32(a)) for m, a in ((1, 0), (2654435761, 40503), (2246822519, 3266489917), (3266489917, 668265263))]
 
 
 def fingerprint(text: str | None, words: int = 4) -> int:
@@ -155,77 +153,107 @@ def simhash_groups(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text
 
 
 def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, h, class_id)`` for every row: near copies, linked at a Jaccard coefficient of ``similarity`` or more.
-
-    The coefficient is over sets of ``shingle``-word shingles of the lowered text (fewer words: one of all).  That many edits
-    flip more than four bits of a fingerprint of shingles but hardly any of one of single words, so here texts meet by the latter,
-    within four bits.  There each goes with the first text that has the same smallest shingle hash (of four kinds), and
-    every pair is verified on whole texts.  Equal texts are one member.  ``h`` is a hash of the text; ``class_id`` the smallest id of the class.  Rows with
-    a null id are not returned.
+    """``(id_col, h, class_id, kept)`` for every row: near copies, linked at a Jaccard coefficient of ``similarity`` or more.
+
+    The coefficient is over sets of ``shingle``-word shingles of the lowered text (fewer words: one of all).  Equal sets are one
+    member.  By the prefix filter two sets that are this similar share one of their rarest shingles (as many as a partner may lack,
+    and one), so members meet on those, and whatever meets within the bounds of length and position is verified on whole sets.
+    First each goes with the smallest and the largest member on a shingle; then all pairs are
+    compared that aren't in one class by that.  ``h`` is a hash of the text, ``class_id`` the smallest id of the class, ``kept`` true
+    for its smallest ``(id, h)``.  Rows with a null id are not returned.
     """
+    spark = docs.sparkSession
     rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("k"), F.col(text_col).alias("text"))
 
     def shingles_of(text):
         words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return np.unique(np.fromiter((xxhash.xxh32_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))), np.uint32))
+        return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))), np.uint64).view(np.int64))
 
     def sketch(batches):
         for b in batches:
-            fps, least = [], []
-            for t in b.column(1):
-                fps.append(fingerprint(t.as_py(), 1))
-                own = shingles_of(t.as_py())
-                least.append([int((own * m + a).min()) for m, a in _MIXES])
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.array(fps, np.uint64).view(np.int64), pa.int64()), pa.array(least, pa.list_(pa.int64()))], ["k", "fp", "least"])
+            sets = [shingles_of(t.as_py()) for t in b.column(1)]
+            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["k", "node", "s"])
 
     key = rows.schema["k"].dataType.simpleString()
-    each = stored(rows.mapInArrow(sketch, f"k {key}, fp bigint, least array<bigint>").select("k.*", "fp", "least"), "texts-fp")
-    nodes = stored(each.groupBy("h", "fp").agg(F.min("id").alias("node"), F.first("least").alias("least")), "texts-nodes")
-    met = meetings(nodes.select("fp").distinct())
-    near = met.select("fp", F.explode(F.coalesce("linked", F.array("b", "before"))).alias("other")).where("other <> fp").distinct()
-    near = stored(near.union(near.select("other", "fp")).distinct(), "texts-near")
-    # In each pair of fingerprints, and in each one, texts go with the first text that has the same smallest shingle hash.
-    slots = nodes.select("fp", "node", F.posexplode("least").alias("n", "m"))
-    tops = stored(slots.groupBy("fp", "n", "m").agg(F.min("node").alias("top")), "texts-tops")
-    same = slots.join(tops, ["fp", "n", "m"]).select(F.col("node").alias("a"), F.col("top").alias("b"))
-    moved = slots.join(near, "fp").select(F.col("other").alias("fp"), "n", "m", "node")
-    across = moved.join(tops, ["fp", "n", "m"]).select(F.col("node").alias("a"), F.col("top").alias("b"))
-    pairs = stored(same.union(across).where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "texts-pairs")
-    release(docs.sparkSession)
-
-    def sets(batches):
-        for b in batches:
-            out = [shingles_of(t.as_py()).view(np.int32) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(out, pa.list_(pa.int32()))], ["node", "s"])
-
-    kind = docs.schema[id_col].dataType.simpleString()
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    # Rows with equal ids but other texts are left out by the hash of the node's own text.
-    own = stored(nodes.groupBy("node").agg(F.min("h").alias("h")).join(wanted, "node"), "texts-wanted")
-    texts = docs.join(own, (docs[id_col] == own["node"]) & (F.xxhash64(docs[text_col]) == own["h"])).select("node", F.col(text_col).alias("text"))
-    shingles = stored(texts.mapInArrow(sets, f"node {kind}, s array<int>").dropDuplicates(["node"]), "texts-shingles")
-    both = pairs.join(shingles.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(shingles.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    verified = stored(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "texts-links")
-    release(docs.sparkSession)
-    tree = components(verified)
-    rooted = stored(nodes.join(tree, "node", "left").select("h", "fp", F.coalesce("root", "node").alias("class_id")), "texts-classes")
-    found = stored(each.join(rooted, ["h", "fp"]).select(F.col("id").alias(id_col), "h", "class_id"), "simhash-found")
-    discard(each, nodes, met, near, tops, pairs, own, shingles, verified, rooted)
+    full = stored(rows.mapInArrow(sketch, f"k {key}, node bigint, s array<bigint>").select("k.*", "node", "s"), "texts-sets")
+    sets = stored(full.groupBy("node").agg(F.first("s").alias("s")), "texts-nodes")
+    each = stored(full.select("id", "h", "node"), "texts-rows")
+    discard(full)
+    release(spark)
+
+    index = stored(_rarest(sets, similarity), "texts-index")
+    release(spark)
+    far = F.struct("node", "n", "at")
+    tops = index.groupBy("token").agg(F.min(far).alias("lo"), F.max(far).alias("hi"), F.count("*").alias("many")).where("many > 1")
+    tops = stored(tops, "texts-tops")
+    # Lengths and the shingles that remain from here on bound what two sets share, if this is their first common one.
+    bound = lambda a, b: (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - 1e-9) & (F.least(a["n"] - a["at"], b["n"] - b["at"]) >= similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-9)
+    star = index.select("token", far.alias("x")).join(tops, "token").select("x", F.explode(F.array("lo", "hi")).alias("y"))
+    star = star.where(F.col("x.node") != F.col("y.node")).where(bound(F.col("x"), F.col("y")))
+    pairs = stored(star.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), "texts-pairs")
+
+    def verified(pairs, name):
+        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        shared = F.size(F.array_intersect("sa", "sb"))
+        return stored(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), name)
+
+    first = verified(pairs, "texts-links")
+    release(spark)
+    # Of up to three members on a shingle, all have been compared.
+    tree = components(first)
+    open_ = index.join(tops.where("many > 3").select("token"), "token").join(tree, "node", "left").withColumn("c", F.coalesce("root", "node"))
+    open_ = stored(open_.select("token", F.struct("node", "n", "at", "c").alias("x")), "texts-open")
+    mixed = stored(open_.groupBy("token").agg(F.min("x.c").alias("lo"), F.max("x.c").alias("hi")).where("lo < hi").select("token"), "texts-mixed")
+    left = stored(open_.join(mixed, "token"), "texts-left")
+    cross = left.join(left.select("token", F.col("x").alias("y")), "token").where("x.c < y.c").where(bound(F.col("x"), F.col("y")))
+    cross = cross.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
+    rest = stored(cross.join(pairs, ["a", "b"], "left_anti"), "texts-rest")
+    second = verified(rest, "texts-more-links")
+    release(spark)
+    tree = components(first.union(second))
+    rooted = each.join(tree, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
+    rooted = stored(rooted, "texts-classes")
+    least = rooted.groupBy("root").agg(F.min(F.struct("id", "h")).alias("top"))
+    found = rooted.join(least, "root").select(F.col("id").alias(id_col), "h", F.col("top.id").alias("class_id"), (F.struct("id", "h") == F.col("top")).alias("kept"))
+    found = stored(found, "simhash-found")
+    discard(sets, each, index, tops, pairs, first, open_, mixed, left, rest, second, rooted)
     return found
 
 
+#: A shingle in so many sets of every eighth, or in a thousandth of them, is common: it comes last in the order, without a count.
+COMMON = 32
+
+
+def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
+    """``(node, n, at, token)``: of ``sets(node, s)`` the first ``n - ceil(similarity * n) + 1`` shingles in the order of how many sets
+    have them, without those that no other set has; ``at`` is the place in that order, from 0."""
+    eighth = sets.where(F.pmod(F.xxhash64("node"), F.lit(8)) == 0)
+    often = F.greatest(F.lit(COMMON), F.lit(eighth.count() / 1000))
+    common = stored(eighth.select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") >= often).select("token"), "texts-common")
+    tokens = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("token"))
+    # At most a thousand for each shingle of a set.
+    marked = tokens.join(F.broadcast(common.withColumn("common", F.lit(True))), "token", "left")
+    known = marked.where("common").select("node", "n", "token", F.lit(1 << 40).alias("often"))
+    counted = marked.where("common is null").select("node", "n", "token", F.count("*").over(Window.partitionBy("token")).alias("often")).where("often > 1")
+    of = known.unionByName(counted).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("by"))
+    single = F.col("n") - F.size("by")
+    prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
+    cut = of.where(prefix > single).select("node", "n", single.alias("single"), F.posexplode(F.slice("by", F.lit(1), (prefix - single).cast("int"))).alias("k", "e"))
+    return cut.select("node", "n", (F.col("single") + F.col("k")).alias("at"), "e.token")
+
+
 def near_duplicates_removed(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, same columns, with one row of each class of near copies: one with the class's smallest id.
 
     Of several rows with that id in a class one stays.  Rows with a null id all stay, since nothing tells them apart.
     """
     found = text_classes(docs, similarity, shingle, id_col, text_col)
-    gone = found.where(F.col(id_col) > F.col("class_id")).select(F.col(id_col).alias("_id"), F.col("h").alias("_h")).distinct()
-    left = docs.join(gone, (docs[id_col] == gone["_id"]) & (F.xxhash64(docs[text_col]) == gone["_h"]), "left_anti")
-    again = found.where(F.col(id_col) == F.col("class_id")).groupBy("class_id").agg(F.count("*").alias("n")).where("n > 1").select("class_id")
+    of = lambda t: (docs[id_col] == t["_id"]) & (F.xxhash64(docs[text_col]) == t["_h"])
+    gone = found.where("not kept").select(F.col(id_col).alias("_id"), F.col("h").alias("_h")).distinct()
+    left = docs.join(gone, of(gone), "left_anti")
+    again = found.where("kept").groupBy(F.col(id_col).alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("n")).where("n > 1").select("_id", "_h")
     if again.isEmpty():
         return left
     again = checkpointed(again)
-    repeated = docs[id_col] == again["class_id"]
-    return left.join(again, repeated, "left_anti").unionByName(left.join(again, repeated, "left_semi").dropDuplicates([id_col]))
+    return left.join(again, of(again), "left_anti").unionByName(left.join(again, of(again), "left_semi").dropDuplicates([id_col, text_col]))

@@ -111,6 +111,34 @@ def test_near_copies(spark):
     assert ids == Counter({c: 1 for c in of.values()} | {None: 1})
 
 
+def brute_kept(rows):
+    """The ``(id, text)`` that stay: of each class linked at a Jaccard coefficient of 0.8 one with the smallest id; rows and the pairs linked."""
+    sets = [{tuple((t or "").lower().split()[i : i + 5]) for i in range(max(1, len((t or "").split()) - 4))} for _, t in rows]
+    pairs = [(a, b) for a in range(len(rows)) for b in range(a) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    root = list(range(len(rows)))
+    for a, b in pairs:
+        root = [root[b] if x == root[a] else x for x in root]
+    return Counter(min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in set(root))
+
+
+def crowd(rnd, size, words=120, most=9):
+    """Edited copies of one text, few of them near enough to the smallest."""
+    base = [f"word{rnd.randint(0, 3000)}" for _ in range(words)]
+    for _ in range(size):
+        copy = list(base)
+        for _ in range(rnd.randint(0, most)):
+            copy[rnd.randrange(words)] = f"edit{rnd.randint(0, 10**6)}"
+        yield " ".join(copy)
+
+
+def test_near_copies_where_many_meet(spark, monkeypatch):
+    monkeypatch.setattr(simhash, "FRAME", 2)
+    rnd = random.Random(11)
+    rows = list(enumerate(t for _ in range(4) for t in crowd(rnd, 30, most=5)))
+    rnd.shuffle(rows)
+    assert Counter(r.doc_id for r in simhash.near_duplicates_removed(documents(spark, rows, **CLASHING)).collect()) == brute_kept(rows)
+
+
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,\npublish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
 WARRANTY = licenses.SENTENCES["mit_warranty"]
 BSD3 = "\n".join(licenses.SENTENCES[i] + ("" if licenses.SENTENCES[i].endswith(".") else ":") for i in dict(reversed(licenses.RULES))["BSD-3-Clause"])
