@@ -139,6 +139,18 @@ def test_near_copies_where_many_meet(spark, monkeypatch):
     assert Counter(r.doc_id for r in simhash.near_duplicates_removed(documents(spark, rows, **CLASHING)).collect()) == brute_kept(rows)
 
 
+@pytest.mark.parametrize("common", [1, 32])
+def test_near_copies_beyond_the_first_on_a_shingle(spark, monkeypatch, common):
+    monkeypatch.setattr(simhash, "COMMON", common, raising=False)
+    rnd = random.Random(12)
+    shared = " ".join(f"notice{i}" for i in range(90))
+    texts = [t for _ in range(3) for t in crowd(rnd, 25)] + [f"{shared} {t}" for _ in range(12) for t in crowd(rnd, 3, 40, 3)] + [None, "", " ", "one", "ONE ", "two words"]
+    rnd.shuffle(texts)
+    rows = list(enumerate(texts))
+    assert Counter(r.doc_id for r in simhash.near_duplicates_removed(documents(spark, rows, **CLASHING)).collect()) == brute_kept(rows)
+    assert simhash.near_duplicates_removed(documents(spark, rows).where("doc_id > 999")).collect() == []
+
+
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,\npublish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
 WARRANTY = licenses.SENTENCES["mit_warranty"]
 BSD3 = "\n".join(licenses.SENTENCES[i] + ("" if licenses.SENTENCES[i].endswith(".") else ":") for i in dict(reversed(licenses.RULES))["BSD-3-Clause"])
