@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from .common import checkpointed, stored
 
 WINDOW = 5
-#: A window with fewer literal words says too little.
+#: A window with fewer literal words says too little as a template.
 LITERAL = 3
 #: Index rows up to which the benchmark's windows are broadcast: some 40 MB.  Beyond it both sides are shuffled by hash.
 BROADCAST_ROWS = 400_000
@@ -44,10 +44,10 @@ def templates(text) -> tuple:
 
 
 def windows(texts: DataFrame, *keys: str) -> DataFrame:
-    """``(*keys, at, h, slots)``: a row for each window with enough literal words, and its own hash.
+    """``(*keys, at, h, slots)``: a row for each window under the hash of its literal words, without slots.
 
-    ``slots`` holds the window's words where it has placeholders (null elsewhere); such a window has a second row under
-    the hash of its literal words, without slots, so that other capitals or a list of numbers don't hide a copy.
+    A window with placeholders and still enough literal words has a second row under the hash of its template, whose ``slots`` hold
+    the words at the placeholders (null elsewhere).  So other capitals or a list of numbers don't hide a copy.
     """
     template, literal = templates(F.col("text"))
     rows = texts.select(*keys, template.alias("t"), literal.alias("l"))
@@ -61,13 +61,10 @@ def windows(texts: DataFrame, *keys: str) -> DataFrame:
     none = F.lit(None).cast("array<string>")
     starts = lambda d: F.when(F.size(d["t"]) >= WINDOW, F.sequence(F.lit(1), F.size(d["t"]) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
     plain = lambda d: F.transform(starts(d), lambda i: entry(d, i, F.xxhash64(cut(d["t"], i)), none))
+    typed = lambda d, i: entry(d, i, F.xxhash64(cut(d["t"], i)), values(d, i))
+    exact = lambda d, i: entry(d, i, F.xxhash64(cut(d["l"], i)), none)
     with_slots = lambda d: F.flatten(
-        F.transform(
-            F.filter(starts(d), lambda i: filled(d, i) <= WINDOW - LITERAL),
-            lambda i: F.when(filled(d, i) == 0, F.array(entry(d, i, F.xxhash64(cut(d["t"], i)), none))).otherwise(
-                F.array(entry(d, i, F.xxhash64(cut(d["t"], i)), values(d, i)), entry(d, i, F.xxhash64(cut(d["l"], i)), none))
-            ),
-        )
+        F.transform(starts(d), lambda i: F.when(filled(d, i).between(1, WINDOW - LITERAL), F.array(typed(d, i), exact(d, i))).otherwise(F.array(exact(d, i))))
     )
     all_ = F.flatten(F.transform(F.array(hashed), lambda d: F.when(d["any"], with_slots(d)).otherwise(plain(d))))
     return rows.select(*keys, F.explode(all_).alias("w")).select(*keys, "w.*")

@@ -220,6 +220,16 @@ def test_a_passage_of_an_item_is_enough_and_broadcast_isn_t_needed(spark, monkey
     assert [r.doc_id for r in decontaminate.leaks(docs, bench).collect()] == [1]
 
 
+def test_leaks_of_windows_full_of_placeholders(spark):
+    numbers, names = "Find the sum of 12, 15, 18, 21, 24, 27, 30, 33, 36 and 39.", "Which Old Town Hall Was Built By Sir John Wood For King George In 1755"
+    plain = "which of these rivers flows through the largest number of towns on its way down to the sea"
+    bench = spark.createDataFrame([(0, numbers), (1, names), (2, plain)], "item_id bigint, text string")
+    rows = [(1, "x " + numbers + " y"), (2, names), (3, names.lower()), (4, plain.title()), (5, "so find the sum of 7 at once"), (6, "Now we find the sum of 80 coins")]
+    found = decontaminate.leaks(documents(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id) for r in found) == [(1, 0), (2, 1), (3, 1), (4, 2)]
+    assert {r.item_id: r.item_windows for r in found} == {0: 11, 1: 11, 2: 14} and all(r.windows >= r.item_windows - 1 for r in found)
+
+
 def test_no_python_in_decontamination(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = decontaminate.windows(docs, "doc_id").join(bench, docs["doc_id"] == bench["item_id"])._jdf.queryExecution().toString()
