@@ -151,6 +151,14 @@ def test_near_copies_beyond_the_first_on_a_shingle(spark, monkeypatch, common):
     assert simhash.near_duplicates_removed(documents(spark, rows).where("doc_id > 999")).collect() == []
 
 
+def test_near_copies_of_different_texts_with_one_id(spark):
+    rnd = random.Random(13)
+    a, b, c, d = (next(crowd(rnd, 1)) for _ in range(4))
+    rows = [(1, a), (5, a), (5, b), (5, c), (7, c), (5, c), (9, d), (9, d + " more")]
+    left = [(r.doc_id, r.text) for r in simhash.near_duplicates_removed(documents(spark, rows, **CLASHING)).collect()]
+    assert sorted(x for x in left if x[0] != 9) == sorted([(1, a), (5, b), (5, c)]) and sum(i == 9 for i, _ in left) == 1
+
+
 MIT = "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation\nfiles (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge,\npublish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:\n\nThe above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.\n\n"
 WARRANTY = licenses.SENTENCES["mit_warranty"]
 BSD3 = "\n".join(licenses.SENTENCES[i] + ("" if licenses.SENTENCES[i].endswith(".") else ":") for i in dict(reversed(licenses.RULES))["BSD-3-Clause"])
