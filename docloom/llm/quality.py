@@ -127,7 +127,8 @@ def grades(labels: DataFrame) -> DataFrame:
 def train(docs: DataFrame, rated: DataFrame, sample: int = 12_000, seed: int = SEED) -> OrdinalModel | None:
     """Fits on at most ``sample`` rated documents, those whose hashed ids are smallest; None without two grades.
 
-    Only their hashed features reach the driver: about a kilobyte each.
+    Of several rows with one id the text with the smallest hash counts.  Only their hashed features reach the driver: about a
+    kilobyte each.
     """
     chosen = rated.orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id").limit(sample)
 
@@ -136,6 +137,7 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = 12_000, seed: int = S
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([features(t or "") for t in b.column(1).to_pylist()], pa.list_(pa.int32()))], ["grade", "found"])
 
     texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
+    texts = texts.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = texts.select("grade", "text").mapInArrow(run, "grade int, found array<int>").toArrow()
     found = [np.asarray(x, np.int32) for x in rows.column("found").to_pylist()]
     known = np.asarray(rows.column("grade").to_pylist(), np.int64)

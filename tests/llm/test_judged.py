@@ -266,6 +266,14 @@ def test_quality_edges(spark):
     assert quality.selected(docs.where("doc_id > 99"), labels).collect() == []
 
 
+def test_quality_trains_on_one_row_of_an_id(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(quality, "fit", lambda rows, grades: seen.append(len(rows)))
+    docs = documents(spark, [(i % 5, f"words {i} here") for i in range(50)] + [(8, "single words")], **CLASHING)
+    quality.train(docs, quality.grades(spark.createDataFrame([(i, i % 2, 0) for i in range(9)], "doc_id bigint, quality int, toxic int")))
+    assert seen == [6]
+
+
 def test_fit_orders_three_grades():
     rnd = np.random.default_rng(0)
     grade = rnd.integers(0, 3, 600)
