@@ -274,6 +274,18 @@ def test_quality_trains_on_one_row_of_an_id(spark, monkeypatch):
     assert seen == [6]
 
 
+def test_quality_keeps_what_a_plain_loop_keeps(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.where("doc_id % 4 = 0")
+    model = quality.train(docs, quality.grades(labels))
+    kept = Counter()
+    for r in docs.select("doc_id", "text").collect():
+        words = quality.features(r.text or "")
+        if len(words) and 1 / (1 + np.exp(model.thresholds[1] - sum(float(model.weights[x]) for x in words))) >= 0.4:
+            kept[r.doc_id] += 1
+    assert kept and Counter(r.doc_id for r in quality.selected(docs, labels).collect()) == kept
+
+
 def test_fit_orders_three_grades():
     rnd = np.random.default_rng(0)
     grade = rnd.integers(0, 3, 600)
