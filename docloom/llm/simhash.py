@@ -152,106 +152,149 @@ def simhash_groups(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text
     return _grouped(each, id_col).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
+#: The shingles are counted in so many turns, each over the hashes of one remainder, so that few of them are on disk at a time.
+TURNS = 4
+#: A shingle in so many sets of every eighth, or in a thousandth of them, is common: it comes last in the order, without a count.
+COMMON = 32
+#: Common shingles up to which their list is broadcast: some 32 MB.  A corpus has at most a thousand for each shingle of a set.
+BROADCAST_ROWS = 1_000_000
+
+
+def shingles_of(text: str | None, shingle: int) -> np.ndarray:
+    """The sorted distinct XXH64 hashes of a text's shingles; A-Z are lowered, fewer words than a shingle are one of all."""
+    parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
+    line, ends, at = b" ".join(parts), [], -1
+    for p in parts:
+        at += len(p) + 1
+        ends.append(at)
+    n = max(1, len(parts) - shingle + 1)
+    starts = [0, *(e + 1 for e in ends[: n - 1])]
+    digest = xxhash.xxh64_intdigest
+    return np.unique(np.fromiter((digest(line[a:b]) for a, b in zip(starts, ends[min(shingle, len(parts)) - 1 :] or [0])), np.uint64, n).view(np.int64))
+
+
+def _address(text):
+    return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
+
+
 def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, h, class_id, kept)`` for every row: near copies, linked at a Jaccard coefficient of ``similarity`` or more.
 
-    The coefficient is over sets of ``shingle``-word shingles of the lowered text (fewer words: one of all).  Equal sets are one
-    member.  By the prefix filter two sets that are this similar share one of their rarest shingles (as many as a partner may lack,
-    and one), so members meet on those, and whatever meets within the bounds of length and position is verified on whole sets.
-    First each goes with the smallest and the largest member on a shingle; then all pairs are
-    compared that aren't in one class by that.  ``h`` is a hash of the text, ``class_id`` the smallest id of the class, ``kept`` true
-    for its smallest ``(id, h)``.  Rows with a null id are not returned.
+    The coefficient is over sets of ``shingle``-word shingles of the lowered text (fewer words: one of all); a null text is empty, and
+    texts without words are alike.  Equal texts are one member.  By the prefix filter two sets that are this similar share one of their
+    rarest shingles (as many as a partner may lack, and one), so members meet on those, and whatever meets within the bounds of length
+    and position is verified on whole sets.  First each goes with the member of fewest shingles of its own; then all pairs on a
+    shingle are compared that aren't in one class by that.  ``h`` is the MD5 of the text, ``class_id`` the smallest id of the
+    class, ``kept`` true for its smallest ``(id, h)``.  Rows with a null id are not returned.
     """
-    spark = docs.sparkSession
-    rows = docs.where(F.col(id_col).isNotNull()).select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("k"), F.col(text_col).alias("text"))
-
-    def shingles_of(text):
-        words = (text or "").encode("utf-8", "surrogatepass").lower().split()
-        return np.unique(np.fromiter((xxhash.xxh64_intdigest(b" ".join(words[i : i + shingle])) for i in range(max(1, len(words) - shingle + 1))), np.uint64).view(np.int64))
+    rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _address(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
 
     def sketch(batches):
         for b in batches:
-            sets = [shingles_of(t.as_py()) for t in b.column(1)]
-            nodes = np.array([xxhash.xxh64_intdigest(s.tobytes()) for s in sets], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(nodes, pa.int64()), pa.array(sets, pa.list_(pa.int64()))], ["k", "node", "s"])
-
-    key = rows.schema["k"].dataType.simpleString()
-    full = stored(rows.mapInArrow(sketch, f"k {key}, node bigint, s array<bigint>").select("k.*", "node", "s"), "texts-sets")
-    sets = stored(full.groupBy("node").agg(F.first("s").alias("s")), "texts-nodes")
-    each = stored(full.select("id", "h", "node"), "texts-rows")
-    discard(full)
-    release(spark)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles_of(t.as_py(), shingle) for t in b.column(1)], pa.list_(pa.int64()))], ["h", "s"])
+
+    texts = rows.groupBy("h").agg(F.first("text").alias("text"))
+    sets = stored(texts.mapInArrow(sketch, "h binary, s array<bigint>").select(F.monotonically_increasing_id().alias("node"), "h", "s"), "texts-sets")
+    release(docs.sparkSession)
+    each = stored(rows.select("id", "h").join(sets.select("h", "node").hint("merge"), "h"), "texts-rows")
+    index = _rarest(sets, similarity)
+    tree = _near(index, sets, similarity)
+    rooted = stored(each.join(tree, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root")), "texts-classes")
+    least = rooted.groupBy("root").agg(F.min(F.struct("id", "h")).alias("top"))
+    found = rooted.join(least, "root").select(F.col("id").alias(id_col), "h", F.col("top.id").alias("class_id"), (F.struct("id", "h") == F.col("top")).alias("kept"))
+    found = stored(found, "texts-found")
+    discard(each, index, rooted)
+    release(docs.sparkSession)
+    return found
+
+
+def _near(index: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Components ``(node, root)`` of all pairs of ``sets(node, s)`` that are similar; ``sets`` is discarded.
+
+    ``index(node, n, own, at, token)`` has the shingles on which sets meet.
+    """
+    needed = stored(sets.join(index.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "s"), "texts-needed")
+    discard(sets)
+    release(sets.sparkSession)
+    member = F.struct("node", "n", "at")
+    # The fewer shingles of its own, the nearer to the middle of its copies; the same set leads on most shingles of a class.
+    tops = index.groupBy("token").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "at")).alias("y"), F.count("*").alias("many"))
+    tops = stored(tops.where("many > 1"), "texts-tops")
 
-    index = stored(_rarest(sets, similarity), "texts-index")
-    release(spark)
-    far = F.struct("node", "n", "at")
-    tops = index.groupBy("token").agg(F.min(far).alias("lo"), F.max(far).alias("hi"), F.count("*").alias("many")).where("many > 1")
-    tops = stored(tops, "texts-tops")
     # Lengths and the shingles that remain from here on bound what two sets share, if this is their first common one.
-    bound = lambda a, b: (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - 1e-9) & (F.least(a["n"] - a["at"], b["n"] - b["at"]) >= similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-9)
-    star = index.select("token", far.alias("x")).join(tops, "token").select("x", F.explode(F.array("lo", "hi")).alias("y"))
-    star = star.where(F.col("x.node") != F.col("y.node")).where(bound(F.col("x"), F.col("y")))
-    pairs = stored(star.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct(), "texts-pairs")
+    def bound(a, b):
+        least = similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-9
+        return (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - 1e-9) & (F.least(a["n"] - a["at"], b["n"] - b["at"]) >= least)
+
+    def ordered(pairs):
+        return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
 
     def verified(pairs, name):
-        both = pairs.join(sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("s").alias("sb")), "b")
+        both = pairs.join(needed.select(F.col("node").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
+        both = both.join(needed.select(F.col("node").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
         shared = F.size(F.array_intersect("sa", "sb"))
-        return stored(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), name)
+        found = stored(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"), name)
+        release(needed.sparkSession)
+        return found
 
+    star = index.select("token", member.alias("x")).join(tops.select("token", "y").hint("merge"), "token").where("x.node <> y.node").where(bound(F.col("x"), F.col("y")))
+    pairs = stored(ordered(star), "texts-pairs")
     first = verified(pairs, "texts-links")
-    release(spark)
-    # Of up to three members on a shingle, all have been compared.
+    # Of two members on a shingle both have been compared.
     tree = components(first)
-    open_ = index.join(tops.where("many > 3").select("token"), "token").join(tree, "node", "left").withColumn("c", F.coalesce("root", "node"))
-    open_ = stored(open_.select("token", F.struct("node", "n", "at", "c").alias("x")), "texts-open")
-    mixed = stored(open_.groupBy("token").agg(F.min("x.c").alias("lo"), F.max("x.c").alias("hi")).where("lo < hi").select("token"), "texts-mixed")
-    left = stored(open_.join(mixed, "token"), "texts-left")
-    cross = left.join(left.select("token", F.col("x").alias("y")), "token").where("x.c < y.c").where(bound(F.col("x"), F.col("y")))
-    cross = cross.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-    rest = stored(cross.join(pairs, ["a", "b"], "left_anti"), "texts-rest")
+    open_ = index.join(tops.where("many > 2").select("token").hint("merge"), "token").join(tree, "node", "left")
+    open_ = stored(open_.select("token", F.struct("node", "n", "at", F.coalesce("root", "node").alias("c")).alias("x")), "texts-open")
+    mixed = open_.groupBy("token").agg(F.min("x.c").alias("lo"), F.max("x.c").alias("hi")).where("lo < hi").select("token")
+    left = stored(open_.join(mixed.hint("merge"), "token"), "texts-left")
+    cross = left.join(left.select("token", F.col("x").alias("y")).hint("merge"), "token").where("x.c < y.c").where(bound(F.col("x"), F.col("y")))
+    rest = stored(ordered(cross).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "texts-rest")
     second = verified(rest, "texts-more-links")
-    release(spark)
     tree = components(first.union(second))
-    rooted = each.join(tree, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root"))
-    rooted = stored(rooted, "texts-classes")
-    least = rooted.groupBy("root").agg(F.min(F.struct("id", "h")).alias("top"))
-    found = rooted.join(least, "root").select(F.col("id").alias(id_col), "h", F.col("top.id").alias("class_id"), (F.struct("id", "h") == F.col("top")).alias("kept"))
-    found = stored(found, "simhash-found")
-    discard(sets, each, index, tops, pairs, first, open_, mixed, left, rest, second, rooted)
-    return found
-
-
-#: A shingle in so many sets of every eighth, or in a thousandth of them, is common: it comes last in the order, without a count.
-COMMON = 32
+    discard(needed, tops, pairs, first, open_, left, rest, second)
+    return tree
 
 
 def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
-    """``(node, n, at, token)``: of ``sets(node, s)`` the first ``n - ceil(similarity * n) + 1`` shingles in the order of how many sets
-    have them, without those that no other set has; ``at`` is the place in that order, from 0."""
+    """``(node, n, own, at, token)``: of ``sets(node, s)`` the first ``n - ceil(similarity * n) + 1`` shingles in the order of how many
+    sets have them, without the ``own`` ones that no other set has; ``at`` is the place in that order, from 0."""
+    spark = sets.sparkSession
     eighth = sets.where(F.pmod(F.xxhash64("node"), F.lit(8)) == 0)
     often = F.greatest(F.lit(COMMON), F.lit(eighth.count() / 1000))
-    common = stored(eighth.select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") >= often).select("token"), "texts-common")
-    tokens = sets.select("node", F.size("s").alias("n"), F.explode("s").alias("token"))
-    # At most a thousand for each shingle of a set.
-    marked = tokens.join(F.broadcast(common.withColumn("common", F.lit(True))), "token", "left")
-    known = marked.where("common").select("node", "n", "token", F.lit(1 << 40).alias("often"))
-    counted = marked.where("common is null").select("node", "n", "token", F.count("*").over(Window.partitionBy("token")).alias("often")).where("often > 1")
-    of = known.unionByName(counted).groupBy("node", "n").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("by"))
-    single = F.col("n") - F.size("by")
+    common = eighth.select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") >= often)
+    common = stored(common.select("token", F.lit(True).alias("common")), "texts-common")
+    common = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
+    parts = []
+    for turn in range(TURNS):
+        tokens = sets.select("node", F.explode(F.filter("s", lambda x: F.pmod(x, F.lit(TURNS)) == turn)).alias("token"))  # noqa: B023
+        marked = tokens.join(common, "token", "left")
+        known = marked.where("common").select("node", "token", F.lit(1 << 40).alias("often"))
+        counted = marked.where("common is null").select("node", "token", F.count("*").over(Window.partitionBy("token")).alias("often")).where("often > 1")
+        parts.append(stored(known.unionByName(counted), "texts-shared"))
+        release(spark)
+    shared = parts[0]
+    for more in parts[1:]:
+        shared = shared.unionByName(more)
+    by = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("by"))
+    of = by.join(sets.select("node", F.size("s").alias("n")).hint("merge"), "node")
+    own = F.col("n") - F.size("by")
     prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    cut = of.where(prefix > single).select("node", "n", single.alias("single"), F.posexplode(F.slice("by", F.lit(1), (prefix - single).cast("int"))).alias("k", "e"))
-    return cut.select("node", "n", (F.col("single") + F.col("k")).alias("at"), "e.token")
+    cut = of.where(prefix > own).select("node", "n", own.alias("own"), F.posexplode(F.slice("by", F.lit(1), (prefix - own).cast("int"))).alias("k", "e"))
+    index = stored(cut.select("node", "n", "own", (F.col("own") + F.col("k")).alias("at"), "e.token"), "texts-index")
+    discard(*parts)
+    release(spark)
+    return index
 
 
 def near_duplicates_removed(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, same columns, with one row of each class of near copies: one with the class's smallest id.
 
-    Of several rows with that id in a class one stays.  Rows with a null id all stay, since nothing tells them apart.
+    Of several rows with that id in a class one stays.  Rows with a null id all stay, since nothing tells them apart.  An empty
+    table returns no rows.
     """
     found = text_classes(docs, similarity, shingle, id_col, text_col)
-    of = lambda t: (docs[id_col] == t["_id"]) & (F.xxhash64(docs[text_col]) == t["_h"])
+    of = lambda t: (docs[id_col] == t["_id"]) & (_address(docs[text_col]) == t["_h"])
     gone = found.where("not kept").select(F.col(id_col).alias("_id"), F.col("h").alias("_h")).distinct()
-    left = docs.join(gone, of(gone), "left_anti")
+    left = docs.join(gone.hint("merge"), of(gone), "left_anti")
     again = found.where("kept").groupBy(F.col(id_col).alias("_id"), F.col("h").alias("_h")).agg(F.count("*").alias("n")).where("n > 1").select("_id", "_h")
     if again.isEmpty():
         return left
