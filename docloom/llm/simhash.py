@@ -183,8 +183,8 @@ def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_
     The coefficient is over sets of ``shingle``-word shingles of the lowered text (fewer words: one of all); a null text is empty, and
     texts without words are alike.  Equal texts are one member.  By the prefix filter two sets that are this similar share one of their
     rarest shingles (as many as a partner may lack, and one), so members meet on those, and whatever meets within the bounds of length
-    and position is verified on whole sets.  First each goes with the member of fewest shingles of its own; then all pairs on a
-    shingle are compared that aren't in one class by that.  ``h`` is the MD5 of the text, ``class_id`` the smallest id of the
+    and position is verified on whole sets.  First each goes with the member of fewest shingles of its own; then all those on a
+    shingle that aren't in that one's class by now are compared with the members of other classes.  ``h`` is the MD5 of the text, ``class_id`` the smallest id of the
     class, ``kept`` true for its smallest ``(id, h)``.  Rows with a null id are not returned.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _address(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
@@ -240,17 +240,18 @@ def _near(index: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     star = index.select("token", member.alias("x")).join(tops.select("token", "y").hint("merge"), "token").where("x.node <> y.node").where(bound(F.col("x"), F.col("y")))
     pairs = stored(ordered(star), "texts-pairs")
     first = verified(pairs, "texts-links")
-    # Of two members on a shingle both have been compared.
+    # Of two members on a shingle both have been compared.  Of more, only those that aren't in the leader's class by now go on: the
+    # work is theirs times the group, not the group's square.
     tree = components(first)
-    open_ = index.join(tops.where("many > 2").select("token").hint("merge"), "token").join(tree, "node", "left")
-    open_ = stored(open_.select("token", F.struct("node", "n", "at", F.coalesce("root", "node").alias("c")).alias("x")), "texts-open")
-    mixed = open_.groupBy("token").agg(F.min("x.c").alias("lo"), F.max("x.c").alias("hi")).where("lo < hi").select("token")
-    left = stored(open_.join(mixed.hint("merge"), "token"), "texts-left")
-    cross = left.join(left.select("token", F.col("x").alias("y")).hint("merge"), "token").where("x.c < y.c").where(bound(F.col("x"), F.col("y")))
+    lead = tops.where("many > 2").select("token", F.col("y.node").alias("node")).join(tree, "node", "left").select("token", F.coalesce("root", "node").alias("lead"))
+    open_ = index.join(lead.hint("merge"), "token").join(tree, "node", "left")
+    open_ = stored(open_.select("token", "lead", F.struct("node", "n", "at", F.coalesce("root", "node").alias("c")).alias("x")), "texts-open")
+    outside = open_.where("x.c <> lead").select("token", "x")
+    cross = outside.join(open_.select("token", "lead", F.col("x").alias("y")).hint("merge"), "token").where("x.c <> y.c and (y.c = lead or x.c < y.c)").where(bound(F.col("x"), F.col("y")))
     rest = stored(ordered(cross).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "texts-rest")
     second = verified(rest, "texts-more-links")
     tree = components(first.union(second))
-    discard(needed, tops, pairs, first, open_, left, rest, second)
+    discard(needed, tops, pairs, first, open_, rest, second)
     return tree
 
 

@@ -131,10 +131,9 @@ def crowd(rnd, size, words=120, most=9):
         yield " ".join(copy)
 
 
-def test_near_copies_where_many_meet(spark, monkeypatch):
-    monkeypatch.setattr(simhash, "FRAME", 2)
+def test_near_copies_where_many_meet(spark):
     rnd = random.Random(11)
-    rows = list(enumerate(t for _ in range(4) for t in crowd(rnd, 30, most=5)))
+    rows = list(enumerate([t for size in (30, 120) for t in crowd(rnd, size, most=5)] + [t.upper() for t in crowd(rnd, 1)]))
     rnd.shuffle(rows)
     assert Counter(r.doc_id for r in simhash.near_duplicates_removed(documents(spark, rows, **CLASHING)).collect()) == brute_kept(rows)
 
@@ -193,6 +192,7 @@ def test_boilerplate_lines(spark):
         assert r.kept == kept and r.n_removed == sum(x.strip(" ") in wide for x in parts)
     exact = {r.sites for r in linededup.widespread_lines(docs).collect()}
     assert 10 in exact and 11 in exact
+    assert Counter(linededup.boilerplate_removed(docs).columns).most_common(1)[0][1] == 1
     assert linededup.boilerplate_removed(docs.where("doc_id > 99")).collect() == []
 
 
