@@ -83,10 +83,10 @@ def mixture(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[fl
     """The documents of the mix, same columns: one row for each time that a document is taken, whole documents only.
 
     The document in which a budget ends is kept whole; documents without words are drawn like the others.  Of equal rows
-    each comes as often as the luckiest.
+    each comes as often as the luckiest.  The texts are shuffled once, by id and hash, at every size.
     """
     picks = mixed(docs, quality, weights, most, seed).groupBy("doc_id", "row").agg(F.max(F.col("epochs") + F.col("drawn").cast("int")).alias("_copies")).where("_copies > 0")
     picks = stored(picks.select("doc_id", "row", "_copies"), "mix-picks")
-    taken = docs.join(picks, docs["doc_id"].eqNullSafe(picks["doc_id"]) & (F.xxhash64(docs["source"], docs["text"]) == picks["row"]))
+    taken = docs.join(picks.hint("merge"), docs["doc_id"].eqNullSafe(picks["doc_id"]) & (F.xxhash64(docs["source"], docs["text"]) == picks["row"]))
     times = taken.select(F.struct(*[docs[c] for c in docs.columns]).alias("doc"), F.explode(F.sequence(F.lit(1), picks["_copies"].cast("int"))))
     return times.select("doc.*")

@@ -13,4 +13,4 @@ def documents(spark, rows, **more):
 
 
 #: Names that the operators use inside.
-CLASHING = dict(row=1, h=2, fp=3, key=4, bucket=5, size=6, b=7, at=8, blob="x", hash=9, id=10, t="y", _id=11, _row=12, _copies=13, _gone=14, target=15)
+CLASHING = dict(row=1, h=2, fp=3, key=4, bucket=5, size=6, b=7, at=8, blob="x", hash=9, id=10, t="y", _id=11, _row=12, _copies=13, _gone=14, target=15, n_lines=16, n_removed=17, kept="z", node=18, s=19, token=20)
