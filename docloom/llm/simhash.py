@@ -15,6 +15,7 @@ left out.
 
 from __future__ import annotations
 
+import functools
 from itertools import combinations
 
 import numpy as np
@@ -152,7 +153,8 @@ def simhash_groups(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text
     return _grouped(each, id_col).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The shingles are counted in so many turns, each over the hashes of one remainder, so that few of them are on disk at a time.
+#: The shingles are counted in so many turns, each over the hashes of one remainder, so that few of them are on disk at a time;
+#: whole sets are moved in as many.
 TURNS = 4
 #: A shingle in so many sets of every eighth, or in a thousandth of them, is common: it comes last in the order, without a count.
 COMMON = 32
@@ -191,7 +193,9 @@ def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_
 
     def sketch(batches):
         for b in batches:
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([shingles_of(t.as_py(), shingle) for t in b.column(1)], pa.list_(pa.int64()))], ["h", "s"])
+            for lo in range(0, b.num_rows, 512):
+                c = b.slice(lo, 512)
+                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([shingles_of(t.as_py(), shingle) for t in c.column(1)], pa.list_(pa.int64()))], ["h", "s"])
 
     texts = rows.groupBy("h").agg(F.first("text").alias("text"))
     sets = stored(texts.mapInArrow(sketch, "h binary, s array<bigint>").select(F.monotonically_increasing_id().alias("node"), "h", "s"), "texts-sets")
@@ -213,9 +217,13 @@ def _near(index: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
 
     ``index(node, n, own, at, token)`` has the shingles on which sets meet.
     """
-    needed = stored(sets.join(index.select("node").distinct().hint("merge"), "node", "left_semi").select("node", "s"), "texts-needed")
+    meeting, parts = index.select("node").distinct().hint("merge"), []
+    for turn in range(TURNS):
+        some = sets.where(F.pmod("node", F.lit(TURNS)) == turn)
+        parts.append(stored(some.join(meeting, "node", "left_semi").select("node", "s"), "texts-needed"))
+        release(sets.sparkSession)
     discard(sets)
-    release(sets.sparkSession)
+    needed = functools.reduce(DataFrame.unionByName, parts)
     member = F.struct("node", "n", "at")
     # The fewer shingles of its own, the nearer to the middle of its copies; the same set leads on most shingles of a class.
     tops = index.groupBy("token").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "at")).alias("y"), F.count("*").alias("many"))
@@ -251,7 +259,7 @@ def _near(index: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     rest = stored(ordered(cross).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "texts-rest")
     second = verified(rest, "texts-more-links")
     tree = components(first.union(second))
-    discard(needed, tops, pairs, first, open_, rest, second)
+    discard(*parts, tops, pairs, first, open_, rest, second)
     return tree
 
 
@@ -272,10 +280,7 @@ def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
         counted = marked.where("common is null").select("node", "token", F.count("*").over(Window.partitionBy("token")).alias("often")).where("often > 1")
         parts.append(stored(known.unionByName(counted), "texts-shared"))
         release(spark)
-    shared = parts[0]
-    for more in parts[1:]:
-        shared = shared.unionByName(more)
-    by = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("by"))
+    by = functools.reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("by"))
     of = by.join(sets.select("node", F.size("s").alias("n")).hint("merge"), "node")
     own = F.col("n") - F.size("by")
     prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
