@@ -47,8 +47,14 @@ def joined(map_documents: DataFrame, fetch_documents: DataFrame) -> DataFrame:
     return map_documents.alias(M).join(fetch_documents.alias(X), F.col("m.document_id") == F.col("x.document_id"), "left")
 
 
+def globs(f: Filters) -> Column:
+    """The shell globs on addresses, matched whole."""
+    found = matches_any(F.col("m.source_url"), f.include) if f.include else F.lit(True)
+    return found & ~matches_any(F.col("m.source_url"), f.exclude) if f.exclude else found
+
+
 def predicate(f: Filters) -> Column:
-    """All row predicates; patterns other than ``url_contains`` are shell globs, matched whole."""
+    """All row predicates but the globs."""
     c = F.col
     tests = []
     if f.ids:
@@ -71,10 +77,6 @@ def predicate(f: Filters) -> Column:
         tests.append(c("m.created_at") >= F.lit(f.created_after))
     if f.created_before:
         tests.append(c("m.created_at") <= F.lit(f.created_before))
-    if f.include:
-        tests.append(matches_any(c("m.source_url"), f.include))
-    if f.exclude:
-        tests.append(~matches_any(c("m.source_url"), f.exclude))
     if f.urls:
         tests.append(c("m.source_url").isin(f.urls))
     if f.file_ext:
@@ -102,6 +104,7 @@ def listing(map_documents: DataFrame, fetch_documents: DataFrame, f: Filters | N
         rows = rows.orderBy(order.desc_nulls_last() if f.descending else order.asc_nulls_first(), F.col("m.document_id"))
     if f.offset:
         rows = rows.offset(f.offset)
+    rows = rows.where(globs(f))
     if f.limit:
         rows = rows.limit(f.limit)
     fetchable = (F.col("m.status") == "SUCCESS") & (F.col("x.status").isNull() | F.col("x.status").isin("PENDING", "ERROR"))

@@ -36,7 +36,8 @@ def map_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fetch_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = table(spark, sf_dir, "documents").where("doc_id % 4 <> 3").select("doc_id", "n_chars", "source", "text")
+    """Fetch rows of the documents that stand for fetched ones: those in German haven't been."""
+    d = table(spark, sf_dir, "documents").where("lang <> 'de'").select("doc_id", "n_chars", "source", "text")
     p = table(spark, sf_dir, "pages").select("page_id", "url")
     kind = F.col("doc_id") % 5
     status = F.when(kind == 3, "ERROR").when(kind == 4, "PENDING").otherwise("SUCCESS")
@@ -70,10 +71,11 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pageviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(url, ts)``: events of one type on the pages' addresses in turn."""
-    e = table(spark, sf_dir, "events").where("event_type = 'view'").select("ts", (F.col("event_id") % 250).alias("n"))
-    return e.join(table(spark, sf_dir, "pages").select("page_id", "url"), F.col("n") == F.col("page_id")).select("url", "ts")
+    pages = table(spark, sf_dir, "pages").select("page_id", "url")
+    e = table(spark, sf_dir, "events").where("event_type = 'view'").select("ts", (F.col("event_id") % pages.count()).alias("n"))
+    return e.join(pages, F.col("n") == F.col("page_id")).select("url", "ts")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
-    return d.select("doc_id", F.substring("text", 1, 80).alias("title"), F.substring("text", 81, 500).alias("snippet"), (F.col("n_chars") % 500).alias("score"), (F.col("doc_id") % 70).alias("comments"), F.col("source").alias("subreddit"))
+    return d.select("doc_id", F.concat(F.coalesce("lang", F.lit("")), F.lit(" by "), F.coalesce("source", F.lit(""))).alias("title"), F.col("text").alias("snippet"), (F.col("n_chars") % 500).alias("score"), (F.col("doc_id") % 70).alias("comments"), F.col("source").alias("subreddit"))

@@ -1,7 +1,7 @@
 """Keyed writes as DataFrames: the table after the write, and each row's status against the table before it.
 
-Parquet has no MERGE.  ``insert``, ``upsert`` and ``replace`` return the new content; ``commit`` writes it beside the old
-one and switches a pointer, so readers see one or the other.
+Parquet has no MERGE.  ``inserted``, ``upserted`` and ``replaced`` return the new content; ``commit`` writes it beside the old
+one and a pointer file with the next number, so readers see one version or the other.
 """
 
 from __future__ import annotations
@@ -43,16 +43,28 @@ def inserted(target: DataFrame, rows: DataFrame) -> DataFrame:
     return target.unionByName(rows, allowMissingColumns=True)
 
 
-def upserted(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Columns that the rows have replace the old values, nulls included; other columns keep theirs."""
+def _one_of_each(rows: DataFrame, keys: list[str], position: str | None) -> DataFrame:
+    """The last row of each key by ``position``; without one, where rows have no order, the greatest of its rows as JSON."""
+    if position:
+        return last_of_each(rows, keys, position).drop(position)
+    return last_of_each(rows.withColumn("_at", F.to_json(F.struct(*rows.columns))), keys, "_at").drop("_at")
+
+
+def upserted(target: DataFrame, rows: DataFrame, keys: list[str], position: str | None = None) -> DataFrame:
+    """Columns that the rows have replace the old values, nulls included; other columns keep theirs.
+
+    A key's last row by ``position`` (a column that isn't written) stands; without one the greatest row does.
+    """
+    rows = _one_of_each(rows, keys, position)
     new = rows.select(*[F.col(c).alias(f"_new_{c}") for c in rows.columns], F.lit(True).alias("_new"))
     old = target.withColumn("_old", F.lit(True))
     met = old.join(new, [old[k] == new[f"_new_{k}"] for k in keys], "full")
     return met.select(*[F.when(F.col("_new"), F.col(f"_new_{c}")).otherwise(old[c]).alias(c) if c in rows.columns else old[c] for c in target.columns])
 
 
-def replaced(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Whole rows replace those with their key; columns that the rows lack become null."""
+def replaced(target: DataFrame, rows: DataFrame, keys: list[str], position: str | None = None) -> DataFrame:
+    """Whole rows replace those with their key; columns that the rows lack become null.  Of a key's rows one stands, as in ``upserted``."""
+    rows = _one_of_each(rows, keys, position)
     return target.join(rows.select(*keys), keys, "left_anti").select(*target.columns).unionByName(rows, allowMissingColumns=True)
 
 
@@ -65,12 +77,22 @@ def commit(content: DataFrame, folder: str) -> str:
     """Writes a new version below ``folder`` and makes it the current one; returns its path."""
     spark, version = content.sparkSession, f"{folder}/v-{uuid.uuid4().hex[:12]}"
     content.write.parquet(version)
-    spark.createDataFrame([(version,)], "path string").coalesce(1).write.mode("overwrite").text(f"{folder}/current")
+    number = max(_pointers(spark, folder), default=0) + 1
+    pointer = spark.createDataFrame([(version,)], "path string").coalesce(1).write
+    # A folder that is there refuses a second commit of its number; one without its success file isn't a pointer yet.
+    pointer.mode("error").text(f"{folder}/current-{number:09d}")
     return version
 
 
+def _pointers(spark, folder: str) -> list[int]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/current-*/_SUCCESS")
+    found = path.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(path)
+    return [int(f.getPath().getParent().getName()[8:]) for f in found or []]
+
+
 def current(spark, folder: str) -> DataFrame:
-    return spark.read.parquet(spark.read.text(f"{folder}/current").first()[0])
+    """The version that the pointer with the highest number names."""
+    return spark.read.parquet(spark.read.text(f"{folder}/current-{max(_pointers(spark, folder)):09d}").first()[0])
 
 
 def merged(base: DataFrame, ours: DataFrame, theirs: DataFrame, key: str) -> DataFrame:

@@ -90,6 +90,30 @@ def prompted(df: DataFrame, template: str, make: Callable[[], Provider], batch:
     return rows.withColumn("status", F.when(F.col("_missing") != "", "error").otherwise(F.col("status"))).drop("_prompt", "_missing")
 
 
+def recorded(requests: DataFrame, pages: DataFrame, engine: str = "recorded") -> DataFrame:
+    """A stand-in for a fetch service: ``requests`` joined with recorded ``pages(url, html)`` by address.
+
+    Adds ``content`` (Markdown), ``title``, ``description``, ``author``, ``date``, ``fetch_engine``, ``status`` and ``error``.  An address without a
+    record and a page without content are errors, as they are for a service; of several records of an address the least counts.
+    """
+    from ..functions.html import extracted
+
+    known = pages.groupBy(F.col("url").alias("_url")).agg(F.min("html").alias("_html"))
+    rows = requests.join(known, F.col("source_url") == F.col("_url"), "left").withColumn("_e", extracted(F.col("_html")))
+    error = F.when(F.col("_url").isNull(), "HTTP 404").when(F.col("_e.content").isNull(), F.concat(F.lit("No content extracted (page might be empty or paywall blocked): "), "source_url"))
+    facts = [F.when(error.isNull(), F.col(f"_e.{c}")).alias(c) for c in ("content", "title", "description", "author", "date")]
+    return rows.select(*requests.columns, *facts, F.lit(engine).alias("fetch_engine"), F.when(error.isNull(), "SUCCESS").otherwise("ERROR").alias("status"), error.alias("error"))
+
+
+def structured(answers: DataFrame, schema: str, column: str = "llm_response") -> DataFrame:
+    """Model answers in JSON as columns of ``schema``; an answer that isn't such an object is an error row with null columns."""
+    parsed = F.from_json(column, schema, {"mode": "PERMISSIVE"})
+    rows = answers.withColumn("_fields", F.when(F.get_json_object(column, "$").startswith("{"), parsed))
+    bad = (F.col("status") == "success") & F.col("_fields").isNull()
+    rows = rows.withColumns({"error": F.when(bad, "the answer isn't an object of the schema").otherwise(F.col("error")), "status": F.when(bad, "error").otherwise(F.col("status"))})
+    return rows.select("*", "_fields.*").drop("_fields")
+
+
 def resolve(url: str, providers: list[dict], default: str | None = None) -> str | None:
     """The provider whose glob fits best: most literal characters, then source project, user, built-in, then name."""
     import fnmatch

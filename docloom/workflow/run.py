@@ -25,6 +25,7 @@ ALIASES = {"write": "write-db", "batch-llm": "llm", "batch-embedding": "embed"}
 _KEYS = {"workflow", "inputs", "steps"}
 _STEP_KEYS = {"type", "depends_on", "config", "function", "continue_on_error"}
 _TYPES = {"string": str, "int": int, "float": (float, int), "bool": bool}
+#: Fixed value: the syntax of a slot in a step's settings.
 _SLOT = re.compile(r"(?<!\\)\{\{\s*(\w+)(?::(string|int|float|bool))?\s*\}\}")
 
 

@@ -316,3 +316,43 @@ def test_actor_items_and_usage(spark):
     assert got["Hello"].score == 7 and got["Hello"].author == "jo" and got["Hello"].timestamp.year == 2024 and got["https://e.com"].score == 0 and len(got) == 2
     assert [tuple(r) for r in values(spark, V.usage, ['{"usage": {"total_tokens": 10, "output_tokens": 4}}', '{"usage": {"prompt_tokens": 3}}', "{}"])] == [(6, 4), (3, 0), (0, 0)]
     assert [str(x) for x in values(spark, V.parsed_time, ["2024-01-02 03:04:05", "2024-01-02T03:04:05Z", "2024-01-02T03:04:05.123456", "no"])] == ["2024-01-02 03:04:05", "2024-01-02 03:04:05", "2024-01-02 03:04:05.123456", "None"]
+
+
+def test_repeated_keys_and_versions(spark, tmp_path):
+    target = spark.createDataFrame([(1, "a"), (2, "b")], "id int, name string")
+    rows = spark.createDataFrame([(2, "x", 1), (2, "w", 2), (3, "y", 3), (3, None, 4)], "id int, name string, at int")
+    for write in (tables.upserted, tables.replaced):
+        assert sorted(map(tuple, write(target, rows, ["id"], "at").collect()), key=str) == [(1, "a"), (2, "w"), (3, None)]
+        assert sorted(map(tuple, write(target, rows.drop("at"), ["id"]).collect()), key=str) == [(1, "a"), (2, "x"), (3, None)]
+    folder = str(tmp_path / "versions")
+    for n in range(3):
+        tables.commit(target.limit(n), folder)
+        assert tables.current(spark, folder).count() == n
+
+
+def test_network_addresses(spark):
+    assert values(spark, U.profile_name, ["https://www.x.com/Jane_1/media/", "https://x.com/jane/other", "https://netflix.com/jane", "https://x.com/Search"]) == ["Jane_1", None, None, None]
+    assert values(spark, U.tweet_id, ["https://mobile.twitter.com/a/Status/77/photo/1", "https://x.com/a/status/7x", "https://vox.com/a/status/5"]) == ["77", None, None]
+    assert values(spark, U.content_path, ["https://e.com/a//b/", "https://e.com/__/", "https://e.com/%/p.html", "/x"]) == ["e.com/a/b.md", "e.com/index.md", "e.com/p.md", "unknown/x.md"]
+
+
+PAGE = """<html><head><title> Tea &amp; more </title><meta property="og:description" content="All about &quot;tea&quot;"><meta content='Ann' name='author'>
+<script>var x = "<p>no</p>";</script></head><body><nav><a href="/">Home</a></nav><main class="m"><h1>Tea</h1><!-- <p>old</p> --><p>Some  <b>hot</b>
+ and <em>iced</em> <a class="k" href="/k">kinds</a>.<ul><li>green</li><li> black</li></ul><table><tr><th>a</th><th>b</th></tr></table><img src="t.png" alt="cup"><pre><code>x &lt; 1</code></pre></main><footer>no</footer></body></html>"""
+
+
+def test_page_extraction(spark):
+    from docloom.functions import html
+
+    rows = spark.createDataFrame([(PAGE,), (None,), ("",), ("<body><script>1</script></body>",), ("plain words",)], "h string").select(html.extracted(F.col("h")).alias("e")).select("e.*").collect()
+    assert rows[0].content == "# Tea\n\nSome **hot** and *iced* [kinds](/k).\n\n- green\n- black\n\na | b\n\n![cup](t.png)\n\n`x < 1`"
+    assert (rows[0].title, rows[0].description, rows[0].author, rows[0].date) == ("Tea & more", 'All about "tea"', "Ann", None)
+    assert [r.content for r in rows[1:]] == [None, None, None, "plain words"]
+    found = providers.recorded(spark.createDataFrame([("a",), ("b",), ("c",)], "source_url string"), spark.createDataFrame([("a", PAGE), ("c", "")], "url string, html string"))
+    assert {r.source_url: (r.status, r.title) for r in found.collect()} == {"a": ("SUCCESS", "Tea & more"), "b": ("ERROR", None), "c": ("ERROR", None)}
+
+
+def test_structured_answers(spark):
+    rows = spark.createDataFrame([('{"n": 3, "tags": ["x"]}', "success", None), ("none", "success", None), (None, "error", "late")], "llm_response string, status string, error string")
+    got = [(r.n, r.tags, r.status) for r in providers.structured(rows, "n int, tags array<string>").collect()]
+    assert got == [(3, ["x"], "success"), (None, None, "error"), (None, None, "error")]
