@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 from .decontaminate import leaks
-from .licenses import OVERRULED, RULES, SENTENCES, license_scan, normalised, rule_pattern
+from .licenses import NOTICES, license_scan
 from .linededup import boilerplate_removed
 from .mixing import mixed
 from .quality import selected
@@ -89,25 +89,33 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 _OP3 = r"""
-WITH known(id, sentence) AS (VALUES %(known)s), rules(license, rule) AS (VALUES %(rules)s),
-m AS (
-  SELECT row_number() OVER () AS rid, doc_id, way, regexp_replace(lower(text), CASE way WHEN 0 THEN '[.;:!?]+[ \t\r\n]+|[.;:!?]+\z|\n[ \t\r]*\n' ELSE '[.;:!?]+[ \t\r\n]+|[.;:!?]+\z|\n[ \t\r]*\n|\n' END, chr(1), 'g') AS text
-  FROM documents CROSS JOIN (VALUES (0), (1)) ways(way)
-), n AS (
-  SELECT rid, doc_id, way, string_split(regexp_replace(regexp_replace(text, '[^a-z0-9\x01]+', ' ', 'g'), ' *\x01 *', chr(1), 'g'), chr(1)) AS parts FROM m
+WITH notices(n, license, notice) AS (VALUES %s),
+t AS (
+  SELECT 'k' AS kind, n AS rid, NULL::BIGINT AS doc_id, 0 AS way, replace(notice, '{}', chr(2)) AS text FROM notices
+  UNION ALL SELECT 'd', d.rid, d.doc_id, ways.way, d.text FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents) d CROSS JOIN (VALUES (0), (1)) ways(way)
+), m AS (
+  SELECT kind, rid, doc_id, way, regexp_replace(regexp_replace(lower(text), '([a-z])[.]([ \t\r\n]+[^a-z0-9 \t\r\n]*(?:nor|be|may|shall|disclaims|as is)[^a-z0-9])', '\1\2', 'g'), '[.;:!?]+(?:[ \t\r\n]+|\z)|\n[ \t\r]*\n' || CASE way WHEN 1 THEN '|\n' ELSE '' END, chr(1), 'g') AS text FROM t
+), c AS (
+  SELECT kind, rid, doc_id, way, string_split(regexp_replace(text, '[^a-z0-9\x01\x02]+', ' ', 'g'), chr(1)) AS parts FROM m
 ), s AS (
-  SELECT rid, doc_id, trim(unnest(parts)) AS sentence, generate_subscripts(parts, 1) AS pos FROM n
-), f AS (
-  SELECT rid, doc_id, string_agg(id, ' ' ORDER BY pos) AS sentences FROM s JOIN known USING (sentence) GROUP BY rid, doc_id
+  SELECT kind, rid, doc_id, way, pos, sentence FROM (SELECT *, unnest(list_transform(parts, lambda x: trim(x))) AS sentence, generate_subscripts(parts, 1) AS pos FROM c) WHERE sentence <> ''
+), k AS (SELECT rid AS n, row_number() OVER (PARTITION BY rid ORDER BY pos) - 1 AS pos, sentence FROM s WHERE kind = 'k'
+), ids AS (SELECT sentence, arg_min('n' || n || 's' || pos, n * 1000 + pos) AS id FROM k GROUP BY sentence
+), rules AS (SELECT n, list(id ORDER BY pos) AS ids FROM k JOIN ids USING (sentence) GROUP BY n
+), stops AS (
+  SELECT a.n, flatten(list(list_filter(b.ids, lambda x: NOT list_contains(a.ids, x)) || list_transform(list_filter(b.ids, lambda x: NOT list_contains(a.ids, x)), lambda x: x || 'x'))) AS stops FROM rules a JOIN rules b
+    ON len(b.ids) > len(a.ids) AND regexp_matches(' ' || array_to_string(b.ids, ' ') || ' ', ' ' || array_to_string(a.ids, ' (?:.* )?') || ' ') GROUP BY a.n
+), w AS (
+  SELECT s.rid, s.doc_id, s.way, s.pos, i.id FROM s JOIN ids i ON s.sentence = i.sentence WHERE s.kind = 'd'
+  UNION ALL SELECT s.rid, s.doc_id, s.way, s.pos, CASE WHEN regexp_full_match(s.sentence, replace(i.sentence, chr(2), '[a-z0-9].*')) THEN i.id ELSE i.id || 'x' END FROM s JOIN ids i ON contains(i.sentence, chr(2)) AND starts_with(s.sentence, string_split(i.sentence, chr(2))[1])
+    WHERE s.kind = 'd' AND (regexp_full_match(s.sentence, replace(i.sentence, chr(2), '[a-z0-9].*')) OR len(string_split(string_split(i.sentence, chr(2))[1], ' ')) > 3)
+), f AS (SELECT rid, doc_id, way, list(id ORDER BY pos) AS ids FROM w GROUP BY rid, doc_id, way
 ), l AS (
-  SELECT doc_id, license, max(sentences) AS sentences FROM f JOIN rules ON regexp_matches(f.sentences, rules.rule) GROUP BY doc_id, license
+  SELECT f.rid, f.doc_id, o.license, array_to_string(f.ids, ' ') AS sentences FROM f CROSS JOIN rules r JOIN notices o ON o.n = r.n LEFT JOIN stops p ON p.n = r.n
+  WHERE regexp_matches(array_to_string(list_transform(f.ids, lambda x: CASE WHEN list_contains(p.stops, x) THEN '#' ELSE x END), ' '), '(?:^| )' || array_to_string(r.ids, '(?: [a-z0-9]+)* ') || '(?: [a-z0-9]|$)')
 )
-SELECT doc_id, license, sentences FROM l WHERE NOT EXISTS (SELECT 1 FROM l AS o WHERE o.doc_id = l.doc_id AND (l.license, o.license) IN (VALUES %(over)s))
-""" % {
-    "known": ", ".join(f"('{i}', '{normalised(x)}')" for i, x in SENTENCES.items()),
-    "rules": ", ".join(f"('{n}', '{rule_pattern(ids)}')" for n, ids in RULES),
-    "over": ", ".join(f"('{a}', '{b}')" for a, b in OVERRULED.items()),
-}
+SELECT doc_id, license, max(sentences) AS sentences FROM l GROUP BY rid, doc_id, license
+""" % ", ".join("({}, '{}', '{}')".format(n, name, text.replace("'", "''")) for n, (name, text) in enumerate(NOTICES))
 
 _OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
