@@ -147,13 +147,14 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = 12_000, seed: int = S
     return fit([found[i] for i in order], known[order])
 
 
-def scored(docs: DataFrame, model: OrdinalModel | None, wanted: int = 2) -> DataFrame:
-    """Every row of ``docs`` with ``expected_grade`` and ``tail_probability``, that of a grade of ``wanted`` or more.
+def scored(docs: DataFrame, model: OrdinalModel | None, wanted: int = 2, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
+    """Every row of ``docs`` with an expected grade and a tail probability, that of a grade of ``wanted`` or more, under ``names``.
 
     Columns of these names are replaced.  Rows without words get 0 for both; without a model both are null.
     """
+    expected, tail = names
     if model is None:
-        return docs.withColumns({"expected_grade": F.lit(None).cast("double"), "tail_probability": F.lit(None).cast("double")})
+        return docs.withColumns({c: F.lit(None).cast("double") for c in names})
 
     @F.pandas_udf("expected_grade double, tail_probability double")
     def score(texts):
@@ -166,16 +167,22 @@ def scored(docs: DataFrame, model: OrdinalModel | None, wanted: int = 2) -> Data
             out.append((float(tails.sum()), float(tails[wanted - 1]) if wanted <= len(tails) else 0.0))
         return pd.DataFrame(out, columns=["expected_grade", "tail_probability"])
 
-    rows = docs.drop("expected_grade", "tail_probability").withColumn("__score", score("text"))
-    return rows.select("*", "__score.expected_grade", "__score.tail_probability").drop("__score")
+    # Declared as not deterministic, so that a filter on a score doesn't evaluate it a second time.
+    rows = docs.drop(*names).withColumn("__score", score.asNondeterministic()("text"))
+    return rows.select("*", F.col("__score.expected_grade").alias(expected), F.col("__score.tail_probability").alias(tail)).drop("__score")
 
 
-def selected(docs: DataFrame, labels: DataFrame, least: float = 0.4, sample: int = 12_000) -> DataFrame:
-    """The rows of ``docs`` whose probability of the best grade is ``least`` or more, with both scores.
+def selected(docs: DataFrame, labels: DataFrame, least: float = 0.4, sample: int = 12_000, names: tuple[str, str] = ("expected_grade", "tail_probability")) -> DataFrame:
+    """The rows of ``docs`` whose probability of the best grade is ``least`` or more, with both scores under ``names``.
 
     Rows without words are rejected.  Null ids are scored like others.  Without ratings of two grades nothing is rejected, and
     scores are null.
     """
     model = train(docs, grades(labels), sample)
-    rows = scored(docs, model)
-    return rows if model is None else rows.where(F.col("tail_probability") >= least)
+    rows = scored(docs, model, names=names)
+    return rows if model is None else rows.where(F.col(names[1]) >= least)
+
+
+def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``docs``, same columns, without the rows that ``selected`` rejects; equal rows are judged alike and each stays or goes."""
+    return selected(docs, labels, names=("__expected_grade", "__tail_probability")).select(*docs.columns)
