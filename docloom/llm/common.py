@@ -61,8 +61,12 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def discard(*frames: DataFrame) -> None:
     """Deletes the files of stored frames that nothing lazy refers to any more."""
     for df in frames:
-        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(df._stored_at)
-        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
+        deleted(df.sparkSession, df._stored_at)
+
+
+def deleted(spark: SparkSession, path: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -91,6 +95,17 @@ def range_bounds(df: DataFrame, column: str, buckets: int) -> list:
     return sorted({int(x) for x in found})
 
 
+def id_ranges(docs: DataFrame, n: int, id_col: str = "doc_id") -> list[DataFrame]:
+    """``docs`` in up to ``n`` ascending ranges of ids of about equal size; null ids are in the first."""
+    at = F.col(id_col).cast("bigint")
+    bounds = range_bounds(docs.select(at.alias(id_col)), id_col, n)
+    parts = []
+    for low, high in zip([None, *bounds], [*bounds, None]):
+        part = docs if low is None else docs.where(at > low)
+        parts.append(part if high is None else part.where((at <= high) | at.isNull() if low is None else at <= high))
+    return parts
+
+
 def bucket_of(column, bounds: list):
     """0 for null, else 1 + the number of bounds below the value, by binary search."""
     if not bounds:

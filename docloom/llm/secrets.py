@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import id_ranges, release, stored
 
 #: The base kinds, in the order of ties, with the length that a match must have.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -77,15 +77,16 @@ def with_blobs(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: str = RULES, text_col: str = "text") -> DataFrame:
-    """``ledger`` and the rows of all blobs in ``docs`` that it lacks for this rule version; stored before it returns.
+    """``ledger`` and the rows of all blobs in ``docs`` that it lacks for this rule version; those are stored before it returns.
 
-    Rows with equal texts are one blob, whatever their paths and versions.  The ledger's rows of other rule versions stay.
+    Rows with equal texts are one blob, whatever their paths and versions.  The ledger's rows, of other rule versions too, stay as they are.
     """
     texts = with_blobs(docs.select(F.coalesce(text_col, F.lit("")).alias("text")))
     if ledger is not None:
-        texts = texts.join(ledger.where(F.col("rules") == rules).select("blob"), "blob", "left_anti")
+        texts = texts.join(ledger.where(F.col("rules") == rules).select("blob").hint("merge"), "blob", "left_anti")
     new = stored(scanned(texts.select("blob", "text").dropDuplicates(["blob"]), rules), "ledger")
-    return new if ledger is None else stored(ledger.unionByName(new), "ledger")
+    release(docs.sparkSession)
+    return new if ledger is None else ledger.unionByName(new)
 
 
 def findings(docs: DataFrame, ledger: DataFrame, rules: str = RULES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -101,6 +102,12 @@ def findings(docs: DataFrame, ledger: DataFrame, rules: str = RULES, id_col: str
     return paths.join(held, "blob", "left").select(id_col, *counts, F.coalesce("base_sha256", F.lit(none)).alias("base_sha256"), F.coalesce("spans", F.lit("")).alias("spans"), F.lower(F.hex("blob")).alias("blob"))
 
 
-def secret_scan(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Scans what the ledger lacks and returns the findings of all rows of ``docs(doc_id, text)``."""
-    return findings(docs, update_ledger(docs, ledger))
+def secret_scan(docs: DataFrame, ledger: DataFrame | None = None, batches: int = 2) -> DataFrame:
+    """Brings all of ``docs(doc_id, text)`` to the ledger in ``batches`` ascending ranges of ids and returns the findings of all rows.
+
+    Each range is scanned only for blobs that neither ``ledger`` nor an earlier range has under this rule version.  Null ids are in the
+    first range.
+    """
+    for part in id_ranges(docs, batches):
+        ledger = update_ledger(part, ledger)
+    return findings(docs, ledger)

@@ -7,8 +7,8 @@ for thirteen words.
 
 Each batch of documents becomes a sorted immutable run of ``(fp, doc_id)``, bucketed by ``fp``.  Runs with the same
 number of buckets are merge-joined bucket by bucket without a shuffle: the new run against the historical ones.
-Documents that share a fingerprint are then verified: all their windows under shared fingerprints are compared by two
-independent 64-bit hashes of the whole word sequence.  Compaction merges the runs into one.
+Documents that share a fingerprint are then verified: all their windows under shared fingerprints are compared by two 64-bit
+hashes of the whole word sequence, from different hash functions of the words.  Compaction merges the runs into one.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import common
-from .common import release, scratch, stored
+from .common import deleted, discard, release, scratch, stored
 
 _BASES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F)
 _POWERS: dict[int, tuple[np.ndarray, np.ndarray]] = {}
@@ -56,8 +56,8 @@ def _runs_of(hashes: np.ndarray, n: int, base: int) -> np.ndarray:
     return _mixed((total[n:] - total[:-n]) * down[: len(hashes) - n + 1])
 
 
-def _word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(xxhash.xxh3_64_intdigest, words), np.uint64, len(words))
+def _word_hashes(words: list[bytes], of=xxhash.xxh3_64_intdigest) -> np.ndarray:
+    return np.fromiter(map(of, words), np.uint64, len(words))
 
 
 def window_fingerprints(hashes: np.ndarray, width: int) -> np.ndarray:
@@ -108,10 +108,11 @@ def _windows(found: DataFrame, width: int) -> DataFrame:
     def run(batches):
         for b in batches:
             for i, t in enumerate(b.column(2)):
-                hashes = _word_hashes(t.as_py().split())
+                words = t.as_py().split()
+                hashes = _word_hashes(words)
                 at = np.nonzero(np.isin(window_fingerprints(hashes, width), np.asarray(b.column(3)[i].as_py(), np.int64)))[0]
                 if len(at):
-                    one, two = (_runs_of(h, width, base)[at].view(np.int64) for h, base in zip((hashes, _mixed(hashes)), _BASES))
+                    one, two = (_runs_of(h, width, base)[at].view(np.int64) for h, base in zip((hashes, _word_hashes(words, xxhash.xxh64_intdigest)), _BASES))
                     yield pa.RecordBatch.from_arrays([_int64(one), _int64(two), _int64(np.full(len(at), b.column(0)[i].as_py())), _int64(np.full(len(at), b.column(1)[i].as_py())), pa.array(at.astype(np.int32), pa.int32())], ["h1", "h2", "doc_id", "row", "at"])
 
     return found.mapInArrow(run, "h1 bigint, h2 bigint, doc_id bigint, row bigint, at int")
@@ -148,13 +149,15 @@ class FingerprintIndex:
     def __init__(self, spark: SparkSession, width: int = 50, buckets: int | None = None):
         self.spark, self.width, self.buckets = spark, width, buckets or common.width(spark)
         self.runs: list[str] = []
+        self._paths: dict[str, str] = {}
         self.docs: list[DataFrame] = []
         self.texts: DataFrame | None = None
         self.seen: DataFrame | None = None
 
     def _write_run(self, rows: DataFrame) -> str:
         name = f"docloom_run_{uuid.uuid4().hex[:12]}"
-        out = rows.repartition(self.buckets, "fp").write.format("parquet").option("compression", "zstd").option("path", scratch(self.spark, "run"))
+        self._paths[name] = scratch(self.spark, "run")
+        out = rows.repartition(self.buckets, "fp").write.format("parquet").option("compression", "zstd").option("path", self._paths[name])
         out.bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
         return name
 
@@ -166,7 +169,17 @@ class FingerprintIndex:
                 rows = rows.union(self.spark.table(name))
             old, self.runs = self.runs, [self._write_run(rows)]
             for name in old:
-                self.spark.sql(f"DROP TABLE {name}")
+                self._drop(name)
+
+    def _drop(self, name: str) -> None:
+        self.spark.sql(f"DROP TABLE {name}")
+        deleted(self.spark, self._paths.pop(name))
+
+    def close(self) -> None:
+        """Deletes the runs; results that were returned stay."""
+        for name in self.runs:
+            self._drop(name)
+        self.runs = []
 
     def add(self, docs: DataFrame) -> DataFrame:
         """``(doc_id, n_words, n_removed, kept_sha256)`` for every row of ``docs(doc_id, text)``.
@@ -208,11 +221,12 @@ class FingerprintIndex:
         found = stored(found, "candidate-texts")
         release(self.spark)
 
-        windows = _windows(found, width)
+        windows = stored(_windows(found, width), "windows")
         origin = stored(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "origins")
         release(self.spark)
         repeats = windows.join(origin, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id", "row").agg(F.collect_set("at").alias("at"))
         repeats = stored(repeats, "repeats")
+        discard(windows, origin)
         cut = stored(_cut(found.join(repeats, ["doc_id", "row"]).select("doc_id", "row", "text", "at"), width).distinct(), "cut")
         release(self.spark)
 
@@ -235,17 +249,10 @@ def repeats_removed(docs: DataFrame, width: int = 50, batches: int = 2) -> DataF
     Extra columns are ignored; an empty table returns no rows.
     """
     index = FingerprintIndex(docs.sparkSession, width)
-    bounds = common.range_bounds(docs.select(F.col("doc_id").cast("bigint").alias("doc_id")), "doc_id", batches)
     out = None
-    for low, high in zip([None, *bounds], [*bounds, None]):
-        part = docs
-        if low is not None:
-            part = part.where(F.col("doc_id") > low)
-        if high is not None:
-            part = part.where((F.col("doc_id") <= high) | (F.col("doc_id").isNull() if low is None else F.lit(False)))
-        elif low is None:
-            part = docs
+    for part in common.id_ranges(docs, batches):
         done = index.add(part)
         index.compact()
         out = done if out is None else out.unionByName(done)
+    index.close()
     return out

@@ -170,6 +170,9 @@ def test_repeats_empty_table_and_index_growth(spark):
     before = spark.table(index.runs[0]).count() + spark.table(index.runs[1]).count()
     index.compact()
     assert len(index.runs) == 1 and spark.table(index.runs[0]).count() == before
+    name = index.runs[0]
+    index.close()
+    assert not spark.catalog.tableExists(name) and second.count() == 2
 
 
 def brute_secrets(text):
@@ -201,7 +204,7 @@ def test_secret_scan(spark):
     assert secrets.secret_scan(documents(spark, rows).where("doc_id > 99")).collect() == []
 
 
-def test_ledger_scans_only_unseen_blobs(spark):
+def test_ledger_scans_only_unseen_blobs(spark, monkeypatch):
     docs = documents(spark, [(1, SECRETS[0]), (2, SECRETS[0]), (3, "plain")])
     ledger = secrets.update_ledger(docs)
     assert ledger.count() == 2
@@ -210,6 +213,10 @@ def test_ledger_scans_only_unseen_blobs(spark):
     grown = secrets.update_ledger(more, marked)
     assert grown.count() == 3 and grown.where("spans = rules").count() == 2
     assert secrets.update_ledger(more, grown, rules="2").count() == 5
+    batches = documents(spark, [(i, f"text {i % 3}") for i in range(9)] + [(None, "text 1"), (None, "text 5")])
+    scans, real = [], secrets.scanned
+    monkeypatch.setattr(secrets, "scanned", lambda blobs, rules: real(scans.append(blobs.count()) or blobs, rules))
+    assert secrets.secret_scan(batches, batches=3).count() == 11 and sum(scans) == 4 and len(scans) == 3
     assert {r.spans for r in secrets.findings(docs, marked).collect()} == {secrets.RULES}
 
 
