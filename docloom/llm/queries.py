@@ -15,7 +15,7 @@ from .mixing import mixed
 from .quality import selected
 from .secrets import secret_scan
 from .simhash import simhash_groups
-from .spotsigs import edited_likeness
+from .spotsigs import edited_likeness, spot_groups
 from .substrings import repeats_removed
 from .tokenfiles import token_files
 
@@ -41,6 +41,11 @@ def op2_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_likeness(table(spark, sf_dir, "documents"))
 
 
+def spot_signature_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The corpus-wide part of operator 2: classes of documents at a likeness of 0.8."""
+    return spot_groups(table(spark, sf_dir, "documents"))
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan(table(spark, sf_dir, "documents"))
 
@@ -86,6 +91,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_repeats_removed": op9_repeats_removed,
     "op10_simhash_groups": op10_simhash_groups,
+    "spot_signature_groups": spot_signature_groups,
 }
 
 _OP3 = r"""

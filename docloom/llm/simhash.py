@@ -15,7 +15,6 @@ left out.
 
 from __future__ import annotations
 
-import functools
 from itertools import combinations
 
 import numpy as np
@@ -25,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, components, discard, release, stored, width
+from .similar import near, rarest
 
 _SLICE = 1 << 16
 
@@ -153,15 +153,6 @@ def simhash_groups(docs: DataFrame, words: int = 4, id_col: str = "doc_id", text
     return _grouped(each, id_col).select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-#: The shingles are counted in so many turns, each over the hashes of one remainder, so that few of them are on disk at a time;
-#: whole sets are moved in as many.
-TURNS = 4
-#: A shingle in so many sets of every eighth, or in a thousandth of them, is common: it comes last in the order, without a count.
-COMMON = 32
-#: Common shingles up to which their list is broadcast: some 32 MB.  A corpus has at most a thousand for each shingle of a set.
-BROADCAST_ROWS = 1_000_000
-
-
 def shingles_of(text: str | None, shingle: int) -> np.ndarray:
     """The sorted distinct XXH64 hashes of a text's shingles; A-Z are lowered, fewer words than a shingle are one of all."""
     parts = (text or "").encode("utf-8", "surrogatepass").lower().split()
@@ -201,8 +192,8 @@ def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_
     sets = stored(texts.mapInArrow(sketch, "h binary, s array<bigint>").select(F.monotonically_increasing_id().alias("node"), "h", "s"), "texts-sets")
     release(docs.sparkSession)
     each = stored(rows.select("id", "h").join(sets.select("h", "node").hint("merge"), "h"), "texts-rows")
-    index = _rarest(sets, similarity)
-    tree = _near(index, sets, similarity)
+    index = rarest(sets, similarity)
+    tree = near(index, sets, similarity)
     rooted = stored(each.join(tree, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root")), "texts-classes")
     least = rooted.groupBy("root").agg(F.min(F.struct("id", "h")).alias("top"))
     found = rooted.join(least, "root").select(F.col("id").alias(id_col), "h", F.col("top.id").alias("class_id"), (F.struct("id", "h") == F.col("top")).alias("kept"))
@@ -212,85 +203,6 @@ def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_
     return found
 
 
-def _near(index: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """Components ``(node, root)`` of all pairs of ``sets(node, s)`` that are similar; ``sets`` is discarded.
-
-    ``index(node, n, own, at, token)`` has the shingles on which sets meet.
-    """
-    meeting, parts = index.select("node").distinct().hint("merge"), []
-    for turn in range(TURNS):
-        some = sets.where(F.pmod("node", F.lit(TURNS)) == turn)
-        parts.append(stored(some.join(meeting, "node", "left_semi").select("node", "s"), "texts-needed"))
-        release(sets.sparkSession)
-    discard(sets)
-    needed = functools.reduce(DataFrame.unionByName, parts)
-    member = F.struct("node", "n", "at")
-    # The fewer shingles of its own, the nearer to the middle of its copies; the same set leads on most shingles of a class.
-    tops = index.groupBy("token").agg(F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "n", "at")).alias("y"), F.count("*").alias("many"))
-    tops = stored(tops.where("many > 1"), "texts-tops")
-
-    # Lengths and the shingles that remain from here on bound what two sets share, if this is their first common one.
-    def bound(a, b):
-        least = similarity / (1 + similarity) * (a["n"] + b["n"]) - 1e-9
-        return (F.least(a["n"], b["n"]) >= similarity * F.greatest(a["n"], b["n"]) - 1e-9) & (F.least(a["n"] - a["at"], b["n"] - b["at"]) >= least)
-
-    def ordered(pairs):
-        return pairs.select(F.greatest("x.node", "y.node").alias("a"), F.least("x.node", "y.node").alias("b")).distinct()
-
-    def verified(pairs, name):
-        both = pairs.join(needed.select(F.col("node").alias("a"), F.col("s").alias("sa")).hint("merge"), "a")
-        both = both.join(needed.select(F.col("node").alias("b"), F.col("s").alias("sb")).hint("merge"), "b")
-        shared = F.size(F.array_intersect("sa", "sb"))
-        found = stored(both.where(shared >= similarity * (F.size("sa") + F.size("sb") - shared) - 1e-9).select("a", "b"), name)
-        release(needed.sparkSession)
-        return found
-
-    star = index.select("token", member.alias("x")).join(tops.select("token", "y").hint("merge"), "token").where("x.node <> y.node").where(bound(F.col("x"), F.col("y")))
-    pairs = stored(ordered(star), "texts-pairs")
-    first = verified(pairs, "texts-links")
-    # Of two members on a shingle both have been compared.  Of more, only those that aren't in the leader's class by now go on: the
-    # work is theirs times the group, not the group's square.
-    tree = components(first)
-    lead = tops.where("many > 2").select("token", F.col("y.node").alias("node")).join(tree, "node", "left").select("token", F.coalesce("root", "node").alias("lead"))
-    open_ = index.join(lead.hint("merge"), "token").join(tree, "node", "left")
-    open_ = stored(open_.select("token", "lead", F.struct("node", "n", "at", F.coalesce("root", "node").alias("c")).alias("x")), "texts-open")
-    outside = open_.where("x.c <> lead").select("token", "x")
-    cross = outside.join(open_.select("token", "lead", F.col("x").alias("y")).hint("merge"), "token").where("x.c <> y.c and (y.c = lead or x.c < y.c)").where(bound(F.col("x"), F.col("y")))
-    rest = stored(ordered(cross).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "texts-rest")
-    second = verified(rest, "texts-more-links")
-    tree = components(first.union(second))
-    discard(*parts, tops, pairs, first, open_, rest, second)
-    return tree
-
-
-def _rarest(sets: DataFrame, similarity: float) -> DataFrame:
-    """``(node, n, own, at, token)``: of ``sets(node, s)`` the first ``n - ceil(similarity * n) + 1`` shingles in the order of how many
-    sets have them, without the ``own`` ones that no other set has; ``at`` is the place in that order, from 0."""
-    spark = sets.sparkSession
-    eighth = sets.where(F.pmod(F.xxhash64("node"), F.lit(8)) == 0)
-    often = F.greatest(F.lit(COMMON), F.lit(eighth.count() / 1000))
-    common = eighth.select(F.explode("s").alias("token")).groupBy("token").agg(F.count("*").alias("m")).where(F.col("m") >= often)
-    common = stored(common.select("token", F.lit(True).alias("common")), "texts-common")
-    common = F.broadcast(common) if common.count() <= BROADCAST_ROWS else common
-    parts = []
-    for turn in range(TURNS):
-        tokens = sets.select("node", F.explode(F.filter("s", lambda x: F.pmod(x, F.lit(TURNS)) == turn)).alias("token"))  # noqa: B023
-        marked = tokens.join(common, "token", "left")
-        known = marked.where("common").select("node", "token", F.lit(1 << 40).alias("often"))
-        counted = marked.where("common is null").select("node", "token", F.count("*").over(Window.partitionBy("token")).alias("often")).where("often > 1")
-        parts.append(stored(known.unionByName(counted), "texts-shared"))
-        release(spark)
-    by = functools.reduce(DataFrame.unionByName, parts).groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("by"))
-    of = by.join(sets.select("node", F.size("s").alias("n")).hint("merge"), "node")
-    own = F.col("n") - F.size("by")
-    prefix = F.col("n") - F.ceil(F.col("n") * similarity - 1e-9) + 1
-    cut = of.where(prefix > own).select("node", "n", own.alias("own"), F.posexplode(F.slice("by", F.lit(1), (prefix - own).cast("int"))).alias("k", "e"))
-    index = stored(cut.select("node", "n", "own", (F.col("own") + F.col("k")).alias("at"), "e.token"), "texts-index")
-    discard(*parts)
-    release(spark)
-    return index
-
-
 def near_duplicates_removed(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs``, same columns, with one row of each class of near copies: one with the class's smallest id.
 

@@ -18,7 +18,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bucket_of, checkpointed, components, range_bounds, stored, width
+from .common import bucket_of, discard, range_bounds, stored, width
+from .similar import near, rarest
 
 #: Anchors of English, French, German and Spanish.
 ANCHORS = frozenset(
@@ -146,42 +147,35 @@ def edited_likeness(docs: DataFrame, threshold: float = 0.8) -> DataFrame:
 
 
 def spot_groups(docs: DataFrame, threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``(id_col, class_id, links)`` for every row: groups linked at likeness ``threshold`` or more, and the number of
-    different sets that a row's set links to.
+    """``(id_col, class_id)`` for every row: groups linked at likeness ``threshold`` or more.
 
-    Equal sets are one member of the join however many rows have them.  A set's rarest signatures, as many as a partner
-    must share one of, are its index entries; entries meet on signature and on the lower of two adjacent length classes.  Whatever
-    meets is verified by the exact coefficient.  Work follows the number of different sets that share a rare signature.
-    ``class_id`` is the smallest id of the group.  Null texts are empty, and rows without words are one class.
+    Equal sets are one member however many rows have them.  A set's rarest signatures, as many as a partner must share one of, are
+    its index entries; entries meet on signature and on the lower of two adjacent length classes, and what meets within the bounds
+    of length is compared by the exact coefficient (see ``similar``).  ``class_id`` is the smallest id of the group, null if all
+    are.  Null texts are empty, and rows without words are one class.  Equal rows each return one; an empty table returns no rows.
     """
 
     def run(batches):
         for b in batches:
-            sets = [signatures(t.as_py() or "").astype(np.int64) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.list_(pa.int64()))], ["id", "sigs"])
+            for lo in range(0, b.num_rows, 512):
+                c = b.slice(lo, 512)
+                sets = [signatures(t.as_py() or "").astype(np.int64) for t in c.column(1)]
+                address = pa.array([hashlib.md5(s.tobytes()).digest() for s in sets], pa.binary())
+                yield pa.RecordBatch.from_arrays([c.column(0), address, pa.array(sets, pa.list_(pa.int64()))], ["id", "h", "s"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    each = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, sigs array<bigint>")
-    each = stored(each.withColumn("set", F.sha2(F.concat_ws(",", F.col("sigs").cast("array<string>")), 256)), "spots")
-    sets = stored(each.groupBy("set").agg(F.min("id").alias("rep"), F.first("sigs").alias("sigs")).where(F.size("sigs") > 0), "spot-sets")
-    n = F.size("sigs")
-    entries = sets.select("set", n.alias("n"), F.explode("sigs").alias("sig"))
-    often = entries.groupBy("sig").agg(F.count("*").alias("often"))
-    ranked = entries.join(often, "sig").groupBy("set", "n").agg(F.array_sort(F.collect_list(F.struct("often", "sig"))).alias("by"))
-    prefix = F.slice("by", F.lit(1), (F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1).cast("int"))
+    each = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(run, f"id {kind}, h binary, s array<bigint>")
+    each = stored(each, "spots")
+    sets = each.groupBy("h").agg(F.first("s").alias("s")).select(F.monotonically_increasing_id().alias("node"), "h", "s")
+    sets = stored(sets, "spot-sets")
+    members = stored(each.groupBy("h").agg(F.min("id").alias("rep")).join(sets.select("h", "node").hint("merge"), "h"), "spot-members")
+    index = rarest(sets.where(F.size("s") > 0), threshold)
     level = F.floor(F.log("n") / -math.log(threshold) + 1e-9)
-    index = stored(ranked.select("set", "n", level.alias("level"), F.explode(prefix).alias("e")).select("set", "n", "level", "e.sig"), "spot-index")
-    up = index.select("set", "n", "sig", F.explode(F.array("level", F.col("level") - 1)).alias("level"))
-    met = index.alias("a").join(up.alias("b"), ["sig", "level"]).where("a.set <> b.set and (a.n < b.n or (a.n = b.n and a.set < b.set))").where(F.col("a.n") >= F.col("b.n") * threshold)
-    pairs = met.select(F.col("a.set").alias("a"), F.col("b.set").alias("b")).distinct()
-    left, right = (sets.select(F.col("set").alias(x), F.col("sigs").alias(f"s{x}")) for x in "ab")
-    shared = F.size(F.array_intersect("sa", "sb"))
-    verified = pairs.join(left, "a").join(right, "b").where(shared / (F.size("sa") + F.size("sb") - shared) >= threshold).select("a", "b")
-    verified = stored(verified, "spot-links")
-    tree = components(verified)
-    degree = verified.select(F.explode(F.array("a", "b")).alias("set")).groupBy("set").agg(F.count("*").alias("links"))
-    rooted = each.groupBy("set").agg(F.min("id").alias("rep")).join(tree.withColumnRenamed("node", "set"), "set", "left").withColumn("root", F.coalesce("root", "set"))
-    rooted = checkpointed(rooted.join(degree, "set", "left"))
+    dealt = index.withColumn("level", F.explode(F.array(level, level - 1))).withColumn("token", F.xxhash64("token", "level")).drop("level")
+    tree = near(dealt, sets, threshold)
+    rooted = stored(members.join(tree, "node", "left").select("h", "rep", F.coalesce("root", "node").alias("root")), "spot-roots")
     least = rooted.groupBy("root").agg(F.min("rep").alias("class_id"))
-    final = stored(rooted.join(least, "root").select("set", "class_id", F.coalesce("links", F.lit(0)).alias("links")), "spot-classes")
-    return each.select(F.col("id").alias(id_col), "set").join(final, "set").drop("set")
+    final = stored(rooted.join(least, "root").select("h", "class_id"), "spot-classes")
+    rows = stored(each.select("id", "h").join(final.hint("merge"), "h").select(F.col("id").alias(id_col), "class_id"), "spot-rows")
+    discard(each, members, index, rooted, final)
+    return rows

@@ -2,14 +2,16 @@
 
 import hashlib
 import random
+import re
 import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import xxhash
 
 import corpus_pipeline
-from docloom.llm import decontaminate, licenses, linededup, quality, simhash, spotsigs
+from docloom.llm import decontaminate, licenses, linededup, quality, similar, simhash, spotsigs
 from docloom.llm.common import components
 
 from .helpers import CLASHING, documents
@@ -21,22 +23,37 @@ def prose(rnd, n):
     return " ".join(rnd.choice(["the", "of", "and", "is", "a"]) if rnd.random() < 0.4 else f"word{rnd.randint(0, 5000)}" for _ in range(n))
 
 
+def plain_signatures(text):
+    """By the definition, word by word: an anchor and the two next words that aren't anchors."""
+    words = re.findall(r"[^\W_]+", (text or "").lower())
+    made = set()
+    for k, w in enumerate(words):
+        if w in spotsigs.ANCHORS:
+            after = [x for x in words[k + 1 :] if x not in spotsigs.ANCHORS][:2]
+            if after:
+                made.add(" ".join([w, *after]))
+    if words and not made:
+        made = {" ".join(words)}
+    return {xxhash.xxh32_intdigest(x) for x in made}
+
+
 def test_edited_likeness(spark):
     rnd = random.Random(1)
-    rows = [(i * 3, prose(rnd, rnd.randint(0, 200))) for i in range(60)] + [(500, None), (501, ""), (502, "Ünï çødé 🙂 text"), (-7, prose(rnd, 90)), (502, "the same word"), (None, "the null word here")]
-    got = {(r.doc_id, r.n_chars, r.edited_sha256): r for r in spotsigs.edited_likeness(documents(spark, rows, **CLASHING)).collect()}
-    ids = [r for r in rows if r[0] not in (502, None)]
-    order = sorted(ids, key=lambda r: -r[0])
-    for k, (i, t) in enumerate(order[:-1]):
-        t, n = t or "", order[k + 1][1] or ""
-        if order[k + 1][0] == order[k][0] - 3 or i < 500:
-            cut = len(t) // 3
-            edited = t[: len(t) - cut] + n[:cut]
-            r = got[i, len(t), hashlib.sha256(edited.encode()).hexdigest()]
-            assert r.fingerprint == spotsigs.fingerprint(t) and r.edited_fingerprint == spotsigs.fingerprint(edited)
-            a, b, c = (spotsigs.signatures(x) for x in (t, edited, n))
-            assert r.near_edited == spotsigs.likeness(a, b) and r.near_next == spotsigs.likeness(a, c)
-    assert len(got) == len(rows)
+    rows = [(i * 3, prose(rnd, rnd.randint(0, 200))) for i in range(60)] + [(500, None), (501, ""), (502, "Ünï çødé 🙂 text"), (-7, prose(rnd, 90)), (502, "the same word"), (None, "the null word here"), (3, prose(rnd, 50)), (600, "the of and"), (601, "word " * 9000)]
+    docs = documents(spark, rows, **CLASHING)
+    got = Counter((r.doc_id, r.n_chars, r.edited_sha256, r.fingerprint, r.edited_fingerprint, round(r.near_edited, 9), round(r.near_next, 9)) for r in spotsigs.edited_likeness(docs).collect())
+    hashes = {r.text: r.h for r in docs.selectExpr("coalesce(text, '') as text", "xxhash64(coalesce(text, '')) as h").collect()}
+    order = sorted(((i, t or "") for i, t in rows), key=lambda r: (r[0] is not None, r[0] or 0, hashes[r[1]]), reverse=True)
+    hexed = lambda s: "".join(f"{x:08x}" for x in sorted(s))
+    jaccard = lambda a, b: len(a & b) / len(a | b) if a | b else 1.0
+    want = Counter()
+    for k, (i, t) in enumerate(order):
+        n = order[(k + 1) % len(order)][1]
+        cut = len(t) // 3
+        edited = t[: len(t) - cut] + n[:cut]
+        a, b, c = map(plain_signatures, (t, edited, n))
+        want[i, len(t), hashlib.sha256(edited.encode()).hexdigest(), hexed(a), hexed(b), round(jaccard(a, b), 9), round(jaccard(a, c), 9)] += 1
+    assert got == want
     one = spotsigs.edited_likeness(documents(spark, [(1, "the lonely document here")])).collect()
     assert len(one) == 1 and one[0].near_next == 1.0
     assert spotsigs.edited_likeness(documents(spark, rows).where("doc_id > 999")).collect() == []
@@ -72,7 +89,10 @@ def near_rows(rnd, maker):
 
 
 def test_spot_groups(spark):
-    rows = near_rows(random.Random(3), prose)
+    rnd = random.Random(3)
+    rows = near_rows(rnd, prose)
+    base = prose(rnd, 300).split()  # many near copies that share most signatures, of different lengths
+    rows += [(200 + k, " ".join(base[: 300 - rnd.randrange(90)] + ["the", f"own{k}", f"more{k}"])) for k in range(60)] + [(None, rows[0][1])]
     got = spotsigs.spot_groups(documents(spark, rows, **CLASHING)).collect()
     assert len(got) == len(rows)
     sets = [spotsigs.signatures(t or "") for _, t in rows]
@@ -82,7 +102,7 @@ def test_spot_groups(spark):
             if spotsigs.likeness(sets[a], sets[b]) >= 0.8:
                 ra, rb = root[a], root[b]
                 root = [rb if x == ra else x for x in root]
-    least = {r: min(rows[k][0] for k in range(len(rows)) if root[k] == r) for r in root}
+    least = {r: min(rows[k][0] for k in range(len(rows)) if root[k] == r and rows[k][0] is not None) for r in root}
     assert Counter((r.doc_id, r.class_id) for r in got) == Counter((rows[k][0], least[root[k]]) for k in range(len(rows)))
 
 
@@ -141,7 +161,7 @@ def test_near_copies_where_many_meet(spark):
 
 @pytest.mark.parametrize("common", [1, 32])
 def test_near_copies_beyond_the_first_on_a_shingle(spark, monkeypatch, common):
-    monkeypatch.setattr(simhash, "COMMON", common, raising=False)
+    monkeypatch.setattr(similar, "COMMON", common)
     rnd = random.Random(12)
     shared = " ".join(f"notice{i}" for i in range(90))
     texts = [t for _ in range(3) for t in crowd(rnd, 25)] + [f"{shared} {t}" for _ in range(12) for t in crowd(rnd, 3, 40, 3)] + [None, "", " ", "one", "ONE ", "two words"]
