@@ -2,13 +2,15 @@
 
 A text's words are lowered and freed of outer marks; numbers, names and the units behind numbers become typed
 placeholders.  Windows of ``WINDOW`` consecutive template words are hash-joined between documents and benchmark items,
-so a question is found with other numbers and names in it as well.  A match through placeholders counts only if, along
+so a question is found with other numbers and names in it as well.  Documents first keep what the index has at all; an item starts from
+its rarest windows alone, one of which a document that holds enough of it must have, so a template that many items share doesn't
+pair each of them with each document.  A match through placeholders counts only if, along
 one alignment of item and document, equal values of the item always meet equal values in the document.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import checkpointed, stored
@@ -81,13 +83,22 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, run: int =
     items = benchmark.where("item_id is not null").select("item_id", "text").dropDuplicates(["item_id", "text"])
     index = stored(windows(items, "item_id").select("item_id", F.col("at").alias("i_at"), "h", F.col("slots").alias("i_slots")).distinct(), "benchmark-windows")
     total = index.groupBy("item_id").agg(F.countDistinct("i_at").alias("item_windows"))
+    total = stored(total.withColumn("enough", F.least(F.ceil(F.col("item_windows") * share), F.lit(run - WINDOW + 1))), "benchmark-items")
+    small = (lambda df: F.broadcast(df)) if index.count() <= BROADCAST_ROWS else (lambda df: df)
+
+    key = ["doc_id", "row", "item_id"]
     texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
-    small = index.count() <= BROADCAST_ROWS
-    found = windows(texts, "doc_id", "row").join(F.broadcast(index) if small else index, "h")
+    often = index.select("h", "item_id").distinct().groupBy("h").agg(F.count("*").alias("often"))
+    hits = stored(windows(texts, "doc_id", "row").join(small(often.select("h")), "h", "left_semi"), "hits")
+    place = F.row_number().over(Window.partitionBy("item_id").orderBy("often", "i_at"))
+    rarest = index.join(often, "h").groupBy("item_id", "i_at").agg(F.max("often").alias("often")).withColumn("_n", place).join(total, "item_id").where("_n <= item_windows - enough + 1")
+    starts = stored(index.join(rarest.select("item_id", "i_at"), ["item_id", "i_at"]).select("h", "item_id").distinct(), "benchmark-starts")
+    begun = stored(hits.join(small(starts), "h").select(*key).distinct(), "begun")
+    same = [hits[c].eqNullSafe(begun[c]) for c in ("doc_id", "row")]
+    found = hits.join(begun, same).select(hits["doc_id"], hits["row"], "item_id", "at", "h", "slots").join(small(index), ["h", "item_id"])
     # A literal row meets template rows of texts without placeholders; slots are compared where both have some.
-    found = stored(found.select("doc_id", "row", "item_id", "at", "i_at", "slots", "i_slots"), "matches")
+    found = stored(found.select(*key, "at", "i_at", "slots", "i_slots"), "matches")
 
-    key = ["doc_id", "row", "item_id"]
     line = [*key, (F.col("at") - F.col("i_at")).alias("shift")]
     both = found.where("slots is not null and i_slots is not null")
     pairs = both.select(*line, F.explode(F.arrays_zip("slots", "i_slots")).alias("p")).select(*key, "shift", "p.*").where("slots is not null or i_slots is not null")
@@ -98,8 +109,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, run: int =
     sound = both.select(*line, "i_at").distinct().alias("b").join(clash.alias("c"), same, "left_anti").select(*key, "i_at", F.lit(1).alias("by_slot"))
     held = direct.union(sound).groupBy(*key, "i_at").agg(F.min("by_slot").alias("by_slot"))
     held = held.groupBy(*key).agg(F.count("*").alias("windows"), F.sum("by_slot").alias("through_slots")).join(total, "item_id")
-    enough = F.least(F.ceil(F.col("item_windows") * share), F.lit(run - WINDOW + 1))
-    return held.where(F.col("windows") >= enough).select(*key, "windows", "item_windows", "through_slots")
+    return held.where("windows >= enough").select(*key, "windows", "item_windows", "through_slots")
 
 
 def decontaminated(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

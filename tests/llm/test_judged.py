@@ -8,6 +8,7 @@ from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 
 import corpus_pipeline
@@ -282,6 +283,68 @@ def test_leaks_of_windows_full_of_placeholders(spark):
     assert {r.item_id: r.item_windows for r in found} == {0: 11, 1: 11, 2: 14} and all(r.windows >= r.item_windows - 1 for r in found)
 
 
+def plain_templates(text):
+    """Word by word: (template, literal) of each word."""
+    out = []
+    for m in re.finditer(r"[^ \t\n\x0b\f\r]+", text or ""):
+        w, before = m[0], text[: m.start()]
+        name = len(w) > 1 and regex.match(r"\p{Lu}\p{Ll}", w) and regex.search(r"[\p{Ll}\p{N},;:] \Z", before)
+        w = regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w.lower())
+        if w:
+            unit = w in decontaminate.UNITS and out and out[-1][0] == "<n>"
+            out.append(("<name>" if name else "<n>" if regex.fullmatch(r"\p{N}[\p{N}.,:/]*", w) else "<u>" if unit else w, w))
+    return out
+
+
+def plain_leak(doc, item):
+    """(windows, item windows, through slots) of an item in a document, over all pairs of places; None if it isn't held."""
+    d, i = plain_templates(doc), plain_templates(item)
+    n = len(i) - 4
+    if n < 1:
+        return None
+    slots = lambda w: {k: x[1] for k, x in enumerate(w) if x[0] in ("<n>", "<name>", "<u>")}
+    direct, by_shift = set(), defaultdict(list)
+    for b in range(n):
+        for a in range(len(d) - 4):
+            x, y = d[a : a + 5], i[b : b + 5]
+            if [w[1] for w in x] == [w[1] for w in y]:
+                direct.add(b)
+            if [w[0] for w in x] == [w[0] for w in y] and 1 <= len(slots(x)) <= 2:
+                by_shift[a - b].append((b, slots(x), slots(y)))
+    through = set()
+    for found in by_shift.values():
+        values = defaultdict(set)
+        for _, x, y in found:
+            for k in y:
+                values[y[k]].add(x[k])
+        if all(len(v) == 1 for v in values.values()):
+            through |= {b for b, _, _ in found}
+    held = direct | through
+    return (len(held), n, len(through - direct)) if len(held) >= min(-(-n // 2), 9) else None
+
+
+@pytest.mark.parametrize("rows", [400_000, 0])
+def test_leaks_against_all_places(spark, monkeypatch, rows):
+    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", rows)
+    rnd = random.Random(21)
+    names, things = ["Tom", "Ann", "Lucy", "Bob"], ["apples", "pears", "coins"]
+    ask = "How many {t} does {a} have if {a} buys {x} {t} and gives {y} {t} to {b} who walks {y} km"
+    fill = lambda t: t.format(t=rnd.choice(things), a=rnd.choice(names), b=rnd.choice(names), x=rnd.randint(1, 9), y=rnd.randint(1, 9))
+    items = [(k, " ".join([*(f"own{k}w{j}" for j in range(rnd.randint(0, 9))), fill(ask), *(f"end{k}w{j}" for j in range(rnd.randint(0, 6)))])) for k in range(12)]
+    texts = []
+    for _ in range(50):
+        words = rnd.choice(items)[1].split(" ") if rnd.random() < 0.6 else fill(ask).split(" ")
+        for _ in range(rnd.choice([0, 0, 1, 2, 4])):
+            words[rnd.randrange(len(words))] = rnd.choice(["other", "Bob", "7", "--", "Lucy,"])
+        words = words[rnd.randrange(4) :][: rnd.choice([60, 60, 14, 9])]
+        texts.append("x y " + (" ".join(words) if rnd.random() < 0.5 else " ".join(words).lower()) + " z")
+    docs = list(enumerate(texts))
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    got = {(r.doc_id, r.item_id): (r.windows, r.item_windows, r.through_slots) for r in decontaminate.leaks(documents(spark, docs), bench).collect()}
+    want = {(k, i): found for k, text in docs for i, item in items if (found := plain_leak(text, item))}
+    assert got == want and any(x[2] for x in want.values())
+
+
 def test_no_python_in_decontamination(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = decontaminate.windows(docs, "doc_id").join(bench, docs["doc_id"] == bench["item_id"])._jdf.queryExecution().toString()
