@@ -81,10 +81,11 @@ def update_ledger(docs: DataFrame, ledger: DataFrame | None = None, rules: str =
 
     Rows with equal texts are one blob, whatever their paths and versions.  The ledger's rows, of other rule versions too, stay as they are.
     """
-    texts = with_blobs(docs.select(F.coalesce(text_col, F.lit("")).alias("text")))
+    # Copies go before the shuffle; the join meets the blobs where that left them.
+    texts = with_blobs(docs.select(F.coalesce(text_col, F.lit("")).alias("text"))).dropDuplicates(["blob"])
     if ledger is not None:
         texts = texts.join(ledger.where(F.col("rules") == rules).select("blob").hint("merge"), "blob", "left_anti")
-    new = stored(scanned(texts.select("blob", "text").dropDuplicates(["blob"]), rules), "ledger")
+    new = stored(scanned(texts.select("blob", "text"), rules), "ledger")
     release(docs.sparkSession)
     return new if ledger is None else ledger.unionByName(new)
 
