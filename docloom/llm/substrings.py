@@ -221,12 +221,12 @@ class FingerprintIndex:
         found = stored(found, "candidate-texts")
         release(self.spark)
 
-        windows = stored(_windows(found, width), "windows")
+        windows = _windows(found, width)  # made again below: reading them back costs more
         origin = stored(windows.groupBy("h1", "h2").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")).where("lo < hi").drop("hi"), "origins")
         release(self.spark)
         repeats = windows.join(origin, ["h1", "h2"]).where("doc_id > lo").groupBy("doc_id", "row").agg(F.collect_set("at").alias("at"))
         repeats = stored(repeats, "repeats")
-        discard(windows, origin)
+        discard(origin)
         cut = stored(_cut(found.join(repeats, ["doc_id", "row"]).select("doc_id", "row", "text", "at"), width).distinct(), "cut")
         release(self.spark)
 
