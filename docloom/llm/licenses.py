@@ -58,7 +58,7 @@ NOTICES = [
 ]
 
 #: A full stop before a word that goes on with a sentence, as after "Inc.", ends nothing.
-_ABBREVIATED = r"([a-z])\.([ \t\r\n]+[^a-z0-9 \t\r\n]*(?:nor|be|may|shall|disclaims|as is)[^a-z0-9])"
+_ABBREVIATED = r"\.([ \t\r\n]+[^a-z0-9 \t\r\n]*(?:nor|be|may|shall|disclaims|as is)[^a-z0-9])"
 #: Ends of sentences: a mark before a blank, a blank line; with ``_LINE`` any line's end.
 _END = r"[.;:!?]+[ \t\r\n]+|[.;:!?]+\z|\n[ \t\r]*\n"
 _LINE = r"\n"
@@ -66,7 +66,7 @@ _LINE = r"\n"
 
 def sentences_of(notice: str) -> list[str]:
     """The normalised sentences of a notice; a gap is ``{}``."""
-    text = re.sub(_ABBREVIATED, r"\1\2", notice.lower().replace("{}", "\x02"))
+    text = re.sub(_ABBREVIATED, r"\1", notice.lower().replace("{}", "\x02"))
     parts = re.sub(_END.replace(r"\z", r"\Z"), "\x01", text).split("\x01")
     found = [re.sub("[^a-z0-9\x02]+", " ", p).replace("\x02", "{}").strip() for p in parts]
     return [p for p in found if p]
@@ -105,7 +105,7 @@ def rule_pattern(ids: list[str]) -> str:
 
 def _sentences(text: Column, ends: str) -> Column:
     """The normalised sentences of a text column."""
-    marked = F.regexp_replace(F.regexp_replace(F.lower(text), _ABBREVIATED, "$1$2"), ends, "\x01")
+    marked = F.regexp_replace(F.regexp_replace(F.lower(text), _ABBREVIATED, "$1"), ends, "\x01")
     return F.split(F.regexp_replace(F.regexp_replace(marked, "[^a-z0-9\x01]+", " "), " *\x01 *", "\x01"), "\x01")
 
 

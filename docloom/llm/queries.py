@@ -100,7 +100,7 @@ t AS (
   SELECT 'k' AS kind, n AS rid, NULL::BIGINT AS doc_id, 0 AS way, replace(notice, '{}', chr(2)) AS text FROM notices
   UNION ALL SELECT 'd', d.rid, d.doc_id, ways.way, d.text FROM (SELECT row_number() OVER () AS rid, doc_id, text FROM documents) d CROSS JOIN (VALUES (0), (1)) ways(way)
 ), m AS (
-  SELECT kind, rid, doc_id, way, regexp_replace(regexp_replace(lower(text), '([a-z])[.]([ \t\r\n]+[^a-z0-9 \t\r\n]*(?:nor|be|may|shall|disclaims|as is)[^a-z0-9])', '\1\2', 'g'), '[.;:!?]+(?:[ \t\r\n]+|\z)|\n[ \t\r]*\n' || CASE way WHEN 1 THEN '|\n' ELSE '' END, chr(1), 'g') AS text FROM t
+  SELECT kind, rid, doc_id, way, regexp_replace(regexp_replace(lower(text), '[.]([ \t\r\n]+[^a-z0-9 \t\r\n]*(?:nor|be|may|shall|disclaims|as is)[^a-z0-9])', '\1', 'g'), '[.;:!?]+(?:[ \t\r\n]+|\z)|\n[ \t\r]*\n' || CASE way WHEN 1 THEN '|\n' ELSE '' END, chr(1), 'g') AS text FROM t
 ), c AS (
   SELECT kind, rid, doc_id, way, string_split(regexp_replace(text, '[^a-z0-9\x01\x02]+', ' ', 'g'), chr(1)) AS parts FROM m
 ), s AS (
