@@ -105,7 +105,8 @@ def next_in_order(docs: DataFrame) -> DataFrame:
     own = rows.join(F.broadcast(lent), F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("h") == F.col("_h")), "left")
     places = F.array(F.struct(F.col("bucket").alias("bucket"), F.lit(False).alias("lead")), F.struct(F.col("_to").alias("bucket"), F.lit(True).alias("lead")))
     own = own.select("doc_id", "h", "text", F.explode(F.when(F.col("_to").isNull(), F.slice(places, 1, 1)).otherwise(places)).alias("p")).select("doc_id", "h", "text", "p.*")
-    return own.repartition(n, "bucket").sortWithinPartitions("bucket", "lead", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
+    # Ranges are partitions: hashed, some tasks would have several of them.
+    return own.repartitionById(n + 1, "bucket").sortWithinPartitions("bucket", "lead", F.col("doc_id").desc_nulls_last(), F.col("h").desc())
 
 
 _OUT = "doc_id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, n_signatures int, length_class int"
