@@ -16,6 +16,7 @@ writes the same files.  Folders of ``file:`` URIs are opened directly, others th
 from __future__ import annotations
 
 import functools
+import json
 import os
 import re
 import sys
@@ -52,9 +53,17 @@ class Encoder:
         self.memo, self.most = {}, memo
         added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = re.compile("|".join([_ODD.pattern, *map(re.escape, added)]))
-        self.pieces = '"ByteLevel"' in self.tokenizer.pre_tokenizer.__getstate__().decode() if self.tokenizer.pre_tokenizer else False
+        self.pieces = self._splits()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
+    def _splits(self) -> bool:
+        """Whether texts may be encoded piece by piece: byte-level splitting alone, nothing before it and no blank added in front."""
+        first = self.tokenizer.pre_tokenizer
+        if first is None or self.tokenizer.normalizer is not None or self.tokenizer.truncation or self.tokenizer.padding:
+            return False
+        found = json.loads(first.__getstate__())
+        return found.get("type") == "ByteLevel" and not found.get("add_prefix_space", True) and found.get("use_regex", False)
+
     def _bytes(self, ids: list[int]) -> bytes:
         out = array("H" if self.dtype.itemsize == 2 else "I", ids)
         if sys.byteorder == "big":
