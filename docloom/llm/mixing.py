@@ -11,7 +11,7 @@ A source may hold a third of all rows, so its order is never made in one task: k
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import SEED, WORD, stored
@@ -40,12 +40,20 @@ def targets(per: DataFrame, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most:
     return per.withColumn("target", F.coalesce(F.least("_cap", level * F.col("_w")), F.col("_cap"))).drop("_w", "_cap", "_left", "_level")
 
 
+def share_below(key: Column, spread: Column, n: Column) -> Column:
+    """The expected share of a source's ``n`` keys below ``key``, for its weights ``spread`` (array of ``_mean`` and ``_m``, how many have it).
+
+    It never falls with the key and is about uniform over the source's rows, whatever the weights are.
+    """
+    return 1 - F.aggregate(spread, F.lit(0.0), lambda s, x: s + x["_m"] * F.exp(-key * x["_mean"])) / n
+
+
 def mixed(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[float, ...] = (5.0, 2.0, 1.0), most: float = 3.0, seed: int = SEED) -> DataFrame:
     """``(doc_id, source, size, source_size, target, taken, epochs, row, drawn)`` for every row of ``docs(doc_id, source, text)``.
 
     ``size`` is the number of words, 0 for null; ``taken`` counts the words that the mix takes, with repeats: whole epochs
     of the source, and in key order what the rest of the target holds.  ``quality(doc_id, weight)`` scales the keys; a
-    document without a positive weight there has weight 1.  The null source is a source; a null id is an ordinary value.
+    document without a positive finite weight there has weight 1.  The null source is a source; a null id is an ordinary value.
     Ids needn't be unique: the text is part of what a key is drawn from, and equal rows share a key.  Extra columns are
     ignored; an empty table returns no rows.
     """
@@ -53,21 +61,24 @@ def mixed(docs: DataFrame, quality: DataFrame | None = None, weights: tuple[floa
     if quality is not None:
         one = quality.groupBy("doc_id").agg(F.max("weight").alias("weight"))
         rows = rows.join(one.withColumnRenamed("doc_id", "_id"), F.col("doc_id") == F.col("_id"), "left").drop("_id")
-        rows = rows.withColumn("weight", F.when(F.col("weight") > 0, F.col("weight").cast("double")).otherwise(1.0))
+        rows = rows.withColumn("weight", F.when((F.col("weight") > 0) & (F.col("weight") < float("inf")), F.col("weight").cast("double")).otherwise(1.0))
     else:
         rows = rows.withColumn("weight", F.lit(1.0))
     drawn = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.col("digest"), F.lit(str(seed))))
     u = (F.conv(F.substring(drawn, 1, 13), 16, 10).cast("bigint") + 0.5) / F.lit(float(1 << 52))
     rows = stored(rows.select("doc_id", "source", "row", "size", "weight", (-F.log(u) / F.col("weight")).alias("key")), "mix-rows")
 
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"), F.count("*").alias("_n"), F.avg("weight").alias("_mean"))
+    # Weights of a source in classes of a quarter of an octave, at most some thousand however many documents it has.
+    level = F.round(F.log2("weight") * 4).cast("int")
+    classes = rows.groupBy("source", level.alias("_level")).agg(F.sum("size").alias("_size"), F.count("*").alias("_m"), F.avg("weight").alias("_mean"))
+    spread = F.sort_array(F.collect_list(F.struct("_mean", "_m"))).alias("_spread")
+    per = classes.groupBy("source").agg(F.sum("_size").alias("source_size"), F.sum("_m").alias("_n"), spread)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0)
     plan = targets(per, weights, most).withColumn("epochs", epochs.cast("bigint"))
     plan = stored(plan.withColumn("rest", F.round(F.col("target") - F.col("epochs") * F.col("source_size")).cast("bigint")), "mix-plan")
 
-    # 1 - exp(-key * mean weight) grows with the key and is about uniform.
     count = F.ceil(F.col("_n") / _BUCKET)
-    bucket = F.least(F.floor((1 - F.exp(-F.col("key") * F.col("_mean"))) * count), count - 1).cast("bigint")
+    bucket = F.greatest(F.lit(0), F.least(F.floor(share_below(F.col("key"), F.col("_spread"), F.col("_n")) * count), count - 1)).cast("bigint")
     dealt = rows.join(plan.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).withColumn("bucket", bucket)
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     sums = dealt.groupBy("source", "bucket").agg(F.sum("size").alias("_total"))

@@ -9,11 +9,15 @@ from itertools import combinations
 import numpy as np
 import pytest
 import xxhash
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from docloom.llm import secrets, simhash, substrings
+from docloom.llm import mixing
 from docloom.llm.mixing import mixed, mixture
 from docloom.llm.queries import vocabulary
-from docloom.llm.tokenfiles import read_tokens, token_files, write_tokens
+from docloom.llm.tokenfiles import Encoder, encoder, read_tokens, token_files, write_tokens
 from docloom.llm.common import scratch
 
 from .helpers import CLASHING, documents
@@ -53,6 +57,30 @@ def test_token_files_small_memo_and_manifest(spark):
     assert read_tokens(manifest.where("docs < 0")).count() == 0
 
 
+@settings(max_examples=400, deadline=None)
+@given(st.lists(st.text(st.one_of(st.sampled_from(" \t\n\r\x0b\x1c\x85\xa0\u2003\u3000'.,09aé中<|>"), st.characters(exclude_categories=["Cs"])), max_size=40), max_size=4))
+def test_pieces_encode_like_whole_texts(texts):
+    enc = encoder(vocabulary())
+    assert enc.pieces
+    for text, found in zip(texts, enc(texts)):
+        assert np.frombuffer(found, enc.dtype).tolist() == enc.tokenizer.encode(text, add_special_tokens=False).ids
+
+
+def test_other_tokenizers_encode_whole_texts(tmp_path):
+    from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+    tok = Tokenizer.from_file(vocabulary())
+    changes = [("normalizer", normalizers.NFKC()), ("pre_tokenizer", pre_tokenizers.ByteLevel(add_prefix_space=True))]
+    for k, (name, value) in enumerate(changes):
+        tok = Tokenizer.from_file(vocabulary())
+        setattr(tok, name, value)
+        tok.save(str(tmp_path / f"{k}.json"))
+        enc = Encoder(str(tmp_path / f"{k}.json"))
+        assert not enc.pieces
+        for text in ("two words", " ﬁne ②", ""):
+            assert np.frombuffer(enc([text])[0], enc.dtype).tolist() == tok.encode(text, add_special_tokens=False).ids
+
+
 def test_token_files_empty(spark):
     assert token_files(spark, documents(spark, [(1, "x")]).where("doc_id > 1"), vocabulary()).collect() == []
 
@@ -257,3 +285,19 @@ def test_heavier_documents_come_first(spark):
     quality = spark.createDataFrame([(i, 4.0) for i in range(1000)] + [(5000 + i, 4.0) for i in range(1000)], "doc_id bigint, weight double")
     out = [r for r in mixed(docs, quality, weights=(1.0, 3.0)).collect() if r.source == "big" and r.taken]
     assert sum(r.doc_id < 1000 for r in out) > 2 * sum(r.doc_id >= 1000 for r in out)
+
+
+def test_buckets_of_keys_are_even_for_any_weights(spark, monkeypatch):
+    rows = spark.range(20000).select(F.element_at(F.array(*[F.lit(w) for w in (0.001, 0.25, 2.0, 900.0)]), (F.col("id") % 4 + 1).cast("int")).alias("w"), ((F.xxhash64("id") % 100000 + 100000) / 200000 + 1e-6).alias("u"))
+    rows = rows.select("w", (-F.log("u") / F.col("w")).alias("key"))
+    spread = rows.groupBy("w").agg(F.count("*").alias("_m")).agg(F.sort_array(F.collect_list(F.struct(F.col("w").alias("_mean"), "_m"))).alias("spread"), F.sum("_m").alias("n"))
+    found = rows.crossJoin(spread).select("key", mixing.share_below(F.col("key"), F.col("spread"), F.col("n")).alias("x")).orderBy("key", "x").collect()
+    assert all(a.x <= b.x for a, b in zip(found, found[1:]))
+    sizes = np.bincount([min(99, int(r.x * 100)) for r in found], minlength=100)
+    assert sizes.max() < 300 and sizes.min() > 100
+
+    docs = documents(spark, [(i, "w " * (i % 7), "s") for i in range(2000)])
+    quality = spark.createDataFrame([(i, (0.01, 1.0, 50.0, float("nan"), float("inf"), -1.0)[i % 6]) for i in range(2000)], "doc_id bigint, weight double")
+    whole = sorted(map(str, mixed(docs, quality).collect()))
+    monkeypatch.setattr(mixing, "_BUCKET", 16)
+    assert sorted(map(str, mixed(docs, quality).collect())) == whole
