@@ -62,7 +62,28 @@ def states(events: DataFrame) -> DataFrame:
     return events.groupBy("run_id").applyInPandasWithState(step, f"run_id {kind}, status string, id bigint", "status string, id bigint", "update", "NoTimeout")
 
 
-def counts_by_window(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes") -> DataFrame:
-    """Counts by event time; works for tables and, with late data up to ``late``, for streams."""
+def counts_by_window(events: DataFrame, window: str = "5 minutes", late: str = "10 minutes", slide: str | None = None) -> DataFrame:
+    """Counts by event time, in windows that start every ``slide`` (else side by side); works for tables and, with late data up to
+    ``late``, for streams."""
     rows = events.withWatermark("created_at", late) if events.isStreaming else events
-    return rows.groupBy(F.window("created_at", window), "status").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "status", "n")
+    return rows.groupBy(F.window("created_at", window, slide), "status").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "status", "n")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """``(run_id, start, end, n)`` of each run's stretches of events without a pause of more than ``gap``; ``end`` is the last event's time
+    and the gap.  For tables and, with late data up to ``late``, for streams in append mode."""
+    rows = events.withWatermark("created_at", late) if events.isStreaming else events
+    found = rows.groupBy("run_id", F.session_window("created_at", gap)).agg(F.count("*").alias("n"))
+    return found.select("run_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
+
+
+def followed(first: DataFrame, then: DataFrame, within: str = "10 minutes", late: str = "10 minutes") -> DataFrame:
+    """``(run_id, id, then_id)``: events of ``then`` in the same run after one of ``first``, up to ``within`` later.
+
+    Of two streams the join keeps only the rows that watermarks and the bound on time still need.
+    """
+    a = first.select("run_id", "id", F.col("created_at").alias("_from"))
+    b = then.select(F.col("run_id").alias("_run"), F.col("id").alias("then_id"), F.col("created_at").alias("_at"))
+    a = a.withWatermark("_from", late) if first.isStreaming else a
+    b = b.withWatermark("_at", late) if then.isStreaming else b
+    return a.join(b, F.expr(f"run_id = _run and _at > _from and _at <= _from + interval {within}")).select("run_id", "id", "then_id")

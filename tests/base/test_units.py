@@ -356,3 +356,28 @@ def test_structured_answers(spark):
     rows = spark.createDataFrame([('{"n": 3, "tags": ["x"]}', "success", None), ("none", "success", None), (None, "error", "late")], "llm_response string, status string, error string")
     got = [(r.n, r.tags, r.status) for r in providers.structured(rows, "n int, tags array<string>").collect()]
     assert got == [(3, ["x"], "success"), (None, None, "error"), (None, None, "error")]
+
+
+def test_sessions_and_follow_ups_of_streams(spark, tmp_path):
+    at = lambda minute: f"2024-01-01 {minute // 60:02d}:{minute % 60:02d}:00"
+    rows = [(1, "a", "view", 0), (2, "a", "purchase", 10), (3, "a", "view", 39), (4, "a", "purchase", 80), (5, "b", "view", 30), (6, "b", "purchase", 30), (7, "b", "purchase", 60)]
+    rows = [(i, r, s, at(m)) for i, r, s, m in rows] + [(8, "z", "view", at(600)), (9, "z", "purchase", at(601))]
+    table = spark.createDataFrame(rows, "id bigint, run_id string, status string, t string").selectExpr("id", "run_id", "status", "timestamp(t) AS created_at")
+    table.write.parquet(str(tmp_path / "in"))
+    read = lambda: spark.readStream.schema(table.schema).parquet(str(tmp_path / "in"))
+
+    def drained(df, name):
+        df.writeStream.format("parquet").option("path", str(tmp_path / name)).option("checkpointLocation", str(tmp_path / f"{name}-at")).trigger(availableNow=True).start().awaitTermination()
+        return spark.read.schema(df.schema).parquet(str(tmp_path / name))
+
+    seen = lambda df: sorted((r.run_id, str(r.start)[11:16], str(r.end)[11:16], r.n) for r in df.collect())
+    batch = seen(events.sessions(table))
+    assert batch == [("a", "00:00", "01:09", 3), ("a", "01:20", "01:50", 1), ("b", "00:30", "01:30", 3), ("z", "10:00", "10:31", 2)]
+    # The last session stays open until later events move the watermark.
+    assert seen(drained(events.sessions(read()), "sessions")) == batch[:-1]
+    kinds = lambda df: (df.where("status = 'view'"), df.where("status = 'purchase'"))
+    found = events.followed(*kinds(table), within="30 minutes")
+    assert sorted(map(tuple, found.collect())) == [("a", 1, 2), ("b", 5, 7), ("z", 8, 9)]
+    assert sorted(map(tuple, drained(events.followed(*kinds(read()), within="30 minutes"), "followed").collect())) == [("a", 1, 2), ("b", 5, 7), ("z", 8, 9)]
+    slid = events.counts_by_window(table.where("id = 2"), "1 hour", slide="15 minutes")
+    assert sorted(str(r.start)[11:16] for r in slid.collect()) == ["00:00", "23:15", "23:30", "23:45"]
