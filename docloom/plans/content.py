@@ -92,7 +92,7 @@ def _(spark, sf):
     return pages.feed_urls(_listed(spark, sf, entry, '<feed xmlns="http://www.w3.org/2005/Atom">', "</feed>"), include="^https", exclude="/de/")
 
 
-@query("crawl_edges", f"""SELECT DISTINCT url AS src, {_p(1)} || '://' || {_p(2)} || href AS dst FROM (SELECT url, unnest(regexp_extract_all(html, '<a\s[^>]*href="([^"]*)"', 1)) AS href FROM pages)""")
+@query("crawl_edges", f"""SELECT DISTINCT url AS src, {_p(1)} || '://' || {_p(2)} || href AS dst FROM (SELECT url, unnest(regexp_extract_all(html, '<a\\s[^>]*href="([^"]*)"', 1)) AS href FROM pages)""")
 def _(spark, sf):
     return pages.crawl_edges(views.table(spark, sf, "pages"))
 
