@@ -5,8 +5,10 @@ window's fingerprint: the smallest hash among the word runs of half its length i
 decide it, so equal windows always share it, and neighbouring windows mostly do, which leaves about one row
 for thirteen words.
 
-Each batch of documents becomes a sorted immutable run of ``(fp, doc_id)``, bucketed by ``fp``.  Runs with the same
-number of buckets are merge-joined bucket by bucket without a shuffle: the new run against the historical ones.
+Each batch of documents becomes a sorted immutable run: heads, one row for a fingerprint, bucketed by ``fp``, and places
+``(fp, part, doc_id)``, bucketed by ``(fp, part)``.  A fingerprint that many documents share is dealt over several parts,
+so no bucket holds all its places.  Runs with the same number of buckets are merge-joined bucket by bucket without a
+shuffle: the heads of the new run against the historical ones, then the places under the shared fingerprints.
 Documents that share a fingerprint are then verified: all their windows under shared fingerprints are compared by two 64-bit
 hashes of the whole word sequence, from different hash functions of the words.  Compaction merges the runs into one.
 """
@@ -154,26 +156,47 @@ class FingerprintIndex:
         self.texts: DataFrame | None = None
         self.seen: DataFrame | None = None
 
-    def _write_run(self, rows: DataFrame) -> str:
-        name = f"docloom_run_{uuid.uuid4().hex[:12]}"
+    def _table(self, rows: DataFrame, name: str, *keys: str) -> None:
         self._paths[name] = scratch(self.spark, "run")
-        out = rows.repartition(self.buckets, "fp").write.format("parquet").option("compression", "zstd").option("path", self._paths[name])
-        out.bucketBy(self.buckets, "fp").sortBy("fp").saveAsTable(name)
+        out = rows.write.format("parquet").option("compression", "zstd").option("path", self._paths[name])
+        out.bucketBy(self.buckets, *keys).sortBy(*keys).saveAsTable(name)
+
+    def _heads(self, name: str) -> DataFrame:
+        return self.spark.table(f"{name}_heads")
+
+    def _write_run(self, rows: DataFrame, heads: DataFrame) -> str:
+        """A run of ``rows(fp, doc_id)`` and ``heads(fp, lo, hi, n)``.
+
+        ``limit`` is a quarter of a bucket's mean; a fingerprint with more places takes ``n / limit`` parts by hash of the
+        id.  At most ``4 * buckets`` fingerprints can have so many places, which bounds the broadcast.
+        """
+        name = f"docloom_run_{uuid.uuid4().hex[:12]}"
+        limit = max(1, -(-rows.count() // (4 * self.buckets)))
+        self._table(heads.withColumn("parts", F.expr(f"cast((n - 1) div {limit} + 1 as int)")), f"{name}_heads", "fp")
+        hot = self._heads(name).where("parts > 1").select("fp", "parts")
+        part = F.coalesce(F.pmod(F.xxhash64("doc_id"), "parts"), F.lit(0)).cast("int").alias("part")
+        places = rows.join(F.broadcast(hot), "fp", "left").select("fp", part, "doc_id")
+        self._table(places.repartition(self.buckets, "fp", "part"), name, "fp", "part")
         return name
 
     def compact(self) -> None:
-        """One run in place of several."""
+        """One run in place of several.
+
+        The runs are read as plain files: over a union of bucketed tables Spark 4.1.2 leaves out the exchange, and the
+        rows of one fingerprint stay apart.
+        """
         if len(self.runs) > 1:
-            rows = self.spark.table(self.runs[0])
-            for name in self.runs[1:]:
-                rows = rows.union(self.spark.table(name))
-            old, self.runs = self.runs, [self._write_run(rows)]
+            heads = self.spark.read.parquet(*[self._paths[f"{name}_heads"] for name in self.runs])
+            heads = heads.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("n").alias("n"))
+            rows = self.spark.read.parquet(*[self._paths[name] for name in self.runs]).select("fp", "doc_id")
+            old, self.runs = self.runs, [self._write_run(rows, heads)]
             for name in old:
                 self._drop(name)
 
-    def _drop(self, name: str) -> None:
-        self.spark.sql(f"DROP TABLE {name}")
-        deleted(self.spark, self._paths.pop(name))
+    def _drop(self, run: str) -> None:
+        for name in (run, f"{run}_heads"):
+            self.spark.sql(f"DROP TABLE {name}")
+            deleted(self.spark, self._paths.pop(name))
 
     def close(self) -> None:
         """Deletes the runs; results that were returned stay."""
@@ -193,17 +216,22 @@ class FingerprintIndex:
         self.texts = texts if self.texts is None else self.texts.unionByName(texts)
         base = stored(_summaries(texts), "summaries")
         self.seen = base if self.seen is None else self.seen.unionByName(base)
-        new = self._write_run(_run_rows(texts.where("doc_id is not null"), width))
+        rows = stored(_run_rows(texts.where("doc_id is not null"), width), "run-rows")
+        new = self._write_run(rows, rows.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.count("*").alias("n")))
+        discard(rows)
         release(self.spark)
 
         # Merge-join of the new run with the older ones, bucket by bucket.
-        first = self.spark.table(new).groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"))
+        first = self._heads(new).select("fp", "lo", "hi")
         for name in self.runs:
-            old = self.spark.table(name).groupBy("fp").agg(F.min("doc_id").alias("old"))
+            old = self._heads(name).select("fp", F.col("lo").alias("old"))
             first = first.join(old, "fp", "left").select("fp", F.least("lo", "old").alias("lo"), "hi")
         shared = first.where("lo < hi").select("fp")
         self.runs.append(new)
-        rows = [self.spark.table(name).join(shared, "fp", "left_semi") for name in self.runs]
+        rows = []
+        for name in self.runs:
+            parts = self._heads(name).join(shared, "fp").select("fp", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+            rows.append(self.spark.table(name).join(parts, ["fp", "part"], "left_semi").select("fp", "doc_id"))
         for more in rows[1:]:
             rows[0] = rows[0].unionByName(more)
 

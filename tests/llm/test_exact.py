@@ -200,7 +200,23 @@ def test_repeats_empty_table_and_index_growth(spark):
     assert len(index.runs) == 1 and spark.table(index.runs[0]).count() == before
     name = index.runs[0]
     index.close()
-    assert not spark.catalog.tableExists(name) and second.count() == 2
+    assert not spark.catalog.tableExists(name) and not spark.catalog.tableExists(f"{name}_heads") and second.count() == 2
+
+
+def test_run_deals_a_hot_fingerprint_over_parts(spark):
+    rows = [(i, "the same passage of words in each " + f"and {i} of its own") for i in range(60)] + [(100 + i, f"r{i} s{i} t{i} u{i} v{i}") for i in range(60)]
+    index = substrings.FingerprintIndex(spark, 4, buckets=8)
+    first = index.add(documents(spark, rows[:40] + rows[60:]).where("doc_id < 40").select("doc_id", "text"))
+    second = index.add(documents(spark, rows[40:]).select("doc_id", "text"))
+    assert sorted(str(tuple(r)) for r in first.union(second).collect()) == brute_repeats(rows, 4)
+    index.compact()
+    heads, places = spark.table(f"{index.runs[0]}_heads"), spark.table(index.runs[0])
+    hot = heads.where("n = 60").first()
+    assert heads.count() == heads.select("fp").distinct().count() == places.select("fp").distinct().count()
+    assert hot.parts > 2 and (hot.lo, hot.hi) == (0, 59)
+    dealt = places.where(F.col("fp") == hot.fp).groupBy("part").count().collect()
+    assert len(dealt) > 2 and sum(r["count"] for r in dealt) == 60 and max(r["count"] for r in dealt) < 30
+    index.close()
 
 
 def brute_secrets(text):
