@@ -182,8 +182,8 @@ class FingerprintIndex:
     def compact(self) -> None:
         """One run in place of several.
 
-        The runs are read as plain files: over a union of bucketed tables Spark 4.1.2 leaves out the exchange, and the
-        rows of one fingerprint stay apart.
+        The runs are read as plain files: grouped over a union of the bucketed tables, rows of one fingerprint stayed
+        apart under Spark 4.1.2 (probably an exchange left out; the plan wasn't looked into).
         """
         if len(self.runs) > 1:
             heads = self.spark.read.parquet(*[self._paths[f"{name}_heads"] for name in self.runs])
