@@ -1,4 +1,4 @@
-"""The queries of the ten corpus operators, over whole tables with production parameters, and their SQL."""
+"""The queries of the corpus operators, over whole tables with production parameters, and their SQL."""
 
 from __future__ import annotations
 
@@ -7,10 +7,13 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .clusters import clustered
 from .common import table
 from .decontaminate import leaks
+from .jaccardjoin import jaccard_groups
 from .licenses import NOTICES, license_scan
 from .linededup import boilerplate_removed
+from .maxscore import ranked
 from .mixing import mixed
 from .quality import selected
 from .secrets import secret_scan
@@ -80,6 +83,18 @@ def op10_simhash_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op12_benchmark_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranked(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_jaccard_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_groups(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_token_files": op1_token_files,
     "op2_spotsigs": op2_spotsigs,
@@ -91,6 +106,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_secret_scan": op8_secret_scan,
     "op9_repeats_removed": op9_repeats_removed,
     "op10_simhash_groups": op10_simhash_groups,
+    "op11_vector_clusters": op11_vector_clusters,
+    "op12_benchmark_search": op12_benchmark_search,
+    "op13_jaccard_groups": op13_jaccard_groups,
     "spot_signature_groups": spot_signature_groups,
 }
 
@@ -181,9 +199,71 @@ WITH d AS (
 SELECT doc_id, len(words)::BIGINT AS n_words, (len(words) - len(kept))::BIGINT AS n_removed, sha256(coalesce(array_to_string(kept, ' '), '')) AS kept_sha256 FROM k
 """
 
+
+
+def _op11(k: int = 16, rounds: int = 3) -> str:
+    """Lloyd's rounds written out one after the other."""
+    nearest = """a%d AS MATERIALIZED (
+  SELECT rid, vec_id, q, c, d FROM (
+    SELECT v.rid, v.vec_id, v.q, m.c, list_sum(list_transform(list_zip(v.q, m.q), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v CROSS JOIN c%d m
+  ) QUALIFY row_number() OVER (PARTITION BY rid ORDER BY d, c) = 1
+)"""
+    moved = """c%d AS MATERIALIZED (
+  WITH sums AS (SELECT c, p, sum(x) AS s, count(*) AS n FROM (SELECT c, unnest(q) AS x, generate_subscripts(q, 1) AS p FROM a%d) GROUP BY c, p),
+  means AS (SELECT c, list(((s - ((s %% n) + n) %% n) // n)::BIGINT ORDER BY p) AS q FROM sums GROUP BY c)
+  SELECT o.c, coalesce(means.q, o.q) AS q FROM c%d o LEFT JOIN means USING (c)
+)"""
+    steps = [nearest % (0, 0)]
+    for r in range(1, rounds + 1):
+        steps += [moved % (r, r - 1, r - 1), nearest % (r, r)]
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS rid, vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, q) - 1 AS c, q FROM (SELECT sha256('1:' || vec_id) AS h, q FROM v ORDER BY h, q LIMIT {k})
+), {", ".join(steps)}
+SELECT vec_id, c::INTEGER AS cluster, d AS distance, sum(d) OVER (PARTITION BY c)::BIGINT AS cluster_inertia, sum(d) OVER ()::BIGINT AS inertia, sha256(array_to_string(m.q, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} m USING (c)
+"""
+
+
+_OP12 = r"""
+WITH low AS (SELECT row_number() OVER () AS rid, doc_id, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+d AS (SELECT rid, doc_id, regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms FROM low),
+s AS (SELECT count(*) AS n, sum(len(terms))::BIGINT AS l FROM d WHERE len(terms) > 0),
+p AS (SELECT rid, term, count(*) AS tf FROM (SELECT rid, unnest(terms) AS term FROM d) GROUP BY rid, term),
+q AS (
+  SELECT iid, item_id, unnest(list_distinct(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'))) AS term
+  FROM (SELECT row_number() OVER () AS iid, * FROM benchmark)
+), w AS (SELECT term, floor(1000 * ln((2 * any_value(s.n) + 2)::DOUBLE / (2 * count(*) + 1)))::BIGINT AS w FROM p CROSS JOIN s GROUP BY term),
+m AS (SELECT rid, doc_id, 100 - 50 + (50 * len(terms) * s.n) // s.l AS m FROM d CROSS JOIN s WHERE len(terms) > 0),
+f AS (
+  SELECT iid, item_id, m.doc_id, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 20 * m.m)))::BIGINT AS score
+  FROM q JOIN w USING (term) JOIN p USING (term) JOIN m USING (rid) GROUP BY iid, item_id, rid, m.doc_id
+)
+SELECT item_id, rank::INTEGER AS rank, doc_id, score FROM (SELECT *, row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM f WHERE score > 0) WHERE rank <= 50
+"""
+
+_OP13 = r"""
+WITH RECURSIVE d AS (
+  SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS words FROM documents
+), s AS (
+  SELECT rid, unnest(list_distinct(CASE WHEN len(words) < 4 THEN [array_to_string(words, ' ')] ELSE list_transform(range(1, len(words) - 2), lambda i: array_to_string(words[i:i + 3], ' ')) END)) AS gram
+  FROM d WHERE len(words) > 0
+), n AS (SELECT rid, count(*) AS n FROM s GROUP BY rid
+), o AS (SELECT a.rid AS a, b.rid AS b, count(*) AS k FROM s a JOIN s b ON a.gram = b.gram AND a.rid <> b.rid GROUP BY 1, 2
+), l AS (SELECT a, b FROM o JOIN n x ON x.rid = a JOIN n y ON y.rid = b WHERE 100 * k >= 85 * (x.n + y.n - k)
+), r(rid, other) AS (SELECT rid, rid FROM d UNION SELECT r.rid, l.b FROM r JOIN l ON l.a = r.other)
+SELECT d.doc_id, coalesce(any_value(n.n), 0)::BIGINT AS n_shingles, min(e.doc_id) AS component_id FROM d JOIN r USING (rid) JOIN d e ON e.rid = r.other LEFT JOIN n ON n.rid = d.rid GROUP BY d.rid, d.doc_id
+"""
+
 ORACLE_SQL: dict[str, str] = {
     "op3_license_scan": _OP3,
     "op5_line_spread": _OP5,
     "op7_weighted_mix": _OP7,
     "op9_repeats_removed": _OP9,
+    "op11_vector_clusters": _op11(),
+    "op12_benchmark_search": _OP12,
+    "op13_jaccard_groups": _OP13,
 }
