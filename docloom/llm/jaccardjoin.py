@@ -1,16 +1,17 @@
 """N-gram Jaccard join by grouped prefixes: which documents' shingle sets overlap in ``percent`` of their union or more.
 
-Shingles are counted over all distinct sets and ordered from the rarest up.  Of two sets that are so similar, the first shared
-shingle stands among the first ``n - ceil(percent * n) + 1`` of either: the prefix.  Shingles that only one set has take places
-in its prefix but can't be shared.  Sets with equal size and equal other prefix shingles collapse into one group, and the
-prefix index holds groups.  Groups that meet on a shingle within the bounds of size and place are compared from leaders to classes:
+Under one order of all shingles, two sets that are so similar have their first shared shingle among the first
+``n - ceil(percent * n) + 1`` of either: the prefix.  The order is by how often a shingle's bucket, of a fixed number, is hit by all
+sets, so common passages come last; any order loses nothing.  Sets with equal size and prefix collapse into one group, and
+the index holds the groups' prefixes.  Groups that meet on a shingle within the bounds of size and place are compared in three steps:
 
 1. each group with one leader on each of its shingles, and each member with the first of its group;
 2. what isn't in one class by now, one member for each class in a group;
 3. group pairs that are still apart are expanded to their members.
 
-Whatever meets is verified on whole sets.  A pair within the threshold is in one class after some step, so none is lost, and
-copies are never expanded into all pairs.
+A pair is dropped if the parities of its sets' buckets differ in more places than the sets may, which needs no sets, and else
+verified on whole sets.  A pair within the threshold is in one class after some step, so none is lost, and copies are never
+expanded into all pairs.
 """
 
 from __future__ import annotations
@@ -24,10 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, discard, release, stored, width
+from .common import components, discard, release, stored
 
-#: Shingles are counted, and whole sets moved, in so many turns, which bounds what lies on disk at a time.
+#: Whole sets are moved in so many turns, which bounds what lies on disk at a time.
 TURNS = 4
+#: Buckets whose counts give the order: 8 MB at most, at any size of the corpus.  A parity bit for each of so many other buckets.
+BUCKETS, PARITIES = 1 << 20, 512
 _STEP, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -64,116 +67,137 @@ def shingles(text: str | None, words: int = 4) -> np.ndarray:
 
 
 def _sketched(rows: DataFrame, words: int) -> DataFrame:
-    """``(id, digest, n)`` of ``rows(id, text)``; the digest is of 128 bits of the whole set."""
+    """``(node, id, digest, n, s)`` of ``rows(id, text)``, stored.
 
-    def run(batches):
-        for b in batches:
-            found = [shingles(t.as_py(), words) for t in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([hashlib.md5(s.tobytes()).digest() for s in found], pa.binary()), pa.array([len(s) for s in found], pa.int64())], ["id", "digest", "n"])
-
-    return rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, n bigint")
-
-
-def _distinct_sets(texts: DataFrame, words: int) -> DataFrame:
-    """``(digest, s)``: each set of ``texts(text)`` once, empty ones left out.
-
-    A task passes a set on once, so a set with many copies reaches its partition once from each task, not once from each copy.
+    The digest is of 128 bits of the whole set.  A set that the task has had already is null, so that copies are stored once for each
+    task, not once each.
     """
 
-    def made(batches):
+    def run(batches):
         seen: set[bytes] = set()
         for b in batches:
             for lo in range(0, b.num_rows, 512):
-                digests, sets = [], []
-                for t in b.column(0).slice(lo, 512):
+                c = b.slice(lo, 512)
+                digests, sizes, sets = [], [], []
+                for t in c.column(1):
                     s = shingles(t.as_py(), words)
                     digest = hashlib.md5(s.tobytes()).digest()
-                    if len(s) and digest not in seen:
-                        seen.add(digest)
-                        digests.append(digest)
-                        sets.append(s)
-                yield pa.RecordBatch.from_arrays([pa.array(digests, pa.binary()), pa.array(sets, pa.list_(pa.int64()))], ["digest", "s"])
+                    digests.append(digest)
+                    sizes.append(len(s))
+                    sets.append(None if digest in seen or not len(s) else s)
+                    seen.add(digest)
+                columns = [pa.array(x, t) for x, t in zip((digests, sizes, sets), (pa.binary(), pa.int64(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([c.column(0), *columns], ["id", "digest", "n", "s"])
 
-    def once(batches):
-        seen: set[bytes] = set()
-        for b in batches:
-            new = []
-            for digest in b.column(0).to_pylist():
-                new.append(digest not in seen)
-                seen.add(digest)
-            yield b.filter(pa.array(new, pa.bool_()))
+    found = rows.mapInArrow(run, f"id {rows.schema['id'].dataType.simpleString()}, digest binary, n bigint, s array<bigint>")
+    return stored(found.select(F.monotonically_increasing_id().alias("node"), "*"), "join-sets")
 
-    kind = "digest binary, s array<bigint>"
-    return texts.mapInArrow(made, kind).repartition(width(texts.sparkSession), "digest").mapInArrow(once, kind)
 
+def bucket_counts(sets: DataFrame) -> np.ndarray:
+    """How many shingles of ``sets(s)`` fall into each of ``BUCKETS`` buckets; counted by each task and added by ranges of buckets."""
+    ranges = 64
+    size = BUCKETS // ranges
 
-def _in_turns(sets: DataFrame, made, name: str) -> DataFrame:
-    """The union of ``made(turn)`` over all turns, each stored before the next."""
-    parts = []
-    for turn in range(TURNS):
-        parts.append(stored(made(turn), name))
-        release(sets.sparkSession)
-    out = functools.reduce(DataFrame.unionByName, parts)
-    out._parts = parts
-    return out
+    def counted(batches):
+        total = np.zeros(BUCKETS, np.int64)
+        for b in batches:
+            total += np.bincount(b.column(0).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+        kind = np.min_scalar_type(total.max())
+        yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([kind.str] * ranges), pa.array([x.tobytes() for x in total.astype(kind).reshape(ranges, size)], pa.binary())], ["at", "kind", "counts"])
 
+    def added(batches):
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for at, kind, counts in zip(*(c.to_pylist() for c in b.columns)):
+                total[at] = total.get(at, 0) + np.frombuffer(counts, kind).astype(np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(total, pa.int32()), pa.array(["<i8"] * len(total)), pa.array([x.tobytes() for x in total.values()], pa.binary())], ["at", "kind", "counts"])
 
-def prefixes(sets: DataFrame, percent: int) -> DataFrame:
-    """``(node, n, own, tokens)`` of ``sets(node, n, s)``: the prefix in the order of how many sets have a shingle, without the
-    ``own`` first ones that no other set has; sets without another prefix shingle are left out."""
+    kind = "at int, kind string, counts binary"
+    found = np.zeros(BUCKETS, np.int64)
+    for r in sets.select("s").mapInArrow(counted, kind).repartition(ranges, "at").mapInArrow(added, kind).collect():
+        found[r["at"] * size : (r["at"] + 1) * size] = np.frombuffer(r["counts"], "<i8")
+    return found
 
-    def counted(turn):
-        tokens = sets.select("node", F.explode(F.filter("s", lambda x: F.pmod(x, F.lit(TURNS)) == turn)).alias("token"))
-        often = stored(tokens.groupBy("token").agg(F.count("*").alias("often")).where("often > 1"), "join-often")
-        return tokens.join(often, "token").select("node", "token", "often")
 
-    shared = _in_turns(sets, counted, "join-shared")
-    by = shared.groupBy("node").agg(F.array_sort(F.collect_list(F.struct("often", "token"))).alias("by"))
-    of = by.join(sets.select("node", "n"), "node").select("node", "n", (F.col("n") - F.size("by")).alias("own"), "by")
-    places = F.expr(f"n - (n * {percent} + 99) div 100 + 1 - own")
-    cut = of.where(places > 0).select("node", "n", "own", F.slice("by", F.lit(1), places.cast("int"))["token"].alias("tokens"))
-    out = stored(cut, "join-prefixes")
-    discard(*shared._parts)
-    return out
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """``(node, n, tokens, key, parity)`` of ``sets(node, s)``: the prefix in order, a digest of size and prefix, and the parities."""
+    often = bucket_counts(sets)
+    often = often.astype(np.min_scalar_type(often.max()))
+
+    def run(batches):
+        for b in batches:
+            for lo in range(0, b.num_rows, 512):
+                c = b.slice(lo, 512)
+                sizes, lists, keys, parity = [], [], [], []
+                for s in c.column(1):
+                    s = s.values.to_numpy()
+                    n = len(s)
+                    places = n - (n * percent + 99) // 100 + 1
+                    first = s[np.argsort(often[s & (BUCKETS - 1)], kind="stable")[:places]]
+                    sizes.append(n)
+                    lists.append(first)
+                    keys.append(hashlib.md5(n.to_bytes(8, "little") + first.tobytes()).digest())
+                    odd = np.bincount(s >> 50 & (PARITIES - 1), minlength=PARITIES) & 1
+                    parity.append(np.packbits(odd.astype(np.uint8)).view(np.int64))
+                columns = [pa.array(x, t) for x, t in zip((sizes, lists, keys, parity), (pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.list_(pa.int64())))]
+                yield pa.RecordBatch.from_arrays([c.column(0), *columns], ["node", "n", "tokens", "key", "parity"])
+
+    return sets.select("node", "s").mapInArrow(run, "node bigint, n bigint, tokens array<bigint>, key binary, parity array<bigint>")
 
 
 def _pairs(x: str, y: str):
     return F.struct(F.greatest(x, y).alias("a"), F.least(x, y).alias("b"))
 
 
-def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
+def _verified(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, percent: int) -> DataFrame:
+    """Those of ``pairs(a, b)`` whose sets overlap in ``percent`` of their union or more."""
+    of = lambda x: sketch.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
+    both = pairs.join(of("a"), "a").join(of("b"), "b")
+    apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
+    open_ = stored(both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "join-open")
+    if open_.isEmpty():
+        return open_
+    nodes = stored(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-nodes")
+    parts = []
+    for turn in range(TURNS):
+        parts.append(stored(sets.where(F.pmod("node", F.lit(TURNS)) == turn).select("node", "n", "s").join(nodes, "node", "left_semi"), "join-needed"))
+        release(sets.sparkSession)
+    needed = functools.reduce(DataFrame.unionByName, parts)
+    side = lambda x: needed.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
+    both = open_.join(side("a"), "a").join(side("b"), "b")
+    found = stored(both.where((100 + percent) * F.size(F.array_intersect("sa", "sb")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "join-links")
+    discard(open_, nodes, *parts)
+    release(sets.sparkSession)
+    return found
+
+
+def similar_classes(sets: DataFrame, distinct: DataFrame, percent: int) -> DataFrame:
     """Components ``(node, root)`` of all pairs of ``sets(node, n, s)`` whose overlap is ``percent`` of their union or more.
 
-    ``sets`` must be stored, and is discarded.
+    Only the nodes in ``distinct(node)`` take part.
     """
-    lists = prefixes(sets, percent)
-    key = F.unhex(F.md5(F.array_join(F.concat(F.array("n", "own"), "tokens").cast("array<string>"), ",")))
-    keyed = stored(lists.select("node", key.alias("key")), "join-keys")
+    lists = stored(_prefixes(sets, percent).join(distinct, "node", "left_semi"), "join-prefixes")
+    keyed, sketch = lists.select("node", "key"), lists.select("node", "n", "parity")
     groups = stored(keyed.groupBy("key").agg(F.min("node").alias("g")), "join-groups")
     members = stored(keyed.join(groups, "key").select("g", "node"), "join-members")
-    index = lists.join(groups.select(F.col("g").alias("node")), "node", "left_semi")
-    index = stored(index.select(F.col("node").alias("g"), "n", "own", F.posexplode("tokens").alias("k", "token")).select("token", F.struct("g", "n", (F.col("own") + F.col("k")).alias("at")).alias("x"), (F.col("own") / F.col("n")).alias("share")), "join-index")
-    needed = _in_turns(sets, lambda turn: sets.where(F.pmod("node", F.lit(TURNS)) == turn).join(lists.select("node"), "node", "left_semi"), "join-needed")
-    discard(sets)
+    first = lists.join(groups.select(F.col("g").alias("node")), "node", "left_semi")
+    index = first.select(F.posexplode("tokens").alias("at", "token"), F.col("node").alias("g"), "n").select("token", F.struct("g", "n", "at").alias("x"))
+    often = stored(index.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"), "join-often")
+    index = stored(index.join(often, "token").select("token", "x"), "join-index")
 
     def near(a, b):
         """Sizes, and the shingles that remain if this is the first shared one, allow the overlap."""
         sizes = a["n"] + b["n"]
         return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & ((100 + percent) * F.least(a["n"] - a["at"], b["n"] - b["at"]) >= percent * sizes)
 
-    def verified(pairs):
-        both = pairs.join(needed.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("s").alias("sa")), "a")
-        both = both.join(needed.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("s").alias("sb")), "b")
-        found = stored(both.where((100 + percent) * F.size(F.array_intersect("sa", "sb")) >= percent * (F.col("na") + F.col("nb"))).select("a", "b"), "join-links")
-        release(sets.sparkSession)
-        return found
-
-    # The fewer shingles of its own, the nearer to the middle of its copies; the same group leads on most shingles of a class.
-    tops = stored(index.groupBy("token").agg(F.min(F.struct("share", "x")).alias("top"), F.count("*").alias("many")).where("many > 1").select("token", F.col("top.x").alias("y"), "many"), "join-tops")
+    # The more of its prefix is shared, the nearer a set is to the middle of its copies; the same one leads on most shingles of a class.
+    shares = index.groupBy("x.g").agg((F.count("*") / F.max("x.n")).alias("share"))
+    tops = index.select("token", "x", F.col("x.g").alias("g")).join(shares, "g").groupBy("token").agg(F.min(F.struct((-F.col("share")).alias("share"), "x")).alias("top"), F.count("*").alias("many"))
+    tops = stored(tops.select("token", F.col("top.x").alias("y"), "many"), "join-tops")
     star = index.join(tops, "token").where("x.g <> y.g").where(near(F.col("x"), F.col("y"))).select(_pairs("x.g", "y.g").alias("p"))
     inside = members.where("g <> node").select(_pairs("g", "node").alias("p"))
     pairs = stored(star.union(inside).select("p.*").distinct(), "join-pairs")
-    links = [verified(pairs)]
+    links = [_verified(pairs, sets, sketch, percent)]
 
     def classes():
         """``(g, node, c)``: members with their class by the links so far."""
@@ -182,7 +206,7 @@ def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
 
     now = stored(classes(), "join-classes")
     parts = stored(now.groupBy("g", "c").agg(F.min("node").alias("rep")), "join-parts")
-    lead = tops.where("many > 1").select("token", F.col("y.g").alias("g")).join(now.where("g = node").select("g", "c"), "g").select("token", F.col("c").alias("lead"))
+    lead = tops.select("token", F.col("y.g").alias("g")).join(now.where("g = node").select("g", "c"), "g").select("token", F.col("c").alias("lead"))
     met = index.join(lead, "token").select("token", "lead", "x", F.col("x.g").alias("g")).join(parts, "g")
     met = stored(met.select("token", "lead", F.struct("x.*", "c", "rep").alias("x")), "join-met")
     across = met.where("x.c <> lead").select("token", "x").join(met.select("token", "lead", F.col("x").alias("y")), "token")
@@ -193,17 +217,17 @@ def similar_classes(sets: DataFrame, percent: int) -> DataFrame:
     own = parts.join(parts.where("g = rep").select("g", F.col("c").alias("lead")), "g").select("lead", F.struct("g", "c", "rep").alias("p"))
     within = own.where("p.c <> lead").select("p", F.col("p.g").alias("g")).join(own.select(F.col("p").alias("q"), "lead", F.col("p.g").alias("g")), "g").where("p.c <> q.c and (q.c = lead or p.c < q.c)")
     apart = stored(across.union(within.select(F.greatest("p", "q"), F.least("p", "q"))).distinct(), "join-apart")
-    links.append(verified(apart.select(_pairs("p.rep", "q.rep").alias("r")).select("r.*").distinct().join(pairs, ["a", "b"], "left_anti")))
+    reps = apart.select(_pairs("p.rep", "q.rep").alias("r")).select("r.*").distinct()
+    links.append(_verified(reps.join(pairs, ["a", "b"], "left_anti"), sets, sketch, percent))
 
     # A part is a group's members of one class of the first step; what the second has linked needs no expansion.
     then = stored(now.select("g", F.col("c").alias("was"), "node").join(classes().select("node", "c"), "node"), "join-classes-then")
     side = lambda p: then.select(F.col("g").alias(f"{p}g"), F.col("was").alias(f"{p}was"), F.col("node").alias(f"{p}node"), F.col("c").alias(f"{p}c"))
     expanded = apart.select(F.col("p.g").alias("pg"), F.col("p.c").alias("pwas"), F.col("q.g").alias("qg"), F.col("q.c").alias("qwas")).join(side("p"), ["pg", "pwas"]).join(side("q"), ["qg", "qwas"])
     expanded = expanded.where("pc <> qc").select(_pairs("pnode", "qnode").alias("r")).select("r.*").distinct()
-    known = pairs.union(apart.select(_pairs("p.rep", "q.rep").alias("r")).select("r.*"))
-    links.append(verified(stored(expanded.join(known, ["a", "b"], "left_anti"), "join-expanded")))
+    links.append(_verified(expanded.join(pairs.union(reps), ["a", "b"], "left_anti"), sets, sketch, percent))
     tree = components(functools.reduce(DataFrame.union, links))
-    discard(*needed._parts, lists, keyed, groups, index, tops, pairs, now, parts, met, apart)
+    discard(lists, groups, often, index, tops, pairs, now, parts, met, apart, then, *links)
     return tree
 
 
@@ -214,17 +238,15 @@ def jaccard_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
     with nothing, not even each other.  Equal texts, and repeated rows, are linked and return a row each.  A null id takes part, but
     is a ``component_id`` only if all ids of the class are null.  Extra columns are ignored.  An empty table returns no rows.
     """
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    each = stored(_sketched(rows, words), "join-rows")
-    sets = stored(_distinct_sets(rows.select("text"), words).select(F.monotonically_increasing_id().alias("node"), "digest", F.size("s").cast("bigint").alias("n"), "s"), "join-sets")
-    release(docs.sparkSession)
-    nodes = stored(sets.select("node", "digest"), "join-nodes")
-    tree = similar_classes(sets, percent)
-    least = each.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"))
-    rooted = stored(nodes.join(tree, "node", "left").select("digest", F.coalesce("root", "node").alias("root")).join(least, "digest"), "join-rooted")
-    class_ = stored(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "join-class")
-    found = stored(rooted.join(class_, "root").select("digest", "component_id"), "join-found")
+    sets = _sketched(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words)
+    each = sets.select("id", "digest", "n")
+    distinct = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min(F.when(F.col("s").isNotNull(), F.col("node"))).alias("node"))
+    distinct = stored(distinct, "join-distinct")
+    tree = similar_classes(sets.where("s is not null").select("node", "n", "s"), distinct.select("node"), percent)
+    rooted = stored(distinct.join(tree, "node", "left").select("digest", "rep", F.coalesce("root", "node").alias("root")), "join-rooted")
+    least = stored(rooted.groupBy("root").agg(F.min("rep").alias("component_id")), "join-class")
+    found = stored(rooted.join(least, "root").select("digest", "component_id"), "join-found")
     linked = each.where("n > 0").join(found, "digest").select("id", "n", "component_id")
     alone = each.where("n = 0").select("id", "n", F.col("id").alias("component_id"))
-    discard(nodes, rooted, class_)
+    discard(distinct, rooted, least)
     return linked.union(alone).select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), "component_id")

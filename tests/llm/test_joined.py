@@ -200,9 +200,10 @@ def family(rnd, words, size, edits):
     return out
 
 
-@pytest.mark.parametrize("seed, vocabulary, size", [(1, 400, 90), (2, 3, 30), (3, 30, 12), (4, 400, 400)])
-def test_jaccard_groups(spark, seed, vocabulary, size):
-    """Drifting families, shared passages, few words (crowded shingles), copies, ties and odd texts."""
+@pytest.mark.parametrize("seed, vocabulary, size, buckets", [(1, 400, 90, 1 << 20), (2, 3, 30, 1 << 20), (3, 30, 12, 64), (4, 400, 400, 64)])
+def test_jaccard_groups(spark, monkeypatch, seed, vocabulary, size, buckets):
+    """Drifting families, shared passages, few words (crowded shingles), copies, ties and odd texts; any order of the shingles will do."""
+    monkeypatch.setattr(jaccardjoin, "BUCKETS", buckets)
     rnd = random.Random(seed)
     words = [f"w{i}" for i in range(vocabulary)]
     texts = [t for _ in range(4) for t in family(rnd, words, size, 14)]
