@@ -38,7 +38,7 @@ class _Hashes(dict):
     """64-bit hashes of words, remembered up to a bound."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 1 << 20:
+        if len(self) >= 1 << 18:
             self.clear()
         found = self[word] = xxhash.xxh3_64_intdigest(word)
         return found
@@ -101,7 +101,8 @@ def bucket_counts(sets: DataFrame) -> np.ndarray:
     def counted(batches):
         total = np.zeros(BUCKETS, np.int64)
         for b in batches:
-            total += np.bincount(b.column(0).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
+            for lo in range(0, b.num_rows, 1024):
+                total += np.bincount(b.column(0).slice(lo, 1024).flatten().to_numpy() & (BUCKETS - 1), minlength=BUCKETS)
         kind = np.min_scalar_type(total.max())
         yield pa.RecordBatch.from_arrays([pa.array(range(ranges), pa.int32()), pa.array([kind.str] * ranges), pa.array([x.tobytes() for x in total.astype(kind).reshape(ranges, size)], pa.binary())], ["at", "kind", "counts"])
 
