@@ -29,6 +29,10 @@ from .common import components, discard, release, stored
 
 #: Whole sets are moved in so many turns, which bounds what lies on disk at a time.
 TURNS = 4
+#: Up to so many nodes (8 MB) their list is broadcast, and sets stay where they are.
+BROADCAST_ROWS = 1_000_000
+#: Rows of a batch that goes to Python: whole sets are wide.
+BATCH = 1000
 #: Buckets whose counts give the order: 8 MB at most, at any size of the corpus.  A parity bit for each of so many other buckets.
 BUCKETS, PARITIES = 1 << 20, 512
 _STEP, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
@@ -160,9 +164,12 @@ def _verified(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, percent: int
         return open_
     nodes = stored(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-nodes")
     parts = []
-    for turn in range(TURNS):
-        parts.append(stored(sets.where(F.pmod("node", F.lit(TURNS)) == turn).select("node", "n", "s").join(nodes, "node", "left_semi"), "join-needed"))
-        release(sets.sparkSession)
+    if nodes.count() <= BROADCAST_ROWS:
+        parts.append(stored(sets.join(F.broadcast(nodes), "node", "left_semi"), "join-needed"))
+    else:
+        for turn in range(TURNS):
+            parts.append(stored(sets.where(F.pmod("node", F.lit(TURNS)) == turn).join(nodes, "node", "left_semi"), "join-needed"))
+            release(sets.sparkSession)
     needed = functools.reduce(DataFrame.unionByName, parts)
     side = lambda x: needed.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("s").alias(f"s{x}"))
     both = open_.join(side("a"), "a").join(side("b"), "b")
@@ -182,9 +189,13 @@ def similar_classes(sets: DataFrame, distinct: DataFrame, percent: int) -> DataF
     groups = stored(keyed.groupBy("key").agg(F.min("node").alias("g")), "join-groups")
     members = stored(keyed.join(groups, "key").select("g", "node"), "join-members")
     first = lists.join(groups.select(F.col("g").alias("node")), "node", "left_semi")
-    index = first.select(F.posexplode("tokens").alias("at", "token"), F.col("node").alias("g"), "n").select("token", F.struct("g", "n", "at").alias("x"))
+    # Size and place go through the shuffle as one number.
+    index = first.select(F.posexplode("tokens").alias("at", "token"), F.col("node").alias("g"), "n").select("token", "g", F.expr("shiftleft(n, 32) | at").alias("place"))
     often = stored(index.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"), "join-often")
-    index = stored(index.join(often, "token").select("token", "x"), "join-index")
+    release(sets.sparkSession)
+    place = [F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295L").alias("at")]
+    index = stored(index.join(often, "token").select("token", F.struct("g", *place).alias("x")), "join-index")
+    release(sets.sparkSession)
 
     def near(a, b):
         """Sizes, and the shingles that remain if this is the first shared one, allow the overlap."""
@@ -239,6 +250,16 @@ def jaccard_groups(docs: DataFrame, percent: int = 85, words: int = 4, id_col: s
     with nothing, not even each other.  Equal texts, and repeated rows, are linked and return a row each.  A null id takes part, but
     is a ``component_id`` only if all ids of the class are null.  Extra columns are ignored.  An empty table returns no rows.
     """
+    spark, rows = docs.sparkSession, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(rows)
+    spark.conf.set(rows, min(BATCH, int(before)) if int(before) > 0 else BATCH)
+    try:
+        return _jaccard_groups(docs, percent, words, id_col, text_col)
+    finally:
+        spark.conf.set(rows, before)
+
+
+def _jaccard_groups(docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
     sets = _sketched(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), words)
     each = sets.select("id", "digest", "n")
     distinct = sets.where("n > 0").groupBy("digest").agg(F.min("id").alias("rep"), F.min(F.when(F.col("s").isNotNull(), F.col("node"))).alias("node"))

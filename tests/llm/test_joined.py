@@ -204,6 +204,7 @@ def family(rnd, words, size, edits):
 def test_jaccard_groups(spark, monkeypatch, seed, vocabulary, size, buckets):
     """Drifting families, shared passages, few words (crowded shingles), copies, ties and odd texts; any order of the shingles will do."""
     monkeypatch.setattr(jaccardjoin, "BUCKETS", buckets)
+    monkeypatch.setattr(jaccardjoin, "BROADCAST_ROWS", buckets - 64)
     rnd = random.Random(seed)
     words = [f"w{i}" for i in range(vocabulary)]
     texts = [t for _ in range(4) for t in family(rnd, words, size, 14)]
