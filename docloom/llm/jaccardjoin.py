@@ -34,7 +34,7 @@ BROADCAST_ROWS = 1_000_000
 #: Rows of a batch that goes to Python: whole sets are wide.
 BATCH = 1000
 #: Buckets whose counts give the order: 8 MB at most, at any size of the corpus.  A parity bit for each of so many other buckets.
-BUCKETS, PARITIES = 1 << 20, 512
+BUCKETS, PARITIES = 1 << 20, 1024
 _STEP, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -159,7 +159,8 @@ def _verified(pairs: DataFrame, sets: DataFrame, sketch: DataFrame, percent: int
     of = lambda x: sketch.select(F.col("node").alias(x), F.col("n").alias(f"n{x}"), F.col("parity").alias(f"p{x}"))
     both = pairs.join(of("a"), "a").join(of("b"), "b")
     apart = F.aggregate(F.zip_with("pa", "pb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda x, y: x + y)
-    open_ = stored(both.where((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb"))).select("a", "b"), "join-open")
+    sizes = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
+    open_ = stored(both.where(sizes & ((100 + percent) * apart <= (100 - percent) * (F.col("na") + F.col("nb")))).select("a", "b"), "join-open")
     if open_.isEmpty():
         return open_
     nodes = stored(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "join-nodes")
@@ -184,29 +185,30 @@ def similar_classes(sets: DataFrame, distinct: DataFrame, percent: int) -> DataF
 
     Only the nodes in ``distinct(node)`` take part.
     """
-    lists = stored(_prefixes(sets, percent).join(distinct, "node", "left_semi"), "join-prefixes")
-    keyed, sketch = lists.select("node", "key"), lists.select("node", "n", "parity")
+    lists = stored(_prefixes(sets, percent), "join-prefixes")
+    sketch = lists.select("node", "n", "parity")
+    keyed = stored(lists.select("node", "key").join(distinct, "node", "left_semi"), "join-keys")
     groups = stored(keyed.groupBy("key").agg(F.min("node").alias("g")), "join-groups")
     members = stored(keyed.join(groups, "key").select("g", "node"), "join-members")
-    first = lists.join(groups.select(F.col("g").alias("node")), "node", "left_semi")
-    # Size and place go through the shuffle as one number.
-    index = first.select(F.posexplode("tokens").alias("at", "token"), F.col("node").alias("g"), "n").select("token", "g", F.expr("shiftleft(n, 32) | at").alias("place"))
-    often = stored(index.groupBy("token").agg(F.count("*").alias("many")).where("many > 1"), "join-often")
-    release(sets.sparkSession)
+    first = stored(lists.select("node", "n", "tokens").join(groups.select(F.col("g").alias("node")), "node", "left_semi"), "join-first")
+    # Size and place go through the shuffle as one number.  A shingle's leader is its first group, the same on most shingles of a class.
+    index, turns = first.select(F.posexplode("tokens").alias("at", "token"), F.col("node").alias("g"), "n").select("token", "g", F.expr("shiftleft(n, 32) | at").alias("place")), []
     place = [F.expr("shiftright(place, 32)").alias("n"), F.expr("place & 4294967295L").alias("at")]
-    index = stored(index.join(often, "token").select("token", F.struct("g", *place).alias("x")), "join-index")
-    release(sets.sparkSession)
+    for turn in range(TURNS):
+        mine = index.where(F.pmod("token", F.lit(TURNS)) == turn)
+        often = stored(mine.groupBy("token").agg(F.count("*").alias("many"), F.min("g").alias("lead")).where("many > 1"), "join-often")
+        turns.append(stored(mine.join(often, "token").select("token", "lead", F.struct("g", *place).alias("x")), "join-index"))
+        discard(often)
+        release(sets.sparkSession)
+    discard(first)
+    index = functools.reduce(DataFrame.unionByName, turns)
 
     def near(a, b):
         """Sizes, and the shingles that remain if this is the first shared one, allow the overlap."""
         sizes = a["n"] + b["n"]
         return (100 * F.least(a["n"], b["n"]) >= percent * F.greatest(a["n"], b["n"])) & ((100 + percent) * F.least(a["n"] - a["at"], b["n"] - b["at"]) >= percent * sizes)
 
-    # The more of its prefix is shared, the nearer a set is to the middle of its copies; the same one leads on most shingles of a class.
-    shares = index.groupBy("x.g").agg((F.count("*") / F.max("x.n")).alias("share"))
-    tops = index.select("token", "x", F.col("x.g").alias("g")).join(shares, "g").groupBy("token").agg(F.min(F.struct((-F.col("share")).alias("share"), "x")).alias("top"), F.count("*").alias("many"))
-    tops = stored(tops.select("token", F.col("top.x").alias("y"), "many"), "join-tops")
-    star = index.join(tops, "token").where("x.g <> y.g").where(near(F.col("x"), F.col("y"))).select(_pairs("x.g", "y.g").alias("p"))
+    star = index.where("x.g <> lead").select(_pairs("x.g", "lead").alias("p"))
     inside = members.where("g <> node").select(_pairs("g", "node").alias("p"))
     pairs = stored(star.union(inside).select("p.*").distinct(), "join-pairs")
     links = [_verified(pairs, sets, sketch, percent)]
@@ -218,11 +220,12 @@ def similar_classes(sets: DataFrame, distinct: DataFrame, percent: int) -> DataF
 
     now = stored(classes(), "join-classes")
     parts = stored(now.groupBy("g", "c").agg(F.min("node").alias("rep")), "join-parts")
-    lead = tops.select("token", F.col("y.g").alias("g")).join(now.where("g = node").select("g", "c"), "g").select("token", F.col("c").alias("lead"))
-    met = index.join(lead, "token").select("token", "lead", "x", F.col("x.g").alias("g")).join(parts, "g")
-    met = stored(met.select("token", "lead", F.struct("x.*", "c", "rep").alias("x")), "join-met")
-    across = met.where("x.c <> lead").select("token", "x").join(met.select("token", "lead", F.col("x").alias("y")), "token")
-    across = across.where("x.c <> y.c and (y.c = lead or x.c < y.c)").where(near(F.col("x"), F.col("y")))
+    lead = now.where("g = node").select(F.col("g").alias("lead"), F.col("c").alias("leading"))
+    met = index.select("token", "lead", "x", F.col("x.g").alias("g")).join(parts, "g").join(lead, "lead")
+    met = stored(met.select("token", "leading", F.struct("x.*", "c", "rep").alias("x")), "join-met")
+    open_ = met.where("x.c <> leading")
+    across = open_.select("token", "x").join(met.select("token", "leading", F.col("x").alias("y")), "token")
+    across = across.where("x.c <> y.c and (y.c = leading or x.c < y.c)").where(near(F.col("x"), F.col("y")))
     part = lambda p: F.struct(f"{p}.g", f"{p}.c", f"{p}.rep")
     across = across.select(F.greatest(part("x"), part("y")).alias("p"), F.least(part("x"), part("y")).alias("q"))
     # Within a group, classes meet the class of its first member and each other.
@@ -239,7 +242,7 @@ def similar_classes(sets: DataFrame, distinct: DataFrame, percent: int) -> DataF
     expanded = expanded.where("pc <> qc").select(_pairs("pnode", "qnode").alias("r")).select("r.*").distinct()
     links.append(_verified(expanded.join(pairs.union(reps), ["a", "b"], "left_anti"), sets, sketch, percent))
     tree = components(functools.reduce(DataFrame.union, links))
-    discard(lists, groups, often, index, tops, pairs, now, parts, met, apart, then, *links)
+    discard(lists, keyed, groups, members, *turns, pairs, now, parts, met, apart, then, *links)
     return tree
 
 
