@@ -8,9 +8,11 @@ from __future__ import annotations
 
 import re
 import tomllib
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass, field
 from graphlib import CycleError, TopologicalSorter
+from itertools import groupby
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
@@ -74,12 +76,31 @@ def parse(text: str) -> Workflow:
         if "default" in i and not isinstance(i["default"], _TYPES[i.get("type", "string")]):
             raise WorkflowError(f"The default of input {name} is no {i['type']}")
     try:
-        order = list(TopologicalSorter({n: s.depends_on for n, s in steps.items()}).static_order())
+        order = [n for level in levels(steps) for n in level]
     except CycleError as e:
         raise WorkflowError(f"Cycle: {' -> '.join(e.args[1])}") from e
     return Workflow(raw.get("workflow", {}).get("name", ""), inputs, steps, order)
 
 
+def levels(steps: dict[str, Step]) -> list[list[str]]:
+    """Steps by the length of the longest chain before them; in a level by priority (setting ``priority``, 100 without one) and name."""
+    depth: dict[str, int] = {}
+    for name in TopologicalSorter({n: s.depends_on for n, s in steps.items()}).static_order():
+        depth[name] = 1 + max((depth[d] for d in steps[name].depends_on), default=-1)
+    ordered = sorted(steps, key=lambda n: (depth[n], steps[n].config.get("priority", 100), n))
+    return [list(group) for _, group in groupby(ordered, key=depth.__getitem__)]
+
+
+def critical_path(steps: dict[str, Step]) -> list[str]:
+    """The longest chain of steps from start to end; of equal ones the one whose last steps come first by priority and name."""
+    rank = lambda n: (-len(chain[n]), steps[n].config.get("priority", 100), n)
+    chain: dict[str, list[str]] = {}
+    for name in (n for level in levels(steps) for n in level):
+        before = min(steps[name].depends_on, key=rank, default=None)
+        chain[name] = [*(chain[before] if before else []), name]
+    return chain[min(chain, key=rank)] if chain else []
+
+
 def bound(workflow: Workflow, given: dict[str, Any]) -> dict[str, Any]:
     """Inputs with defaults; a required one that is missing is an error, others than declared stay."""
     out = {n: i["default"] for n, i in workflow.inputs.items() if "default" in i} | given
@@ -131,7 +152,8 @@ def fan_in(frames: list[DataFrame]) -> DataFrame:
 def run(spark: SparkSession, workflow: Workflow, inputs: dict[str, Any], sources: dict[str, DataFrame], functions: dict[str, Callable[[DataFrame, dict], DataFrame]] | None = None, folder: str | None = None, providers: dict | None = None) -> dict[str, DataFrame]:
     """The steps' frames.  ``sources`` are the tables that SQL sees; write steps commit versions below ``folder``.
 
-    A failing step ends the run, unless it may be continued past: then its dependents get no rows from it.
+    A failing step ends the run, unless it may be continued past: then its dependents get no rows from it.  So that a failure shows there
+    and not when a dependent runs, such a step's rows are stored below ``folder`` (without one, checkpointed) before the next step is made.
     """
     values, out, sources = bound(workflow, inputs), {}, dict(sources)
     for name in workflow.order:
@@ -141,13 +163,22 @@ def run(spark: SparkSession, workflow: Workflow, inputs: dict[str, Any], sources
         if rows is None and values:
             rows = spark.createDataFrame([values])
         try:
-            out[name] = _frame(spark, step, rows, values, sources, functions or {}, folder, providers or {})
+            made = _frame(spark, step, rows, values, sources, functions or {}, folder, providers or {})
+            out[name] = _kept(made, folder, name) if step.continue_on_error else made
         except Exception:
             if not step.continue_on_error:
                 raise
     return out
 
 
+def _kept(df: DataFrame, folder: str | None, name: str) -> DataFrame:
+    if not folder:
+        return df.checkpoint()
+    path = f"{folder}/_steps/{name}-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def _frame(spark, step: Step, rows, values, sources, functions, folder, providers) -> DataFrame:
     c = step.config
     if step.type == "sql":
