@@ -1,13 +1,14 @@
-"""Registered queries of page content by blocks and of joins on time and ranges, with their SQL."""
+"""Registered queries of page content by blocks, joins on time and ranges, sketches, tenants and crawl budgets, with their SQL."""
 
 from __future__ import annotations
 
 from pyspark.sql import functions as F
 
 from ..functions import content as page
-from ..operators import joins
+from ..operators import analytics, graph, joins
+from ..operators.sql import run_sql
 from . import views
-from .catalog import query
+from .catalog import _M, query
 
 _HIDDEN = "html"
 for _tag in page.HIDDEN:
@@ -69,3 +70,32 @@ def join_intervals(spark, sf):
     a = orders.select("o_custkey", F.col("o_orderkey").alias("first"), F.col("o_orderdate").alias("a0"), (F.col("o_orderdate") + day).alias("a1"))
     b = orders.select(F.col("o_custkey").alias("b_custkey"), F.col("o_orderkey").alias("second"), F.col("o_orderdate").alias("b0"), (F.col("o_orderdate") + day).alias("b1"))
     return joins.overlapping(a, b, {"o_custkey": "b_custkey"}, ("a0", "a1", "b0", "b1"), 60 * 86400).where("first < second").select("o_custkey", "first", "second")
+
+
+@query("distinct_sketches", "SELECT event_type, count(DISTINCT user_id) AS users, true AS close FROM events GROUP BY event_type")
+def distinct_sketches(spark, sf):
+    """Distinct users of each type from daily sketches, within five per cent (three standard errors) of the exact count."""
+    events = views.table(spark, sf, "events")
+    found = analytics.distinct_estimates(analytics.distinct_sketches(events, ["event_type"], "ts", "user_id"), ["event_type"])
+    exact = events.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    return exact.join(found, "event_type").select("event_type", "users", (F.abs(F.col("estimate") - F.col("users")) <= 0.05 * F.col("users")).alias("close"))
+
+
+_TENANT = "SELECT discovery_method, count(*) AS n, (SELECT count(*) FROM {t}) AS whole FROM {t} m WHERE document_id IN (SELECT document_id FROM {t} WHERE status = 'ERROR' UNION ALL SELECT document_id FROM {t} WHERE source_type = 'file') GROUP BY discovery_method"
+
+
+@query("tenant_sql", f"WITH {_M}, own AS (SELECT * FROM m WHERE workspace_id = 'w1') {_TENANT.format(t='own')}")
+def tenant_sql(spark, sf):
+    return run_sql(spark, _TENANT.format(t="map_documents"), {}, {"map_documents": views.map_documents(spark, sf)}, tenant=("workspace_id", "w1"))
+
+
+@query("crawl_budget")
+def crawl_budget(spark, sf):
+    """The first 200 pages in queue order over the links of all pages, from each site's first one; the budget is the feature."""
+    found = views.table(spark, sf, "pages")
+    hrefs = F.expr(r"regexp_extract_all(html, '(?i)<a\\s[^>]*?href=\"([^\"]+)\"', 1)")
+    host = F.regexp_extract("url", "^[a-zA-Z]+://[^/?#]*", 0)
+    links = found.select(host.alias("host"), F.col("url").alias("src"), F.posexplode(hrefs).alias("place", "href"))
+    links = links.select("src", "place", F.when(F.col("href").startswith("/"), F.concat("host", "href")).otherwise(F.col("href")).alias("dst"))
+    roots = found.groupBy(host).agg(F.min(F.struct("page_id", "url")).alias("first")).select(F.col("first.url").alias("node"), F.col("first.page_id").alias("place"))
+    return graph.crawl(links, roots, 3, 200)
