@@ -98,9 +98,19 @@ def vetoes(ids: list[str]) -> list[str]:
     return sorted(found | {f"{x}x" for x in found})
 
 
-def rule_pattern(ids: list[str]) -> str:
-    """Matches the identifiers in order in a text of identifiers with a blank between; a stop (``#``) neither stands between nor follows."""
-    return "(^| )" + "( [a-z0-9]+)* ".join(ids) + "( [a-z0-9]|$)"
+def follows(ids: Column, rule: Column, stops: Column) -> Column:
+    """Whether the rule's identifiers stand in order in a text's, with no stop between them nor right after the last.
+
+    One pass with the number of identifiers matched so far as state, so a text may have any number of sentences.
+    """
+    none = F.struct(F.lit(0).alias("at"), F.lit(False).alias("done"))
+
+    def step(s: Column, x: Column) -> Column:
+        stop, whole = F.array_contains(stops, x), s["at"] == F.size(rule)
+        further = s["at"] + F.coalesce((F.get(rule, s["at"]) == x).cast("int"), F.lit(0))
+        return F.struct(F.when(stop, 0).otherwise(further).alias("at"), (s["done"] | (whole & ~stop)).alias("done"))
+
+    return F.aggregate(ids, none, step, lambda s: s["done"] | (s["at"] == F.size(rule)))
 
 
 def _sentences(text: Column, ends: str) -> Column:
@@ -139,9 +149,7 @@ def license_scan(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("sentence", F.trim("sentence")).join(F.broadcast(known), "sentence", "left")  # a list of this module
     rows = rows.withColumn("id", F.coalesce("id", _gapped(F.col("sentence")))).where("id is not null")
     found = rows.groupBy("doc_id", "row", "way").agg(F.transform(F.array_sort(F.collect_set(F.struct("at", "id"))), lambda x: x["id"]).alias("ids"))
-    rules = [(name, rule_pattern(ids), vetoes(ids)) for name, ids in RULES]
-    stops = lambda v: F.array(*map(F.lit, v)) if v else F.array().cast("array<string>")
-    rules = F.array(*[F.struct(F.lit(n).alias("license"), F.lit(p).alias("rule"), stops(v).alias("stops")) for n, p, v in rules])
-    text = F.array_join(F.transform("ids", lambda x: F.when(F.array_contains(F.col("r.stops"), x), "#").otherwise(x)), " ")
-    named = found.withColumn("r", F.explode(rules)).where(F.rlike(text, F.col("r.rule")))
+    listed = lambda v: F.array(*map(F.lit, v)) if v else F.array().cast("array<string>")
+    rules = F.array(*[F.struct(F.lit(n).alias("license"), listed(ids).alias("rule"), listed(vetoes(ids)).alias("stops")) for n, ids in RULES])
+    named = found.withColumn("r", F.explode(rules)).where(follows(F.col("ids"), F.col("r.rule"), F.col("r.stops")))
     return named.groupBy("doc_id", "row", F.col("r.license").alias("license")).agg(F.max(F.array_join("ids", " ")).alias("sentences")).drop("row")

@@ -206,6 +206,13 @@ def test_every_license_notice_is_recognised(spark):
     assert got == {k: [licenses.NOTICES[k % n][0]] for k in range(2 * n)}
 
 
+def test_a_text_of_very_many_license_sentences(spark):
+    first = licenses.NOTICES[[n for n, _ in licenses.NOTICES].index("BSD-2-Clause")][1].split(". ")[0]
+    rows = [(1, f"{first}. Released under CC0 1.0. " * 50_000), (2, "Released under the MIT License. " * 100_000)]
+    got = sorted((r.doc_id, r.license) for r in licenses.license_scan(documents(spark, rows)).collect())
+    assert (2, "MIT") in got and all(i in (1, 2) for i, _ in got)
+
+
 def test_license_gaps(spark):
     by = {k: [t for i, t in licenses.NOTICES if i == k][0] for k in ("BSD-2-Clause", "BSD-3-Clause")}
     three = by["BSD-3-Clause"].replace("Neither the name of {}", "Neither the name of Example Org. nor the names of its members").replace("{}", "US")
