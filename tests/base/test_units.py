@@ -57,8 +57,21 @@ def test_profiles_and_posts(spark):
     assert values(spark, U.tweet_id, ["https://X.com/a/status/12", "https://x.com/a"]) == ["12", None]
 
 
-def test_images_once():
-    assert V.images_once("![a](u)\n\n![b](u)\ntext\n![c](u)") == "![a](u)\n\ntext\n![c](u)"
+IMAGES = [
+    ("![a](u)\n\n![b](u)\ntext\n![c](u)", "![a](u)\n\ntext\n![c](u)"),
+    ("one\n ![a](u)\t\r\n![b](v)\n![c](u)\n", "one\n ![a](u)\t\r\n![b](v)\n"),
+    ("![a](u)\nsee ![b](u)\n![c](u)\n![d](u)\n\n\n![e](u)", "![a](u)\nsee ![b](u)\n![c](u)\n\n"),
+    ("![](u)\n![]()\n![](u)", "![](u)\n![]()\n![](u)"),
+    ("\n\n", "\n\n"),
+    ("", ""),
+    (None, None),
+]
+
+
+def test_images_deduplicated(spark):
+    got = spark.createDataFrame(IMAGES, "text string, want string").select("want", V.images_deduplicated(F.col("text")).alias("got"))
+    assert [r["got"] for r in got.collect()] == [want for _, want in IMAGES]
+    assert "Python" not in got._jdf.queryExecution().toString()
 
 
 @pytest.mark.parametrize("now,before,want", [(5, 0, ("increasing", None)), (0, 0, ("stable", None)), (112, 100, ("increasing", 12.0)), (89, 100, ("decreasing", -11.0)), (110, 100, ("stable", 10.0))])
