@@ -105,3 +105,40 @@ def distinct_estimates(sketches: DataFrame, keys: list[str], since=None, until=N
     some = sketches if since is None else sketches.where(F.col("day") >= F.lit(since))
     some = some if until is None else some.where(F.col("day") < F.lit(until))
     return some.groupBy(*keys).agg(F.hll_sketch_estimate(F.hll_union_agg("sketch")).alias("estimate"))
+
+
+def quantile_sketches(rows: DataFrame, keys: list[str], day: str, value: str, size: int = 200) -> DataFrame:
+    """``(keys, day, sketch)``: a KLL sketch of a number's distribution for each key and day; null values don't count.
+
+    As given a rank is off by at most about 1.65 % with 99 % certainty, merged or not, at some three kilobytes a sketch.
+    """
+    return rows.groupBy(*keys, F.to_date(day).alias("day")).agg(F.kll_sketch_agg_double(F.col(value).cast("double"), F.lit(size)).alias("sketch"))
+
+
+def quantile_estimates(sketches: DataFrame, keys: list[str], quantiles: list[float], since=None, until=None) -> DataFrame:
+    """``(keys, n, quantiles)`` over the days from ``since`` up to before ``until``, from merged sketches; quantiles are null where no value is."""
+    some = sketches if since is None else sketches.where(F.col("day") >= F.lit(since))
+    some = some if until is None else some.where(F.col("day") < F.lit(until))
+    merged = some.groupBy(*keys).agg(F.kll_merge_agg_double("sketch").alias("sketch")).withColumn("n", F.kll_sketch_get_n_double("sketch"))
+    wanted = F.array(*[F.lit(float(q)) for q in quantiles])
+    return merged.select(*keys, "n", F.when(F.col("n") > 0, F.kll_sketch_get_quantile_double("sketch", wanted)).alias("quantiles"))
+
+
+def pageview_sketches(views: DataFrame, visitor: str, log_size: int = 12) -> DataFrame:
+    """``(url, day, views, sketch)``: what a day adds to the traffic windows: page views and a sketch of its visitors, per normal address."""
+    return views.groupBy(normal_analytics(F.col("url")).alias("url"), F.to_date("ts").alias("day")).agg(F.count("*").alias("views"), F.hll_sketch_agg(F.col(visitor), F.lit(log_size)).alias("sketch"))
+
+
+def visitor_windows(days: DataFrame, as_of: Column, length: int = 60) -> DataFrame:
+    """Page views and visitors per address over the whole period and its two halves, from the days' rows; with their trend.
+
+    The period is the ``length`` whole days before ``as_of``.  Views are exact; visitors of several days merge from sketches, so one who comes back counts once.
+    """
+    last = F.to_date(as_of)
+    now = F.col("day") >= F.date_sub(last, length // 2)
+    rows = days.where((F.col("day") >= F.date_sub(last, length)) & (F.col("day") < last)).groupBy("url")
+    count = lambda test: F.coalesce(F.sum(F.when(test, F.col("views"))), F.lit(0))
+    visitors = lambda test: F.coalesce(F.hll_sketch_estimate(F.hll_union_agg(F.when(test, F.col("sketch")))), F.lit(0))
+    out = {"pageviews_60d": F.sum("views"), "pageviews_30d": count(now), "pageviews_previous_30d": count(~now), "visitors_60d": visitors(F.lit(True)), "visitors_30d": visitors(now), "visitors_previous_30d": visitors(~now)}
+    rows = rows.agg(*[c.alias(k) for k, c in out.items()])
+    return rows.withColumns(trend(F.col("pageviews_30d"), F.col("pageviews_previous_30d")))

@@ -18,11 +18,12 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.aggregates import Aggregate, by_table_function, grouped
 from ..operators.sql import run_sql
 from ..sinks import tables
 from ..sources.providers import embedded, hashed_vectors, prompted
 
-STEP_TYPES = {"sql", "function", "write-db", "embed", "llm", "table"}
+STEP_TYPES = {"sql", "function", "table-function", "aggregate", "write-db", "embed", "llm", "table"}
 ALIASES = {"write": "write-db", "batch-llm": "llm", "batch-embedding": "embed"}
 _KEYS = {"workflow", "inputs", "steps"}
 _STEP_KEYS = {"type", "depends_on", "config", "function", "continue_on_error"}
@@ -149,9 +150,12 @@ def fan_in(frames: list[DataFrame]) -> DataFrame:
     return out
 
 
-def run(spark: SparkSession, workflow: Workflow, inputs: dict[str, Any], sources: dict[str, DataFrame], functions: dict[str, Callable[[DataFrame, dict], DataFrame]] | None = None, folder: str | None = None, providers: dict | None = None) -> dict[str, DataFrame]:
+def run(spark: SparkSession, workflow: Workflow, inputs: dict[str, Any], sources: dict[str, DataFrame], functions: dict[str, Callable | Aggregate] | None = None, folder: str | None = None, providers: dict | None = None) -> dict[str, DataFrame]:
     """The steps' frames.  ``sources`` are the tables that SQL sees; write steps commit versions below ``folder``.
 
+    ``functions`` holds what steps name: a ``function`` step takes a callable from its rows and settings to a frame, a ``table-function`` step a
+    ``udtf`` (settings ``partition_by``, ``order_by`` with ``-`` for descending, ``params``), an ``aggregate`` step an ``Aggregate`` (``group_by``).
+
     A failing step ends the run, unless it may be continued past: then its dependents get no rows from it.  So that a failure shows there
     and not when a dependent runs, such a step's rows are stored below ``folder`` (without one, checkpointed) before the next step is made.
     """
@@ -179,6 +183,11 @@ def _kept(df: DataFrame, folder: str | None, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def _names(config: dict[str, Any], key: str) -> list[str]:
+    found = config.get(key, [])
+    return [found] if isinstance(found, str) else found
+
+
 def _frame(spark, step: Step, rows, values, sources, functions, folder, providers) -> DataFrame:
     c = step.config
     if step.type == "sql":
@@ -188,13 +197,17 @@ def _frame(spark, step: Step, rows, values, sources, functions, folder, provider
         return sources[filled(c["name"], values)]
     if step.type == "function":
         return functions[step.function](rows, filled(c, values))
+    if step.type == "table-function":
+        c = filled(c, values)
+        return by_table_function(rows, functions[step.function], _names(c, "partition_by"), _names(c, "order_by"), c.get("params"))
+    if step.type == "aggregate":
+        return grouped(rows, _names(filled(c, values), "group_by"), functions[step.function])
     if step.type == "embed":
         return embedded(rows, c.get("text_field", "text"), c.get("max_chars", 8000), c.get("batch_size", 100), providers.get("embed", hashed_vectors))
     if step.type == "llm":
         return prompted(rows, c["prompt_template"], providers["llm"], c.get("batch_size", 100))
     c = filled(c, values)
-    keys = c.get("key", [])
-    keys = [keys] if isinstance(keys, str) else keys
+    keys = _names(c, "key")
     rows, target = tables.encoded(rows), sources.get(c["table"])
     if target is None:
         target = spark.createDataFrame([], rows.schema)

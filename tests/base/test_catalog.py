@@ -3,7 +3,7 @@
 import duckdb
 import pytest
 
-from docloom.plans import catalog, content, joined  # noqa: F401
+from docloom.plans import catalog, content, extended, joined  # noqa: F401
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
