@@ -1,4 +1,4 @@
-"""Registered queries of paged listings, table functions and aggregates in Python, with their SQL."""
+"""Registered queries of paged listings, table functions and aggregates in Python, and sketches of days, with their SQL."""
 
 from __future__ import annotations
 
@@ -7,11 +7,13 @@ import uuid
 import pyarrow as pa
 from pyspark.sql import functions as F
 
+from ..functions.url import normal_analytics
+from ..operators import analytics
 from ..operators.aggregates import Aggregate
 from ..sources import listings
 from ..workflow import run as workflow
 from . import views
-from .catalog import query
+from .catalog import _VIEWS60, query
 
 _ITEM = "id bigint, title string, content_type string, slug string, status string"
 _ITEMS = "i AS (SELECT doc_id AS id, substr(text, 1, 40) AS title, lang AS content_type, CASE WHEN doc_id % 9 > 0 THEN source || '-' || doc_id END AS slug, CASE WHEN doc_id % 3 = 0 THEN 'draft' ELSE 'published' END AS status FROM documents)"
@@ -135,3 +137,26 @@ config = { group_by = ["source", "lang"] }
 def workflow_aggregate(spark, sf):
     documents = views.table(spark, sf, "documents").select("source", "lang", F.col("doc_id").cast("bigint").alias("doc_id"), F.col("n_chars").cast("bigint").alias("n_chars"))
     return workflow.run(spark, workflow.parse(_LONGEST), {}, {"documents": documents}, {"longest": longest(3)})["longest"]
+
+
+@query("quantile_sketches", "SELECT event_type, count(value) AS n, true AS close FROM events GROUP BY event_type")
+def quantile_sketches(spark, sf):
+    """Values of each type from daily sketches: whether quartiles and the 99th percentile have ranks within 0.03 of what was asked for."""
+    events, wanted = views.table(spark, sf, "events"), [0.25, 0.5, 0.75, 0.99]
+    found = analytics.quantile_estimates(analytics.quantile_sketches(events, ["event_type"], "ts", "value"), ["event_type"], wanted)
+    # equal values share a range of ranks; the one asked for has to lie within or near it
+    below = [F.avg((F.col("value") < F.col("quantiles")[k]).cast("int")).alias(f"below{k}") for k in range(4)]
+    upto = [F.avg((F.col("value") <= F.col("quantiles")[k]).cast("int")).alias(f"upto{k}") for k in range(4)]
+    ranks = events.join(found, "event_type").groupBy("event_type").agg(F.max("n").alias("n"), *below, *upto)
+    close = [(F.col(f"below{k}") <= q + 0.03) & (F.col(f"upto{k}") >= q - 0.03) for k, q in enumerate(wanted)]
+    return ranks.select("event_type", "n", (close[0] & close[1] & close[2] & close[3]).alias("close"))
+
+
+@query("visitor_windows", f"WITH {_VIEWS60} SELECT url, pageviews_60d, pageviews_30d, pageviews_previous_30d, pageviews_trend, trend_percentage, true AS close FROM a")
+def visitor_windows(spark, sf):
+    """Traffic windows from what each day adds; visitors of the whole period within five per cent, or one, of the exact count."""
+    seen, as_of = views.pageviews(spark, sf), F.lit("2024-01-31").cast("timestamp")
+    found = analytics.visitor_windows(analytics.pageview_sketches(seen, "user_id"), as_of, 30)
+    some = seen.where("ts >= '2024-01-01' and ts < '2024-01-31'").groupBy(normal_analytics(F.col("url")).alias("url")).agg(F.countDistinct("user_id").alias("exact"))
+    near = F.abs(F.col("visitors_60d") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
+    return found.join(some, "url").select("url", "pageviews_60d", "pageviews_30d", "pageviews_previous_30d", "pageviews_trend", "trend_percentage", near.alias("close"))

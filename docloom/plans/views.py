@@ -81,10 +81,10 @@ def traces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pageviews(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(url, ts)``: events of one type on the pages' addresses in turn."""
+    """``(url, ts, user_id)``: events of one type on the pages' addresses in turn."""
     pages = table(spark, sf_dir, "pages").select("page_id", "url")
-    e = table(spark, sf_dir, "events").where("event_type = 'view'").select("ts", (F.col("event_id") % pages.agg(F.count("*")).scalar()).alias("n"))
-    return e.join(pages, F.col("n") == F.col("page_id")).select("url", "ts")
+    e = table(spark, sf_dir, "events").where("event_type = 'view'").select("ts", "user_id", (F.col("event_id") % pages.agg(F.count("*")).scalar()).alias("n"))
+    return e.join(pages, F.col("n") == F.col("page_id")).select("url", "ts", "user_id")
 
 
 def signals(spark: SparkSession, sf_dir: str) -> DataFrame:
