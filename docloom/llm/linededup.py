@@ -14,25 +14,30 @@ from .common import stored
 #: lgK of a sketch (4,096 registers: a relative error of 1.6 %), and the band around the threshold that is counted exactly.
 PRECISION = 12
 BAND = 0.25
+#: What doesn't count at a line's ends; the carriage return of a line that ends in both is among it.
+BLANKS = " \t\x0b\x0c\r"
+#: A line is known by two 64-bit hashes of different seeds: at 10^13 lines one alone would take some different lines for equal.
+KEY = ["hash", "check"]
 
 
 def _lines(docs: DataFrame, *more: str) -> DataFrame:
     rows = docs.select("doc_id", F.xxhash64("text").alias("row"), *more, F.posexplode(F.split("text", "\n")).alias("at", "line"))
-    return rows.withColumn("line", F.trim("line")).where("line <> ''").withColumn("hash", F.xxhash64("line")).drop("line")
+    rows = rows.withColumn("line", F.trim("line", F.lit(BLANKS))).where("line <> ''")
+    return rows.withColumns({"hash": F.xxhash64("line"), "check": F.xxhash64(F.lit(1), "line")}).drop("line")
 
 
 def widespread_lines(docs: DataFrame, sites: int = 10) -> DataFrame:
-    """``(hash, sites)`` of the lines of ``docs(doc_id, text, source)`` on ``sites`` different sources or more.
+    """``(hash, check, sites)`` of the lines of ``docs(doc_id, text, source)`` on ``sites`` different sources or more.
 
     ``sites`` is exact near the threshold, estimated above it.  A line is what stands between newlines, without outer
-    spaces; blank ones don't count.  The null source is a site.
+    blanks (spaces, tabs, carriage returns and the like); blank ones don't count.  The null source is a site.
     """
     lines = _lines(docs, "source").withColumn("site", F.coalesce(F.concat(F.lit("="), "source"), F.lit("")))
-    sketched = lines.groupBy("hash").agg(F.hll_sketch_agg("site", PRECISION).alias("sketch"))
-    spread = stored(sketched.select("hash", F.hll_sketch_estimate("sketch").alias("about")).where(F.col("about") >= sites * (1 - BAND)), "line-spread")
-    near = spread.where(F.col("about") < sites * (1 + BAND)).select("hash")
-    exact = lines.join(near, "hash").select("hash", "site").distinct().groupBy("hash").agg(F.count("*").alias("sites")).where(F.col("sites") >= sites)
-    return stored(spread.where(F.col("about") >= sites * (1 + BAND)).select("hash", F.col("about").alias("sites")).union(exact), "widespread")
+    sketched = lines.groupBy(*KEY).agg(F.hll_sketch_agg("site", PRECISION).alias("sketch"))
+    spread = stored(sketched.select(*KEY, F.hll_sketch_estimate("sketch").alias("about")).where(F.col("about") >= sites * (1 - BAND)), "line-spread")
+    near = spread.where(F.col("about") < sites * (1 + BAND)).select(*KEY)
+    exact = lines.join(near, KEY).select(*KEY, "site").distinct().groupBy(*KEY).agg(F.count("*").alias("sites")).where(F.col("sites") >= sites)
+    return stored(spread.where(F.col("about") >= sites * (1 + BAND)).select(*KEY, F.col("about").alias("sites")).union(exact), "widespread")
 
 
 def boilerplate_removed(docs: DataFrame, sites: int = 10) -> DataFrame:
@@ -41,7 +46,7 @@ def boilerplate_removed(docs: DataFrame, sites: int = 10) -> DataFrame:
     Columns of these names are replaced.  Null texts have no lines and stay null.  Equal rows each return one row; null ids are
     ordinary; an empty table returns no rows.  The plan is the same at every size: one shuffle of the texts by id and hash.
     """
-    found = _lines(docs).join(widespread_lines(docs, sites).select("hash"), "hash").groupBy("doc_id", "row").agg(F.collect_set("at").alias("_gone"))
+    found = _lines(docs).join(widespread_lines(docs, sites).select(*KEY), KEY).groupBy("doc_id", "row").agg(F.collect_set("at").alias("_gone"))
     found = stored(found.select(F.col("doc_id").alias("_id"), F.col("row").alias("_row"), "_gone"), "line-places")
     rows = docs.join(found.hint("merge"), docs["doc_id"].eqNullSafe(found["_id"]) & (F.xxhash64(docs["text"]) == found["_row"]), "left")
     lines = F.split(docs["text"], "\n")

@@ -144,9 +144,9 @@ SELECT doc_id, license, max(sentences) AS sentences FROM l GROUP BY rid, doc_id,
 _OP5 = r"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, source, text, string_split(text, chr(10)) AS lines FROM documents),
 l AS (SELECT rid, coalesce('=' || source, '') AS site, unnest(lines) AS line, generate_subscripts(lines, 1) AS pos FROM d),
-w AS (SELECT trim(line) AS line FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 10),
-g AS (SELECT rid, count(*) AS n FROM l JOIN w ON trim(l.line) = w.line GROUP BY rid),
-k AS (SELECT rid, string_agg(l.line, chr(10) ORDER BY pos) AS kept FROM l LEFT JOIN w ON trim(l.line) = w.line WHERE w.line IS NULL GROUP BY rid)
+w AS (SELECT trim(l.line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) AS line FROM l WHERE trim(l.line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) <> '' GROUP BY 1 HAVING count(DISTINCT site) >= 10),
+g AS (SELECT rid, count(*) AS n FROM l JOIN w ON trim(l.line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = w.line GROUP BY rid),
+k AS (SELECT rid, string_agg(l.line, chr(10) ORDER BY pos) AS kept FROM l LEFT JOIN w ON trim(l.line, ' ' || chr(9) || chr(11) || chr(12) || chr(13)) = w.line WHERE w.line IS NULL GROUP BY rid)
 SELECT d.doc_id, coalesce(len(d.lines), 0)::BIGINT AS n_lines, coalesce(g.n, 0)::BIGINT AS n_removed, sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN g USING (rid) LEFT JOIN k USING (rid)
 """

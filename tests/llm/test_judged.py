@@ -229,19 +229,19 @@ def test_boilerplate_lines(spark):
     rnd = random.Random(6)
     lines = {f"line {k}": rnd.sample(range(40), spread) for k, spread in enumerate([1, 2, 8, 9, 10, 11, 12, 13, 20, 40])}
     rows = [(s, "\n".join([f"own {s}"] + [x for x, sites in lines.items() if s in sites] + ["", f"own {s} end"]), f"site{s}") for s in range(40)]
-    rows += [(50, None, None), (51, "line 9\n  line 9 \nline 0", None), (51, "line 9\n  line 9 \nline 0", None), (52, "", "site1"), (None, "line 9\nlast", "x")]
+    rows += [(50, None, None), (51, "line 9\n  line 9 \nline 0", None), (51, "line 9\n  line 9 \nline 0", None), (52, "", "site1"), (53, "line 9\r\n\t\r\n\x0bline 6\t \r\nown\r", "y"), (54, "\t\n\r\n", "z"), (None, "line 9\nlast", "x")]
     docs = documents(spark, rows, **CLASHING)
     got = linededup.boilerplate_removed(docs).collect()
     assert len(got) == len(rows)
-    spread = defaultdict(set)
+    spread, blanks = defaultdict(set), " \t\x0b\x0c\r"
     for _, t, s in rows:
         for x in (t or "").split("\n"):
-            spread[x.strip(" ")].add(s)
+            spread[x.strip(blanks)].add(s)
     wide = {x for x, s in spread.items() if len(s) >= 10 and x}
     for r in got:
         parts = (r.text or "").split("\n")
-        kept = None if r.text is None else "\n".join(x for x in parts if x.strip(" ") not in wide)
-        assert r.kept == kept and r.n_removed == sum(x.strip(" ") in wide for x in parts)
+        kept = None if r.text is None else "\n".join(x for x in parts if x.strip(blanks) not in wide)
+        assert r.kept == kept and r.n_removed == sum(x.strip(blanks) in wide for x in parts)
     exact = {r.sites for r in linededup.widespread_lines(docs).collect()}
     assert 10 in exact and 11 in exact
     assert Counter(linededup.boilerplate_removed(docs).columns).most_common(1)[0][1] == 1
