@@ -79,6 +79,22 @@ def latest_events(events: DataFrame, n: int) -> DataFrame:
     return events.withColumn("rank", newest).where(F.col("rank") <= n)
 
 
+def progress(events: DataFrame, steps: DataFrame, n: int = 20) -> DataFrame:
+    """``(run_id, stage, current, total)`` of each run that has events or steps.
+
+    The counters are those of the newest among the run's last ``n`` events ``(run_id, id, step_id, current, total, metadata_json)`` that has both, in its
+    columns or else in its metadata, and 0 without one.  The stage is the last running step of ``steps(run_id, name, status, position)``, else that event's.
+    """
+    whole = F.col("current").isNotNull() & F.col("total").isNotNull()
+    counter = lambda c: F.when(whole, F.col(c).cast("bigint")).otherwise(F.get_json_object("metadata_json", f"$.{c}").try_cast("bigint"))
+    found = F.struct("id", counter("current").alias("current"), counter("total").alias("total"), "step_id")
+    newest = latest_events(events, n).groupBy("run_id").agg(F.max(F.when(counter("current").isNotNull() & counter("total").isNotNull(), found)).alias("e"))
+    running = steps.groupBy("run_id").agg(F.max(F.when(F.col("status") == "running", F.struct("position", "name"))).alias("s"))
+    both = newest.select(F.col("run_id").alias("_run"), "e").join(running, F.col("_run").eqNullSafe(F.col("run_id")), "full")
+    zero = lambda c: F.coalesce(F.col(f"e.{c}"), F.lit(0)).alias(c)
+    return both.select(F.coalesce("_run", "run_id").alias("run_id"), F.coalesce("s.name", "e.step_id").alias("stage"), zero("current"), zero("total"))
+
+
 def run_status(steps: DataFrame) -> DataFrame:
     """``(run_id, status, ...)``: a completed run with failing steps is completed_with_errors; success is output less errors."""
     success = F.greatest(F.lit(0), F.coalesce("output_count", F.lit(0)) - F.coalesce("error_count", F.lit(0)))

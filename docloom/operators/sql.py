@@ -34,6 +34,14 @@ def positional(text: str, params: dict) -> tuple[str, list]:
     return _NAME.sub("?", text), values
 
 
+def table_exists(spark: SparkSession, name: str, tables: dict[str, DataFrame] | None = None) -> bool:
+    """Whether a statement could name the table: one of ``tables``, a view or a table of the catalog; a name that is none at all isn't there."""
+    try:
+        return name in (tables or {}) or spark.catalog.tableExists(name)
+    except (ParseException, AnalysisException):
+        return False
+
+
 def of_tenant(tables: dict[str, DataFrame], column: str, tenant: object, shared: tuple[str, ...] = ()) -> dict[str, DataFrame]:
     """``tables`` with one tenant's rows only; a table without the tenant's column is refused, unless it is ``shared``.
 

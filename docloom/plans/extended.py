@@ -1,4 +1,4 @@
-"""Registered queries of paged listings, table functions and aggregates in Python, and sketches of days, with their SQL."""
+"""Registered queries of paged listings, table functions and aggregates in Python, sketches of days, progress and totals, with their SQL."""
 
 from __future__ import annotations
 
@@ -10,10 +10,11 @@ from pyspark.sql import functions as F
 from ..functions.url import normal_analytics
 from ..operators import analytics
 from ..operators.aggregates import Aggregate
+from ..sinks import content
 from ..sources import listings
 from ..workflow import run as workflow
 from . import views
-from .catalog import _VIEWS60, query
+from .catalog import _EVENTS, _TRACES, _VIEWS60, query
 
 _ITEM = "id bigint, title string, content_type string, slug string, status string"
 _ITEMS = "i AS (SELECT doc_id AS id, substr(text, 1, 40) AS title, lang AS content_type, CASE WHEN doc_id % 9 > 0 THEN source || '-' || doc_id END AS slug, CASE WHEN doc_id % 3 = 0 THEN 'draft' ELSE 'published' END AS status FROM documents)"
@@ -160,3 +161,38 @@ def visitor_windows(spark, sf):
     some = seen.where("ts >= '2024-01-01' and ts < '2024-01-31'").groupBy(normal_analytics(F.col("url")).alias("url")).agg(F.countDistinct("user_id").alias("exact"))
     near = F.abs(F.col("visitors_60d") - F.col("exact")) <= F.greatest(F.lit(1.0), 0.05 * F.col("exact"))
     return found.join(some, "url").select("url", "pageviews_60d", "pageviews_30d", "pageviews_previous_30d", "pageviews_trend", "trend_percentage", near.alias("close"))
+
+
+_COUNTED = "c AS (SELECT run_id, id, step_id, round(current)::BIGINT AS current, CASE WHEN id % 3 = 0 THEN 500 END AS total, CASE WHEN id % 3 = 1 THEN id % 7 END AS inner_current, row_number() OVER (PARTITION BY run_id ORDER BY id DESC) AS n FROM e)"
+
+
+@query(
+    "event_progress",
+    f"""WITH {_EVENTS}, {_COUNTED},
+    p AS (SELECT run_id, max_by({{'current': CASE WHEN total IS NOT NULL THEN current ELSE inner_current END, 'total': coalesce(total, 90), 'step': step_id}}, id) FILTER (n <= 20 AND (total IS NOT NULL OR inner_current IS NOT NULL)) AS f FROM c GROUP BY run_id),
+    s AS (SELECT run_id, max_by(step_id, id) AS name FROM e WHERE status = 'signup' AND run_id % 2 = 0 GROUP BY run_id)
+    SELECT run_id, coalesce(name, f.step) AS stage, coalesce(f.current, 0)::BIGINT AS current, coalesce(f.total, 0)::BIGINT AS total FROM p LEFT JOIN s USING (run_id)""",
+)
+def event_progress(spark, sf):
+    """Progress of every run: a third of the events has both counters in columns, a third in the metadata."""
+    e = views.step_events(spark, sf)
+    inner = F.when(F.col("id") % 3 == 1, F.to_json(F.struct((F.col("id") % 7).alias("current"), F.lit(90).alias("total"))))
+    events = e.select("run_id", "id", "step_id", F.round("current").cast("bigint").alias("current"), F.when(F.col("id") % 3 == 0, 500).alias("total"), inner.alias("metadata_json"))
+    steps = e.where("status = 'signup' and run_id % 2 = 0").select("run_id", F.col("step_id").alias("name"), F.lit("running").alias("status"), F.col("id").alias("position"))
+    return analytics.progress(events, steps)
+
+
+@query(
+    "enrichment_totals",
+    f"WITH {_TRACES} SELECT count(*) AS total, count(*) FILTER (latency_ms IS NOT NULL) AS success, count(*) FILTER (latency_ms IS NULL) AS failed, sum(input_tokens)::BIGINT AS tokens_in, sum(output_tokens)::BIGINT AS tokens_out FROM t",
+)
+def enrichment_totals(spark, sf):
+    """Totals of calls; one without a latency has failed."""
+    status = F.when(F.col("latency_ms").isNotNull(), "success").otherwise("error")
+    return analytics.batch_totals(views.traces(spark, sf).select(status.alias("_status"), F.col("input_tokens").alias("_tokens_in"), F.col("output_tokens").alias("_tokens_out")))
+
+
+@query("trace_rows", f"WITH {_TRACES} SELECT workflow_id, turn, model, 'local' AS provider, input_tokens, coalesce(CASE WHEN turn % 2 = 0 THEN output_tokens END, 0) AS output_tokens, input_tokens + coalesce(CASE WHEN turn % 2 = 0 THEN output_tokens END, 0) AS total_tokens, CASE WHEN turn % 3 = 0 THEN 0.5::DOUBLE ELSE 0.0::DOUBLE END AS cost FROM t")
+def trace_rows(spark, sf):
+    calls = views.traces(spark, sf).select("workflow_id", "turn", "model", F.lit("local").alias("provider"), "input_tokens", F.when(F.col("turn") % 2 == 0, F.col("output_tokens")).alias("output_tokens"), F.when(F.col("turn") % 3 == 0, F.lit(0.5)).alias("cost"))
+    return content.trace_rows(calls)

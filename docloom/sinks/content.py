@@ -2,30 +2,50 @@
 
 from __future__ import annotations
 
-import re
+import uuid
+from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.values import status_from_error
 
 
-def write_files(docs: DataFrame, folder: str) -> None:
-    """Writes ``docs(path, content)``, one UTF-8 file each, below a folder that the executors share; rewriting is harmless."""
+def write_files(docs: DataFrame, folder: str) -> DataFrame:
+    """Writes ``docs(path, content)``, one UTF-8 file each, below a folder that the executors share; rewriting is harmless.
 
-    def write(rows) -> None:
+    Returns each row's ``(path, status, error)``: a row without a path, with a path that leaves the folder, or whose file can't be written is an
+    error and stops no other.  Null content is an empty file.  The files are written once, when this is called; what it returns is stored beside them.
+    """
+
+    def write(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from pyarrow import fs
 
         store, root = fs.FileSystem.from_uri(folder)
-        for r in rows:
-            if r["path"] is None or re.search(r"(^|/)\.\.(/|$)", r["path"]):
-                continue
-            where = f"{root}/{r['path'].lstrip('/')}"
-            store.create_dir(where.rsplit("/", 1)[0], recursive=True)
-            with store.open_output_stream(where) as f:
-                f.write((r["content"] or "").encode())
-
-    docs.select("path", "content").foreachPartition(write)
+
+        def one(path: str | None, content: str | None) -> str | None:
+            if not path or not path.strip("/"):
+                return "no path"
+            if ".." in path.split("/"):
+                return "the path leaves the folder"
+            where = f"{root}/{path.lstrip('/')}"
+            try:
+                store.create_dir(where.rsplit("/", 1)[0], recursive=True)
+                with store.open_output_stream(where) as f:
+                    f.write((content or "").encode())
+            except (OSError, ValueError) as e:
+                return str(e)
+            return None
+
+        for frame in frames:
+            errors = pd.Series([one(p, c) for p, c in zip(frame["path"], frame["content"])], dtype=object)
+            yield pd.DataFrame({"path": frame["path"], "status": errors.isna().map({True: "written", False: "error"}), "error": errors})
+
+    report = f"{folder}/_written/{uuid.uuid4().hex}"
+    schema = "path string, status string, error string"
+    docs.select("path", "content").mapInPandas(write, schema).write.parquet(report)
+    return docs.sparkSession.read.schema(schema).parquet(report)
 
 
 def fetch_rows(results: DataFrame) -> DataFrame:

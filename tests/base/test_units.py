@@ -309,8 +309,10 @@ def test_blocks_round_trip(spark):
 def test_content_and_rows(spark, tmp_path):
     from docloom.sinks import content
 
-    docs = spark.createDataFrame([("a/b.md", "text ü"), ("../evil.md", "x"), (None, "y")], "path string, content string")
-    content.write_files(docs, f"file://{tmp_path}/out")
+    docs = spark.createDataFrame([("a/b.md", "text ü"), ("../evil.md", "x"), (None, "y"), ("/", "y"), ("a/..b.md", None), ("a", "a folder")], "path string, content string").coalesce(1)
+    got = {(r.path, r.status): r.error for r in content.write_files(docs, f"file://{tmp_path}/out").collect()}
+    assert got[("a/b.md", "written")] is None and got[("a/..b.md", "written")] is None and (tmp_path / "out/a/..b.md").read_text() == ""
+    assert got[("../evil.md", "error")] == "the path leaves the folder" and got[(None, "error")] == got[("/", "error")] == "no path" and got[("a", "error")]
     assert (tmp_path / "out/a/b.md").read_text() == "text ü" and not (tmp_path / "evil.md").exists()
     rows = spark.createDataFrame([("d1", "weird", "boom", 12, "abc", None, '{"k": "v", "latency_ms": "1"}'), (None, "success", None, 1, "", None, None)], "document_id string, status string, error string, latency_ms int, content string, public_url string, metadata_json string")
     got = content.fetch_rows(rows).collect()
@@ -394,3 +396,25 @@ def test_sessions_and_follow_ups_of_streams(spark, tmp_path):
     assert sorted(map(tuple, drained(events.followed(*kinds(read()), within="30 minutes"), "followed").collect())) == [("a", 1, 2), ("b", 5, 7), ("z", 8, 9)]
     slid = events.counts_by_window(table.where("id = 2"), "1 hour", slide="15 minutes")
     assert sorted(str(r.start)[11:16] for r in slid.collect()) == ["00:00", "23:15", "23:30", "23:45"]
+
+
+def test_progress_of_runs(spark):
+    from docloom.operators.analytics import progress
+
+    rows = [
+        (1, 1, "a", 1, 9, None), (1, 2, "b", 2, None, '{"current": 5, "total": 8}'), (1, 3, "c", None, 7, '{"current": 6}'),
+        (2, 4, "a", 3, 4, None), (2, 5, "b", None, None, "no json"), (3, 6, "a", None, None, None), (None, 7, "z", 1, 2, None),
+        *[(4, 100 + k, "late", None, None, None) for k in range(20)], (4, 8, "early", 1, 1, None),
+    ]
+    events = spark.createDataFrame(rows, "run_id int, id bigint, step_id string, current int, total int, metadata_json string")
+    steps = spark.createDataFrame([(2, "fetch", "running", 1), (2, "embed", "running", 2), (2, "write", "pending", 3), (5, "only", "running", 1), (6, "done", "completed", 1)], "run_id int, name string, status string, position int")
+    got = {r.run_id: (r.stage, r.current, r.total) for r in progress(events, steps).collect()}
+    assert got == {1: ("b", 5, 8), 2: ("embed", 3, 4), 3: (None, 0, 0), None: ("z", 1, 2), 4: (None, 0, 0), 5: ("only", 0, 0), 6: (None, 0, 0)}
+
+
+def test_table_exists(spark):
+    from docloom.operators.sql import table_exists
+
+    spark.range(1).createOrReplaceTempView("there_it_is")
+    assert table_exists(spark, "there_it_is") and table_exists(spark, "given", {"given": spark.range(1)})
+    assert not table_exists(spark, "not_there") and not table_exists(spark, "a b; --") and not table_exists(spark, "")
