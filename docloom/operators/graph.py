@@ -11,19 +11,19 @@ from ..functions.url import path
 def reach(edges: DataFrame, roots: DataFrame, max_depth: int) -> DataFrame:
     """``(node, depth, parent)`` of every node within ``max_depth`` steps of ``roots(node)``: least depth, then least parent.
 
-    Each round joins the frontier with ``edges(src, dst)`` and drops what was seen; rounds end lineage by a reliable checkpoint
-    where the session has a folder for it.
+    Each round joins the frontier with ``edges(src, dst)`` and drops what was seen.  A round keeps its own nodes, by a reliable checkpoint where the
+    session has a folder for it; what was seen is their union, so no node is written twice however deep the graph is.
     """
     spark = edges.sparkSession
     settle = (lambda df: df.checkpoint()) if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined() else (lambda df: df.persist())
-    seen = settle(roots.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")))
-    frontier = seen
+    frontier = settle(roots.select("node").distinct().select("node", F.lit(0).alias("depth"), F.lit(None).cast(edges.schema["src"].dataType).alias("parent")))
+    seen = frontier
     for depth in range(1, max_depth + 1):
         step = edges.join(frontier.select(F.col("node").alias("src")), "src").groupBy(F.col("dst").alias("node")).agg(F.min("src").alias("parent"))
         frontier = settle(step.join(seen.select("node"), "node", "left_anti").select("node", F.lit(depth).alias("depth"), "parent"))
         if frontier.isEmpty():
             break
-        seen = settle(seen.unionByName(frontier))
+        seen = seen.unionByName(frontier)
     return seen
 
 
