@@ -11,7 +11,7 @@ from ..functions.url import normal_analytics
 from ..operators import analytics
 from ..operators.aggregates import Aggregate
 from ..sinks import content
-from ..sources import listings
+from ..sources import listings, pages
 from ..workflow import run as workflow
 from . import views
 from .catalog import _EVENTS, _TRACES, _VIEWS60, query
@@ -196,3 +196,20 @@ def enrichment_totals(spark, sf):
 def trace_rows(spark, sf):
     calls = views.traces(spark, sf).select("workflow_id", "turn", "model", F.lit("local").alias("provider"), "input_tokens", F.when(F.col("turn") % 2 == 0, F.col("output_tokens")).alias("output_tokens"), F.when(F.col("turn") % 3 == 0, F.lit(0.5)).alias("cost"))
     return content.trace_rows(calls)
+
+
+@query(
+    "sitemaps_expanded",
+    """SELECT 'https://maps.test/' || s AS sitemap, CASE WHEN s % 11 = 1 OR s % 7 = 0 THEN 0 ELSE n END::BIGINT AS n, CASE WHEN s % 11 = 1 THEN 'no text' WHEN s % 7 = 0 THEN 'invalid XML' END AS error
+    FROM (SELECT page_id // 10 AS s, count(*) AS n FROM pages GROUP BY 1)""",
+)
+def sitemaps_expanded(spark, sf):
+    """Sitemaps of ten pages each under indexes of a hundred; of some the text is broken or missing."""
+    found = views.table(spark, sf, "pages").select(F.floor(F.col("page_id") / 10).alias("s"), F.replace(F.replace("url", F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")).alias("url"))
+    address = F.concat(F.lit("https://maps.test/"), F.col("s").cast("string"))
+    listed = found.groupBy("s").agg(F.concat(F.lit("<urlset>"), F.array_join(F.collect_list(F.concat(F.lit("<url><loc>"), "url", F.lit("</loc></url>"))), "")).alias("xml"))
+    maps = listed.where("s % 11 <> 1").select(address.alias("url"), F.when(F.col("s") % 7 == 0, F.col("xml")).otherwise(F.concat("xml", F.lit("</urlset>"))).alias("xml"))
+    index = listed.groupBy(F.concat(F.lit("https://index.test/"), F.floor(F.col("s") / 100).cast("string")).alias("url"))
+    index = index.agg(F.concat(F.lit("<sitemapindex>"), F.array_join(F.collect_list(F.concat(F.lit("<sitemap><loc>"), address, F.lit("</loc></sitemap>"))), ""), F.lit("</sitemapindex>")).alias("xml"))
+    rows = pages.sitemaps_expanded(index.select("url"), index.unionByName(maps))
+    return rows.groupBy("sitemap", "error").agg(F.count("loc").alias("n")).select("sitemap", "n", "error")

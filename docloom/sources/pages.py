@@ -6,7 +6,7 @@ from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -64,13 +64,17 @@ def entries(xml: pd.Series) -> pd.Series:
     return xml.map(lambda x: [{"title": a, "link": b} for a, b in feed_entries(x)])
 
 
+def _sitemap(xml: Column) -> Column:
+    """A sitemap's or index's entries; what isn't XML comes back as ``_corrupt_record`` and doesn't end the query, as it does with XPath."""
+    return F.from_xml(xml, "url array<struct<loc string>>, sitemap array<struct<loc string>>, _corrupt_record string", {"ignoreNamespace": "true", "mode": "PERMISSIVE"})
+
+
 def sitemap_urls(maps: DataFrame, include: list[str] | None = None, exclude: list[str] | None = None, most: int | None = None) -> DataFrame:
     """``(source_url)`` of the sitemap texts in ``maps(xml)``: normal form, first one of each, then globs, then at most ``most``.
 
-    Element names count without their namespace.
+    Element names count without their namespace; a text that isn't XML has no addresses (``sitemaps_expanded`` reports it).
     """
-    loc = F.explode(F.xpath("xml", F.lit("//*[local-name()='url']/*[local-name()='loc']/text()"))).alias("loc")
-    urls = maps.select(loc).select(normal_strict(F.trim("loc")).alias("source_url")).distinct()
+    urls = maps.select(F.explode(_sitemap(F.col("xml"))["url"]["loc"]).alias("loc")).select(normal_strict(F.trim("loc")).alias("source_url")).distinct()
     if include:
         urls = urls.where(matches_any(F.col("source_url"), include))
     if exclude:
@@ -80,7 +84,29 @@ def sitemap_urls(maps: DataFrame, include: list[str] | None = None, exclude: lis
 
 def nested_sitemaps(maps: DataFrame) -> DataFrame:
     """``(loc)`` of the sitemaps that a sitemap index names."""
-    return maps.select(F.explode(F.xpath("xml", F.lit("//*[local-name()='sitemap']/*[local-name()='loc']/text()"))).alias("loc"))
+    return maps.select(F.explode(_sitemap(F.col("xml"))["sitemap"]["loc"]).alias("loc"))
+
+
+def robots_sitemaps(robots: DataFrame) -> DataFrame:
+    """``(url)`` of the sitemaps that robots files ``(text)`` name, once each."""
+    return robots.select(F.explode(F.regexp_extract_all("text", F.lit(r"(?im)^[ \t]*sitemap:[ \t]*(\S+)"), F.lit(1))).alias("url")).distinct()
+
+
+def sitemaps_expanded(roots: DataFrame, texts: DataFrame) -> DataFrame:
+    """``(sitemap, loc, error)``: the addresses in the sitemaps ``roots(url)`` and in those that they name, one level down.
+
+    ``texts(url, xml)`` are the fetched sitemaps, of several for an address the least.  A sitemap without a text, with one that isn't XML or without
+    any entry is one row with its error and stops no other.  A sitemap that several name is read once; indexes below an index aren't followed.
+    """
+    known = texts.groupBy("url").agg(F.min("xml").alias("xml"))
+    read = lambda names: names.join(known, "url", "left").select(F.col("url").alias("sitemap"), "xml", _sitemap(F.col("xml")).alias("m"))
+    first = read(roots.select("url").where("url is not null").distinct())
+    named = first.select(F.explode("m.sitemap.loc").alias("url")).where("url is not null").distinct()
+    below = read(named.join(roots.select("url"), "url", "left_anti"))
+    error = F.when(F.col("xml").isNull(), "no text").when(F.col("m._corrupt_record").isNotNull(), "invalid XML").when(F.col("m.url").isNull() & F.col("m.sitemap").isNull(), "no entries")
+    every = first.unionByName(below).withColumn("error", error)
+    found = every.select("sitemap", F.explode("m.url.loc").alias("loc"), F.lit(None).cast("string").alias("error")).where("loc is not null")
+    return found.unionByName(every.where("error is not null").select("sitemap", F.lit(None).cast("string").alias("loc"), "error"))
 
 
 def feed_urls(feeds: DataFrame, include: str | None = None, exclude: str | None = None) -> DataFrame:

@@ -418,3 +418,19 @@ def test_table_exists(spark):
     spark.range(1).createOrReplaceTempView("there_it_is")
     assert table_exists(spark, "there_it_is") and table_exists(spark, "given", {"given": spark.range(1)})
     assert not table_exists(spark, "not_there") and not table_exists(spark, "a b; --") and not table_exists(spark, "")
+
+
+def test_sitemaps_expanded(spark):
+    from docloom.sources import pages
+
+    index = lambda *names: "<sitemapindex>" + "".join(f"<sitemap><loc>{n}</loc></sitemap>" for n in names) + "</sitemapindex>"
+    plain = lambda *names: '<s:urlset xmlns:s="u">' + "".join(f"<s:url><s:loc> {n} </s:loc></s:url>" for n in names) + "</s:urlset>"
+    texts = [("r1", index("a", "b", "gone", "r2", "deep")), ("r2", plain("p3", "p3")), ("a", plain("p1", "p2")), ("a", plain("p9")), ("b", "<urlset><url>"), ("deep", index("x")), ("x", plain("never")), ("empty", "<urlset></urlset>"), ("null", None)]
+    frame = spark.createDataFrame(texts, "url string, xml string")
+    robots = spark.createDataFrame([("User-agent: *\nSitemap: r1\n  SITEMAP:\tr2 \nDisallow: /sitemap: no",), ("Sitemap: empty\r\nsitemap: null\nsitemap: r1",), (None,)], "text string")
+    roots = pages.robots_sitemaps(robots)
+    assert sorted(r.url for r in roots.collect()) == ["empty", "null", "r1", "r2"]
+    got = sorted(map(tuple, pages.sitemaps_expanded(roots, frame).collect()), key=str)
+    want = [("a", "p1", None), ("a", "p2", None), ("b", None, "invalid XML"), ("empty", None, "no entries"), ("gone", None, "no text"), ("null", None, "no text"), ("r2", "p3", None), ("r2", "p3", None)]
+    assert got == sorted(want, key=str)
+    assert [r.source_url for r in pages.sitemap_urls(spark.createDataFrame([("<urlset><url>",), (None,), (plain("https://e.org/p"),)], "xml string")).collect()] == ["https://e.org/p"]
