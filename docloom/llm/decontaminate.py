@@ -28,60 +28,99 @@ UNITS = (
     "percent degree degrees cent cents dollar dollars euro euros mph kmh watt watts volt volts hz khz mhz ghz kb mb gb tb"
 ).split()
 
-_NAME = r"(?<=[\p{Ll}\p{N},;:]\x20)(?=\p{Lu}\p{Ll})"
+#: Numbers in words.  "One" is left out, as it mostly isn't a number.
+NUMBERS = (
+    "two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen"
+).split()
+#: Words that begin a sentence without being its subject's name.
+STARTERS = (
+    "A An The This That These Those He She It We They You His Her Its Our Their Your My There Here How What Which Who When Where Why If "
+    "As At In On Of For From By With After Before During While Each Every All Some Most Many No One Two Three And But Or So Then"
+).split()
+#: Verbs without an ending that shows them.
+VERBS = (
+    "has had is was are were have can could will would did made sold bought ate ran gave paid got took went read spent won lost found drove "
+    "wrote drew built kept left put cut saw grew flew swam rode sent taught and"
+).split()
+
+_SUBJECT = rf"(?<!\S)(?=(?!(?:{'|'.join(STARTERS)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?:['’]s\s|\s(?:\p{{Ll}}{{2,}}(?:s|ed)|{'|'.join(VERBS)})\s))"
+_NAME = rf"(?<=[\p{{Ll}}\p{{N}},;:]\x20)(?=\p{{Lu}}\p{{Ll}})|{_SUBJECT}"
 _OUTER = r"(?<!\S)[^\p{L}\p{N}\x01\s]+|[^\p{L}\p{N}\x01\s]+(?!\S)"
-_NUMBER = r"(?<!\S)[-+]?\p{N}[\p{N}.,:/]*(?!\S)"
+_SPELLED = "|".join(NUMBERS)
+#: Blanks within a number of several words, which becomes one word.
+_WITHIN = rf"(?<=(?<![\p{{L}}\p{{N}}])(?:{_SPELLED}))\s(?=(?:{_SPELLED})(?![\p{{L}}\p{{N}}]))|(?<=\p{{N}})\s(?=(?:hundred|thousand|million|billion|dozen)(?![\p{{L}}\p{{N}}]))"
+_JOINED = rf"(?<![\p{{L}}\p{{N}}.,])(\p{{N}}[\p{{N}}.,]*+)((?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
+_NUMBER = rf"(?<!\S)(?:[-+]?\p{{N}}[\p{{N}}.,:/]*+|{_SPELLED})(?:-(?:{_SPELLED}))*+(?!\S)"
 _UNIT = rf"(?<=<n>\s)(?:{'|'.join(UNITS)})(?!\S)"
 
 
 def templates(text) -> tuple:
     """Two aligned columns of words: templates with placeholders ``<n> <name> <u>``, and the literal words.
 
-    A name is a capitalised word inside a sentence.  Null: null.
+    A name is a capitalised word inside a sentence, or one with a possessive or before a verb of the third person or the past.  Numbers
+    are digits or words (``twenty-five``, ``3 million`` are one word each; capitalised inside a sentence they are names); a unit stands behind a number, joined to it or not.  All
+    rules look at a word's neighbours only, so an item and a copy of it in a long text get the same templates.  Null: null.
     """
-    marked = F.regexp_replace(F.lower(F.regexp_replace(F.regexp_replace(text, _NAME, "\x01"), _OUTER, "")), r"\s+", " ")
+    named = F.lower(F.regexp_replace(text, _NAME, "\x01"))
+    joined = F.regexp_replace(F.regexp_replace(named, _WITHIN, "-"), _JOINED, "$1 $2")
+    marked = F.regexp_replace(F.regexp_replace(joined, _OUTER, ""), r"\s+", " ")
     literal = F.split(F.trim(F.translate(marked, "\x01", "")), " ")
     template = F.regexp_replace(F.regexp_replace(F.regexp_replace(marked, r"\x01\S+", "<name>"), _NUMBER, "<n>"), _UNIT, "<u>")
     return F.split(F.trim(template), " "), literal
 
 
-def windows(texts: DataFrame, *keys: str) -> DataFrame:
+def windows(texts: DataFrame, *keys: str, short: tuple[int, ...] = ()) -> DataFrame:
     """``(*keys, at, h, slots)``: a row for each window under the hash of its literal words, without slots.
 
     A window with placeholders and still enough literal words has a second row under the hash of its template, whose ``slots`` hold
-    the words at the placeholders (null elsewhere).  So other capitals or a list of numbers don't hide a copy.
+    the words at the placeholders (null elsewhere).  So other capitals or a list of numbers don't hide a copy.  ``short`` names smaller
+    sizes whose literal windows are rows as well.
     """
     template, literal = templates(F.col("text"))
     rows = texts.select(*keys, template.alias("t"), literal.alias("l"))
     slot = F.transform("t", lambda w: w.isin("<n>", "<name>", "<u>"))
-    hashed = F.struct(F.transform("t", lambda w: F.xxhash64(w)).alias("t"), F.transform("l", lambda w: F.xxhash64(w)).alias("l"), F.col("l").alias("words"), slot.alias("slot"), F.exists(slot, lambda x: x).alias("any"))
+    values = F.transform(F.arrays_zip(F.col("l").alias("w"), slot.alias("s")), lambda x: F.when(x["s"], x["w"]))
+    any_ = F.exists(slot, lambda x: x)
+    hashed = F.struct(F.transform("t", lambda w: F.xxhash64(w)).alias("t"), F.transform("l", lambda w: F.xxhash64(w)).alias("l"), slot.alias("slot"), F.when(any_, values).alias("values"), any_.alias("any"))
     # Bound to lambda variables, so that the arrays are made once for a row and not once for a window.
     cut = lambda x, i: F.slice(x, i, F.lit(WINDOW))
-    filled = lambda d, i: F.size(F.filter(cut(d["slot"], i), lambda x: x))
-    values = lambda d, i: F.transform(F.arrays_zip(cut(d["words"], i).alias("w"), cut(d["slot"], i).alias("s")), lambda x: F.when(x["s"], x["w"]))
-    entry = lambda d, i, h, v: F.struct(i.alias("at"), h.alias("h"), v.alias("slots"))
+    literals = lambda d, i: F.size(F.array_remove(cut(d["slot"], i), F.lit(True)))
+    entry = lambda i, h, v: F.struct(i.alias("at"), h.alias("h"), v.alias("slots"))
     none = F.lit(None).cast("array<string>")
-    starts = lambda d: F.when(F.size(d["t"]) >= WINDOW, F.sequence(F.lit(1), F.size(d["t"]) - WINDOW + 1)).otherwise(F.array().cast("array<int>"))
-    plain = lambda d: F.transform(starts(d), lambda i: entry(d, i, F.xxhash64(cut(d["t"], i)), none))
-    typed = lambda d, i: entry(d, i, F.xxhash64(cut(d["t"], i)), values(d, i))
-    exact = lambda d, i: entry(d, i, F.xxhash64(cut(d["l"], i)), none)
+    starts = lambda d, k: F.when(F.size(d["t"]) >= k, F.sequence(F.lit(1), F.size(d["t"]) - k + 1)).otherwise(F.array().cast("array<int>"))
+    plain = lambda d, k: F.transform(starts(d, k), lambda i: entry(i, F.xxhash64(F.slice(d["l"], i, F.lit(k))), none))
+    typed = lambda d, i: entry(i, F.xxhash64(cut(d["t"], i)), cut(d["values"], i))
+    exact = lambda d, i: entry(i, F.xxhash64(cut(d["l"], i)), none)
     with_slots = lambda d: F.flatten(
-        F.transform(starts(d), lambda i: F.when(filled(d, i).between(1, WINDOW - LITERAL), F.array(typed(d, i), exact(d, i))).otherwise(F.array(exact(d, i))))
+        F.transform(starts(d, WINDOW), lambda i: F.when(literals(d, i).between(LITERAL, WINDOW - 1), F.array(typed(d, i), exact(d, i))).otherwise(F.array(exact(d, i))))
     )
-    all_ = F.flatten(F.transform(F.array(hashed), lambda d: F.when(d["any"], with_slots(d)).otherwise(plain(d))))
+    full = lambda d: F.when(d["any"], with_slots(d)).otherwise(plain(d, WINDOW))
+    all_ = F.flatten(F.transform(F.array(hashed), lambda d: F.concat(full(d), *[plain(d, k) for k in short])))
     return rows.select(*keys, F.explode(all_).alias("w")).select(*keys, "w.*")
 
 
+def _short_items(items: DataFrame) -> DataFrame:
+    """``(item_id, i_at, h, i_slots, k)``: items of three words up to a window, as one literal window of all ``k`` words."""
+    rows = items.select("item_id", templates(F.col("text"))[1].alias("l")).withColumn("k", F.size("l")).where(F.col("k").between(LITERAL, WINDOW - 1))
+    h = F.transform(F.array("l"), lambda l: F.xxhash64(F.transform(l, lambda w: F.xxhash64(w))))[0]  # noqa: E741
+    return rows.select("item_id", F.lit(1).alias("i_at"), h.alias("h"), F.lit(None).cast("array<string>").alias("i_slots"), "k")
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, run: int = 13) -> DataFrame:
     """``(doc_id, row, item_id, windows, item_windows, through_slots)`` of each document that holds a benchmark item.
 
     It holds the item if it has ``share`` of the item's different windows, or as many as a passage of ``run`` words has.
     ``through_slots`` counts the windows found only with other values in their placeholders.  ``row`` is a hash of the text
-    that tells apart rows with equal ids.  Null texts hold nothing and items shorter than a window match nothing; rows with
-    a null id are reported with it.  Extra columns are ignored; an empty table on either side gives no rows.
+    that tells apart rows with equal ids.  An item of three words up to a window is one literal window; those of one or two words match
+    nothing, as most texts hold them by chance.  Null texts hold nothing; rows with a null id are reported with it.  Extra columns are
+    ignored; an empty table on either side gives no rows.
     """
     items = benchmark.where("item_id is not null").select("item_id", "text").dropDuplicates(["item_id", "text"])
-    index = stored(windows(items, "item_id").select("item_id", F.col("at").alias("i_at"), "h", F.col("slots").alias("i_slots")).distinct(), "benchmark-windows")
+    brief = stored(_short_items(items).distinct(), "benchmark-brief")
+    short = tuple(r["k"] for r in brief.select("k").distinct().orderBy("k").collect())  # at most WINDOW - LITERAL sizes
+    index = windows(items, "item_id").select("item_id", F.col("at").alias("i_at"), "h", F.col("slots").alias("i_slots")).union(brief.drop("k"))
+    index = stored(index.distinct(), "benchmark-windows")
     total = index.groupBy("item_id").agg(F.countDistinct("i_at").alias("item_windows"))
     total = stored(total.withColumn("enough", F.least(F.ceil(F.col("item_windows") * share), F.lit(run - WINDOW + 1))), "benchmark-items")
     small = (lambda df: F.broadcast(df)) if index.count() <= BROADCAST_ROWS else (lambda df: df)
@@ -89,7 +128,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.5, run: int =
     key = ["doc_id", "row", "item_id"]
     texts = docs.select("doc_id", F.xxhash64("text").alias("row"), "text")
     often = index.select("h", "item_id").distinct().groupBy("h").agg(F.count("*").alias("often"))
-    hits = stored(windows(texts, "doc_id", "row").join(small(often.select("h")), "h", "left_semi"), "hits")
+    hits = stored(windows(texts, "doc_id", "row", short=short).join(small(often.select("h")), "h", "left_semi"), "hits")
     place = F.row_number().over(Window.partitionBy("item_id").orderBy("often", "i_at"))
     rarest = index.join(often, "h").groupBy("item_id", "i_at").agg(F.max("often").alias("often")).withColumn("_n", place).join(total, "item_id").where("_n <= item_windows - enough + 1")
     starts = stored(index.join(rarest.select("item_id", "i_at"), ["item_id", "i_at"]).select("h", "item_id").distinct(), "benchmark-starts")

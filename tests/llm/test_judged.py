@@ -10,6 +10,7 @@ import numpy as np
 import pytest
 import regex
 import xxhash
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from docloom.llm import decontaminate, licenses, linededup, quality, similar, simhash, spotsigs
@@ -292,14 +293,33 @@ def test_leaks_of_windows_full_of_placeholders(spark):
 
 def plain_templates(text):
     """Word by word: (template, literal) of each word."""
+    raw = [(m[0], text[: m.start()], text[m.end() :]) for m in re.finditer(r"[^ \t\n\x0b\f\r]+", text or "")]
+    words = []
+    for n, (w, before, after) in enumerate(raw):
+        inside = len(w) > 1 and regex.match(r"\p{Lu}\p{Ll}", w) and regex.search(r"[\p{Ll}\p{N},;:] \Z", before)
+        start = regex.match(r"\p{Lu}\p{Ll}+", w)
+        subject = False
+        if start and start[0] not in decontaminate.STARTERS and after[:1].isspace():
+            verb = raw[n + 1][0] if n + 1 < len(raw) and after[1:2] == raw[n + 1][0][0] and raw[n + 1][2][:1].isspace() else ""
+            subject = w in (start[0] + "'s", start[0] + "’s") or (w == start[0] and bool(verb in decontaminate.VERBS or regex.fullmatch(r"\p{Ll}{2,}(s|ed)", verb)))
+        name, w = bool(inside or subject), w.lower()
+        clean = lambda x: regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", x)
+        tail = regex.match(r"^[^\p{L}\p{N}.,]*(\p{N}[\p{N}.,]*)(\p{L}+)(?![\p{L}\p{N}])", w)
+        parts = [tail[1], w[tail.start(2) :]] if tail and tail[2] in decontaminate.UNITS else [w]
+        for k, part in enumerate(parts):
+            joins = words and not name and clean(part) == part.rstrip(".,;?!") and (
+                (re.split(r"[^\w]", words[-1][2])[-1] in decontaminate.NUMBERS and re.split(r"[^\w]", part)[0] in decontaminate.NUMBERS)
+                or (words[-1][2][-1:].isdigit() and re.split(r"[^\w]", part)[0] in ("hundred", "thousand", "million", "billion", "dozen"))
+            )
+            if joins:
+                words[-1] = (words[-1][0], clean(words[-1][2] + "-" + part), words[-1][2] + "-" + part)
+            elif clean(part):
+                words.append((name and k == 0, clean(part), part))
     out = []
-    for m in re.finditer(r"[^ \t\n\x0b\f\r]+", text or ""):
-        w, before = m[0], text[: m.start()]
-        name = len(w) > 1 and regex.match(r"\p{Lu}\p{Ll}", w) and regex.search(r"[\p{Ll}\p{N},;:] \Z", before)
-        w = regex.sub(r"^[^\p{L}\p{N}]+|[^\p{L}\p{N}]+$", "", w.lower())
-        if w:
-            unit = w in decontaminate.UNITS and out and out[-1][0] == "<n>"
-            out.append(("<name>" if name else "<n>" if regex.fullmatch(r"\p{N}[\p{N}.,:/]*", w) else "<u>" if unit else w, w))
+    for name, w, _ in words:
+        numeric = all(x in decontaminate.NUMBERS or (k == 0 and regex.fullmatch(r"\p{N}[\p{N}.,:/]*", x)) for k, x in enumerate(w.split("-")))
+        unit = w in decontaminate.UNITS and out and out[-1][0] == "<n>"
+        out.append(("<name>" if name else "<n>" if numeric else "<u>" if unit else w, w))
     return out
 
 
@@ -352,6 +372,68 @@ def test_leaks_against_all_places(spark, monkeypatch, rows):
     assert got == want and any(x[2] for x in want.values())
 
 
+#: Questions as sets of exercises have them; the fields are filled anew for a re-parameterised copy.
+ASKED = [
+    "{a} sells {x} eggs per day. {a} eats {y} for breakfast. {a} bakes {z} for friends. How much does {a} make?",
+    "{a} has {x} marbles and gives {y} of them to {b}. How many marbles are left for {a} at the end of the day?",
+    "A farmer named {a} keeps {x} cows and {y} goats in the field behind the house. How many animals does {a} keep in all?",
+    "{a} ran {x} km on Monday and {y} km on Tuesday before the rain began. What is the total distance that {a} covered?",
+    "{a} bought {x} kg of flour for a cake, but the recipe only needs {y} kg. How much flour remains after the cake is baked?",
+    "There are {x} children on the bus when it leaves the school. At the first stop {y} children get off. How many children stay on the bus?",
+    "{a}'s garden is {x} meters long and {y} meters wide. If a fence is built around it, how many meters of fence are needed?",
+    "A train leaves the station at {x} and travels for {y} hours without a stop. When does the train arrive at the next station?",
+    "{a} and {b} share a pizza that is cut into {x} slices. {a} eats {y} slices and {b} eats the rest. How many slices does {b} eat?",
+    "A shop sells pencils in boxes of {x} and pens in boxes of {y}. How many boxes must a teacher buy for a class of {z} pupils?",
+    "{a} reads {x} pages of a book every evening. The book has {z} pages in total. After how many evenings is the book finished?",
+    "In a library {x} shelves hold {y} books each, and {z} more books lie on a table near the door. How many books does the library own?",
+    "{a} earns {x} dollars an hour and works {y} hours in a week. How many dollars does {a} earn in {z} weeks of work?",
+    "{a} filled {x} bottles with water from the well. Each bottle holds {y} liters when it is full. How much water did {a} carry home?",
+]
+
+
+def test_reparameterised_items_are_found(spark):
+    """Recall of copies with other names, numbers in digits or words, and units joined or not; texts about other things stay."""
+    rnd = random.Random(77)
+    names = ["Janet", "Maria", "Tom", "Ann", "Lucy", "Omar", "Wei", "Ines", "Paul", "Nadia"]
+    spelled = ["two", "twelve", "twenty five", "thirty-one", "forty", "3 hundred"]
+
+    def fill(q, numbers):
+        (a, b), (x, y, z) = rnd.sample(names, 2), rnd.sample(numbers, 3)
+        return q.format(a=a, b=b, x=x, y=y, z=z)
+
+    items = [(k, fill(q, [str(n) for n in range(3, 60)])) for k, q in enumerate(ASKED)]
+    docs, planted = [], set()
+    for k, q in enumerate(ASKED):
+        for v in range(6):
+            text = fill(q, spelled if v % 2 else [str(n) for n in range(60, 999)])
+            text = text.replace(" km", "km").replace(" kg", "kg") if v == 4 else text
+            docs.append((len(docs), prose(rnd, 60) + " " + text + " " + prose(rnd, 60)))
+            planted.add((docs[-1][0], k))
+    clean = [(1000 + n, prose(rnd, 150)) for n in range(30)]
+    clean += [(2000, "Janet sells flowers in town. Maria eats alone. How much does Tom know about the 12 songs that he sings?"), (2001, "How many people are left at the end of the day? How much does it cost in all?")]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    found = {(r.doc_id, r.item_id) for r in decontaminate.leaks(documents(spark, docs + clean), bench).collect()}
+    assert len(found & planted) / len(planted) >= 0.9 and found <= planted, len(found & planted) / len(planted)
+    verbatim = documents(spark, [(k, "so " + t.lower() + " and so on") for k, t in items])
+    assert {(r.doc_id, r.item_id) for r in decontaminate.leaks(verbatim, bench).collect()} == {(k, k) for k, _ in items}
+    for doc in docs:
+        for k, item in items:
+            assert (plain_leak(doc[1], item) is not None) == ((doc[0], k) in found), (doc, item)
+
+
+def test_short_items_and_numbers(spark):
+    bench = spark.createDataFrame([(0, "What is 2+2?"), (1, "Name the largest planet."), (2, "Why?"), (3, "yes no")], "item_id bigint, text string")
+    rows = [(1, "Quiz: what is 2+2? Four."), (2, "what is 2+3"), (3, "NAME THE LARGEST PLANET"), (4, "Why? yes no"), (5, "what is"), (6, "name the largest moon and planet"), (7, None), (8, "")]
+    found = decontaminate.leaks(documents(spark, rows), bench).collect()
+    assert sorted((r.doc_id, r.item_id, r.windows, r.item_windows) for r in found) == [(1, 0, 1, 1), (3, 1, 1, 1)]
+    text = "It's cold. The dog runs far. Janet's 5kg bag, (twenty five) or 3 million, 1.5kg and 1990s; Tom and Ann sold two, three apples."
+    got = spark.range(1).select(*decontaminate.templates(F.lit(text))).toDF("a", "b").first()
+    assert got.a == "it's cold the dog runs far <name> <n> <u> bag <n> or <n> <n> <u> and <n> <u> <name> and <name> sold <n> <n> apples".split()
+    assert got.b == "it's cold the dog runs far janet's 5 kg bag twenty-five or 3-million 1.5 kg and 1990 s tom and ann sold two three apples".split()
+    long = "1.1," * 60_000 + " " + "two-" * 60_000 + "two " + "Ab " * 60_000 + "5kg" * 40_000
+    assert decontaminate.leaks(documents(spark, [(1, long), (2, long + " what is 2+2")]), bench).select("doc_id").collect() == [(2,)]
+
+
 def test_no_python_in_decontamination(spark):
     docs, bench = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
     plan = decontaminate.windows(docs, "doc_id").join(bench, docs["doc_id"] == bench["item_id"])._jdf.queryExecution().toString()
