@@ -44,14 +44,16 @@ VERBS = (
     "wrote drew built kept left put cut saw grew flew swam rode sent taught and"
 ).split()
 
-_SUBJECT = rf"(?<!\S)(?=(?!(?:{'|'.join(STARTERS)})(?!\p{{L}}))\p{{Lu}}\p{{Ll}}+(?:['’]s\s|\s(?:\p{{Ll}}{{2,}}(?:s|ed)|{'|'.join(VERBS)})\s))"
-_NAME = rf"(?<=[\p{{Ll}}\p{{N}},;:]\x20)(?=\p{{Lu}}\p{{Ll}})|{_SUBJECT}"
+#: In each pattern the cheapest and rarest test stands first.
+_SUBJECT = rf"(?<!\S)(?=\p{{Lu}}\p{{Ll}})(?!(?:{'|'.join(STARTERS)})(?!\p{{L}}))(?=\p{{Lu}}\p{{Ll}}++(?:['’]s\s|\s(?:\p{{Ll}}{{2,}}(?:s|ed)|{'|'.join(VERBS)})\s))"
+_NAME = rf"(?=\p{{Lu}}\p{{Ll}})(?<=[\p{{Ll}}\p{{N}},;:]\x20)|{_SUBJECT}"
 _OUTER = r"(?<!\S)[^\p{L}\p{N}\x01\s]+|[^\p{L}\p{N}\x01\s]+(?!\S)"
-_SPELLED = "|".join(NUMBERS)
+_SPELLED = "(?=[" + "".join(sorted({w[0] for w in NUMBERS})) + "])(?:" + "|".join(NUMBERS) + ")"
+_LARGE = "hundred|thousand|million|billion|dozen"
 #: Blanks within a number of several words, which becomes one word.
-_WITHIN = rf"(?<=(?<![\p{{L}}\p{{N}}])(?:{_SPELLED}))\s(?=(?:{_SPELLED})(?![\p{{L}}\p{{N}}]))|(?<=\p{{N}})\s(?=(?:hundred|thousand|million|billion|dozen)(?![\p{{L}}\p{{N}}]))"
-_JOINED = rf"(?<![\p{{L}}\p{{N}}.,])(\p{{N}}[\p{{N}}.,]*+)((?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
-_NUMBER = rf"(?<!\S)(?:[-+]?\p{{N}}[\p{{N}}.,:/]*+|{_SPELLED})(?:-(?:{_SPELLED}))*+(?!\S)"
+_WITHIN = rf"\s(?={_SPELLED}(?![\p{{L}}\p{{N}}]))(?:(?<=(?<![\p{{L}}\p{{N}}])(?:{'|'.join(NUMBERS)})\s)|(?<=\p{{N}}\s)(?={_LARGE}))"
+_JOINED = rf"(?=\p{{N}})(?<![\p{{L}}\p{{N}}.,])(\p{{N}}[\p{{N}}.,]*+)((?:{'|'.join(UNITS)})(?![\p{{L}}\p{{N}}]))"
+_NUMBER = rf"(?<!\S)(?:[-+]?\p{{N}}[\p{{N}}.,:/]*+|{_SPELLED})(?:-{_SPELLED})*+(?!\S)"
 _UNIT = rf"(?<=<n>\s)(?:{'|'.join(UNITS)})(?!\S)"
 
 
@@ -80,23 +82,22 @@ def windows(texts: DataFrame, *keys: str, short: tuple[int, ...] = ()) -> DataFr
     template, literal = templates(F.col("text"))
     rows = texts.select(*keys, template.alias("t"), literal.alias("l"))
     slot = F.transform("t", lambda w: w.isin("<n>", "<name>", "<u>"))
-    values = F.transform(F.arrays_zip(F.col("l").alias("w"), slot.alias("s")), lambda x: F.when(x["s"], x["w"]))
-    any_ = F.exists(slot, lambda x: x)
-    hashed = F.struct(F.transform("t", lambda w: F.xxhash64(w)).alias("t"), F.transform("l", lambda w: F.xxhash64(w)).alias("l"), slot.alias("slot"), F.when(any_, values).alias("values"), any_.alias("any"))
+    at = F.filter(F.transform(slot, lambda x, i: F.when(x, i + 1)), lambda i: i.isNotNull())
+    words = lambda name: F.transform(name, lambda w: F.xxhash64(w)).alias(name)
+    hashed = F.struct(words("t"), words("l"), at.alias("at"), F.zip_with("l", slot, lambda w, x: F.when(x, w)).alias("values"))
     # Bound to lambda variables, so that the arrays are made once for a row and not once for a window.
-    cut = lambda x, i: F.slice(x, i, F.lit(WINDOW))
-    literals = lambda d, i: F.size(F.array_remove(cut(d["slot"], i), F.lit(True)))
+    cut = lambda x, i, k=WINDOW: F.slice(x, i, F.lit(k))
     entry = lambda i, h, v: F.struct(i.alias("at"), h.alias("h"), v.alias("slots"))
     none = F.lit(None).cast("array<string>")
     starts = lambda d, k: F.when(F.size(d["t"]) >= k, F.sequence(F.lit(1), F.size(d["t"]) - k + 1)).otherwise(F.array().cast("array<int>"))
-    plain = lambda d, k: F.transform(starts(d, k), lambda i: entry(i, F.xxhash64(F.slice(d["l"], i, F.lit(k))), none))
-    typed = lambda d, i: entry(i, F.xxhash64(cut(d["t"], i)), cut(d["values"], i))
-    exact = lambda d, i: entry(i, F.xxhash64(cut(d["l"], i)), none)
-    with_slots = lambda d: F.flatten(
-        F.transform(starts(d, WINDOW), lambda i: F.when(literals(d, i).between(LITERAL, WINDOW - 1), F.array(typed(d, i), exact(d, i))).otherwise(F.array(exact(d, i))))
-    )
-    full = lambda d: F.when(d["any"], with_slots(d)).otherwise(plain(d, WINDOW))
-    all_ = F.flatten(F.transform(F.array(hashed), lambda d: F.concat(full(d), *[plain(d, k) for k in short])))
+    exact = lambda d, k: F.transform(starts(d, k), lambda i: entry(i, F.xxhash64(cut(d["l"], i, k)), none))
+    # Only windows around a placeholder are looked at again.
+    last = lambda d: F.size(d["t"]) - WINDOW + 1
+    around = lambda d: F.array_distinct(F.flatten(F.transform(d["at"], lambda p: F.sequence(F.greatest(p - WINDOW + 1, F.lit(1)), F.least(p, last(d))))))
+    few = lambda d, i: F.size(F.filter(cut(d["values"], i), lambda w: w.isNotNull())) <= WINDOW - LITERAL
+    typed = lambda d: F.transform(F.filter(around(d), lambda i: few(d, i)), lambda i: entry(i, F.xxhash64(cut(d["t"], i)), cut(d["values"], i)))
+    with_slots = lambda d: F.when((F.size(d["at"]) > 0) & (last(d) >= 1), F.concat(exact(d, WINDOW), typed(d))).otherwise(exact(d, WINDOW))
+    all_ = F.flatten(F.transform(F.array(hashed), lambda d: F.concat(with_slots(d), *[exact(d, k) for k in short]) if short else with_slots(d)))
     return rows.select(*keys, F.explode(all_).alias("w")).select(*keys, "w.*")
 
 
