@@ -53,20 +53,28 @@ def trend(now: Column, before: Column) -> dict[str, Column]:
     return {"pageviews_trend": label, "trend_percentage": F.when(before != 0, F.round(change, 1))}
 
 
-def page_listing(pages: DataFrame, contains: str | None = None, least: int | None = None, most: int | None = None, trend_is: str | None = None, order: str = "pageviews_30d", n: int | None = None) -> DataFrame:
-    """Analytics rows by filters, largest first, nulls last, ties by address."""
+def page_matches(pages: DataFrame, contains: str | None = None, least: int | None = None, most: int | None = None, trend_is: str | None = None) -> DataFrame:
+    """Analytics rows that pass the filters; one that is None passes all."""
     if contains:
         pages = pages.where(F.col("url").ilike(f"%{contains}%"))
     if least is not None:
         pages = pages.where(F.col("pageviews_30d") >= least)
     if most is not None:
         pages = pages.where(F.col("pageviews_30d") <= most)
-    if trend_is:
-        pages = pages.where(F.col("pageviews_trend") == trend_is)
-    pages = pages.orderBy(F.col(order).desc_nulls_last(), "url")
+    return pages.where(F.col("pageviews_trend") == trend_is) if trend_is else pages
+
+
+def page_listing(pages: DataFrame, contains: str | None = None, least: int | None = None, most: int | None = None, trend_is: str | None = None, order: str = "pageviews_30d", n: int | None = None) -> DataFrame:
+    """Analytics rows by filters, largest first, nulls last, ties by address."""
+    pages = page_matches(pages, contains, least, most, trend_is).orderBy(F.col(order).desc_nulls_last(), "url")
     return pages.limit(n) if n else pages
 
 
+def page_count(pages: DataFrame, contains: str | None = None, least: int | None = None, most: int | None = None, trend_is: str | None = None) -> DataFrame:
+    """One row with the number of analytics rows that pass the filters of ``page_listing``; nothing is sorted."""
+    return page_matches(pages, contains, least, most, trend_is).agg(F.count("*").alias("total"))
+
+
 def batch_totals(rows: DataFrame, status: str = "_status") -> DataFrame:
     """Totals of an enrichment: successes, failures, tokens and cost."""
     ok = F.col(status) == "success"

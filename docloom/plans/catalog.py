@@ -176,6 +176,11 @@ def _(spark, sf):
     return analytics.page_listing(_windows(spark, sf), "EXAMPLE.com", 2, None, "increasing", "trend_percentage", 12)
 
 
+@query("analytics_filter_count", f"WITH {_VIEWS60} SELECT count(*) AS total FROM a WHERE url ILIKE '%EXAMPLE.com%' AND pageviews_30d BETWEEN 1 AND 50 AND pageviews_trend = 'decreasing'")
+def _(spark, sf):
+    return analytics.page_count(_windows(spark, sf), "EXAMPLE.com", 1, 50, "decreasing")
+
+
 @query("analytics_sync_totals", f"WITH {_VIEWS60} SELECT count(*) AS total_urls, coalesce(sum(pageviews_60d), 0)::BIGINT AS total_pageviews FROM a")
 def _(spark, sf):
     return _windows(spark, sf).agg(F.count("*").alias("total_urls"), F.coalesce(F.sum("pageviews_60d"), F.lit(0)).alias("total_pageviews"))
