@@ -51,6 +51,35 @@ def within(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str
     return points.withColumn("_bin", _bin(points, point, width)).join(bins, "_bin").where((F.col(point) >= F.col(low)) & (F.col(point) < F.col(high))).drop("_bin")
 
 
+def within_totals(points: DataFrame, ranges: DataFrame, point: str, low: str, high: str, value: str, width: float) -> DataFrame:
+    """``ranges`` that hold points, with ``n``, how many, and ``total``, the sum of their whole-number ``value`` (null: all of them are).
+
+    The pairs are those of ``within``, but none is made: a range has what lies before its high bound less what lies before its low one.
+    Points are added up for each place first, then carried on in order of place within bins of ``width``; what one bin hands on to the
+    next is a row for each bin.  So the work grows with points and ranges, not with their pairs.  Column names must differ.
+    """
+    real = points.schema[point].dataType.simpleString() in ("float", "double")
+    placed = points.where(F.col(point).isNotNull() & ~F.isnan(point)) if real else points.where(F.col(point).isNotNull())
+    parts = {"_n": F.count("*"), "_known": F.count(value), "_sum": F.coalesce(F.sum(F.col(value).cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))}
+    some = placed.groupBy(F.col(point).alias("_x")).agg(*[x.alias(c) for c, x in parts.items()]).withColumn("_side", F.lit(1))
+    spans = ranges.where(F.col(low) < F.col(high))
+    none = [F.lit(0).cast(some.schema[c].dataType).alias(c) for c in parts]
+    bounds = spans.select(F.col(low).alias("_x")).union(spans.select(F.col(high).alias("_x"))).distinct().select("_x", *none, F.lit(0).alias("_side"))
+    both = some.unionByName(bounds)
+    # What is no number comes after all numbers.
+    place = F.when(F.isnan("_x"), (1 << 63) - 1).otherwise(_bin(both, "_x", width)) if both.schema["_x"].dataType.simpleString() in ("float", "double") else _bin(both, "_x", width)
+    both = both.withColumn("_bin", place)
+    order = Window.partitionBy("_bin").orderBy("_x", "_side")
+    found = both.select("_x", "_bin", "_side", *[F.sum(c).over(order.rowsBetween(Window.unboundedPreceding, 0)).alias(c) for c in parts]).where("_side = 0")
+    ahead = Window.orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    before = both.groupBy("_bin").agg(*[F.sum(c).alias(c) for c in parts]).select("_bin", *[F.coalesce(F.sum(c).over(ahead), F.lit(0)).alias(f"{c}_before") for c in parts])
+    found = found.join(before, "_bin").select("_x", *[(F.col(c) + F.col(f"{c}_before")).alias(c) for c in parts])
+    at = lambda end: found.select(F.col("_x").alias(f"_x{end}"), *[F.col(c).alias(f"{c}{end}") for c in parts])
+    held = spans.join(at(0), F.col(low) == F.col("_x0")).join(at(1), F.col(high) == F.col("_x1")).where("_n1 > _n0")
+    total = F.when(F.col("_known1") > F.col("_known0"), F.col("_sum1") - F.col("_sum0")).cast("decimal(38,0)")
+    return held.select(*ranges.columns, (F.col("_n1") - F.col("_n0")).alias("n"), total.alias("total"))
+
+
 def overlapping(a: DataFrame, b: DataFrame, on: dict[str, str], spans: tuple[str, str, str, str], width: float) -> DataFrame:
     """Pairs of rows with equal ``on`` (left column to right column; may be empty) whose half-open spans overlap; each once.
 
