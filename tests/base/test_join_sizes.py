@@ -44,7 +44,7 @@ def test_totals_of_ranges(spark, width):
     assert sorted(map(str, ((a, str(lo), str(hi), n, t if t is None else int(t)) for a, lo, hi, n, t in got.collect()))) == sorted(map(str, expected))
 
 
-@pytest.mark.parametrize("name", ["join_range_binned"])
+@pytest.mark.parametrize("name", ["join_range_binned", "sql_joins"])
 def test_pairs_are_counted_and_not_made(spark, tmp_path, name):
     """800 customers and 600 suppliers in one place: 480,000 pairs."""
     con = duckdb.connect()
