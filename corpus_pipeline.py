@@ -27,6 +27,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Operator 10: of each class of near copies the document with the smallest id stays.
 
+    Fingerprints within four bits give the first links, each checked on whole sets; a prefix filter adds the copies that they miss.
     Texts without words are one class.  Of rows with equal id and text one stays; rows with a null id all stay.
     """
     return near_duplicates_removed(docs)

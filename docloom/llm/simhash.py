@@ -170,13 +170,30 @@ def _address(text):
     return F.unhex(F.md5(F.coalesce(text, F.lit(""))))
 
 
+def fingerprint_pairs(each: DataFrame) -> DataFrame:
+    """Pairs ``(a, b)``, ``a > b``, of the nodes of ``each(node, fp)`` that their fingerprints link at four or fewer differing bits.
+
+    A node pairs with the first of its own fingerprint, and that one with the first of the smallest fingerprint that ``links`` joins to
+    it, so there are at most two pairs for a node, however many meet.
+    """
+    first = stored(each.groupBy("fp").agg(F.min("node").alias("first")), "simhash-distinct")
+    linked = links(first.select("fp")).select(F.greatest("a", "b").alias("fp"), F.least("a", "b").alias("to")).groupBy("fp").agg(F.min("to").alias("to"))
+    across = linked.join(first, "fp").select(F.col("first").alias("x"), F.col("to").alias("fp")).join(first, "fp").select("x", F.col("first").alias("y"))
+    same = each.join(first, "fp").where("node <> first").select("node", "first")
+    pairs = stored(across.union(same).select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct(), "texts-alike")
+    discard(first)
+    release(each.sparkSession)
+    return pairs
+
+
 def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``(id_col, h, class_id, kept)`` for every row: near copies, linked at a Jaccard coefficient of ``similarity`` or more.
 
     The coefficient is over sets of ``shingle``-word shingles of the lowered text (fewer words: one of all); a null text is empty, and
-    texts without words are alike.  Equal texts are one member.  By the prefix filter two sets that are this similar share one of their
-    rarest shingles (as many as a partner may lack, and one), so members meet on those, and whatever meets within the bounds of length
-    and position is verified on whole sets.  First each goes with the member of fewest shingles of its own; then all those on a
+    texts without words are alike.  Equal texts are one member.  Fingerprints within four bits give the first pairs, which are verified
+    on whole sets.  They miss copies with more edits; those meet by the prefix filter: two sets that are this similar share one of their
+    rarest shingles (as many as a partner may lack, and one), and whatever meets within the bounds of length and position, and isn't in
+    one class already, is verified too.  First each goes with the member of fewest shingles of its own; then all those on a
     shingle that aren't in that one's class by now are compared with the members of other classes.  ``h`` is the MD5 of the text, ``class_id`` the smallest id of the
     class, ``kept`` true for its smallest ``(id, h)``.  Rows with a null id are not returned.
     """
@@ -186,14 +203,17 @@ def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_
         for b in batches:
             for lo in range(0, b.num_rows, 512):
                 c = b.slice(lo, 512)
-                yield pa.RecordBatch.from_arrays([c.column(0), pa.array([shingles_of(t.as_py(), shingle) for t in c.column(1)], pa.list_(pa.int64()))], ["h", "s"])
+                of = [t.as_py() for t in c.column(1)]
+                columns = [pa.array([shingles_of(t, shingle) for t in of], pa.list_(pa.int64())), pa.array(np.array([fingerprint(t) for t in of], np.uint64).view(np.int64), pa.int64())]
+                yield pa.RecordBatch.from_arrays([c.column(0), *columns], ["h", "s", "fp"])
 
     texts = rows.groupBy("h").agg(F.first("text").alias("text"))
-    sets = stored(texts.mapInArrow(sketch, "h binary, s array<bigint>").select(F.monotonically_increasing_id().alias("node"), "h", "s"), "texts-sets")
+    sets = stored(texts.mapInArrow(sketch, "h binary, s array<bigint>, fp bigint").select(F.monotonically_increasing_id().alias("node"), "h", "s", "fp"), "texts-sets")
     release(docs.sparkSession)
+    alike = fingerprint_pairs(sets.select("node", "fp"))
     each = stored(rows.select("id", "h").join(sets.select("h", "node").hint("merge"), "h"), "texts-rows")
     index = rarest(sets, similarity)
-    tree = near(index, sets, similarity)
+    tree = near(index, sets, similarity, alike)
     rooted = stored(each.join(tree, "node", "left").select("id", "h", F.coalesce("root", "node").alias("root")), "texts-classes")
     least = rooted.groupBy("root").agg(F.min(F.struct("id", "h")).alias("top"))
     found = rooted.join(least, "root").select(F.col("id").alias(id_col), "h", F.col("top.id").alias("class_id"), (F.struct("id", "h") == F.col("top")).alias("kept"))

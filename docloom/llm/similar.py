@@ -2,7 +2,8 @@
 
 Two sets at a Jaccard coefficient of t share one of their rarest elements, as many as a partner may lack and one more, so sets meet on those.
 Where many meet, each is first held against the one with the fewest elements of its own; only sets that aren't in that one's class
-by then go on to the members of other classes.
+by then go on to the members of other classes.  Pairs that another method has found can be given: they are verified first, and what
+they put in one class isn't compared again.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ COMMON = 32
 BROADCAST_ROWS = 1_000_000
 
 
-def near(index: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def near(index: DataFrame, sets: DataFrame, similarity: float, given: DataFrame | None = None) -> DataFrame:
     """Components ``(node, root)`` of all pairs of ``sets(node, s)`` at a Jaccard coefficient of ``similarity`` or more; ``sets`` is discarded.
 
-    ``index(node, n, own, at, token)`` has the elements on which sets meet.
+    ``index(node, n, own, at, token)`` has the elements on which sets meet; ``given(a, b)``, with ``a > b``, are pairs to verify first.
     """
     meeting, parts = index.select("node").distinct().hint("merge"), []
     for turn in range(TURNS):
@@ -56,21 +57,33 @@ def near(index: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
         release(needed.sparkSession)
         return found
 
+    links, compared = [], []
+    if given is not None:
+        links.append(verified(given, "texts-given-links"))
+        compared.append(given)
     star = index.select("token", member.alias("x")).join(tops.select("token", "y").hint("merge"), "token").where("x.node <> y.node").where(bound(F.col("x"), F.col("y")))
-    pairs = stored(ordered(star), "texts-pairs")
-    first = verified(pairs, "texts-links")
-    # Of two members on a element both have been compared.  Of more, only those that aren't in the leader's class by now go on: the
-    # work is theirs times the group, not the group's square.
-    tree = components(first)
-    lead = tops.where("many > 2").select("token", F.col("y.node").alias("node")).join(tree, "node", "left").select("token", F.coalesce("root", "node").alias("lead"))
-    open_ = index.join(lead.hint("merge"), "token").join(tree, "node", "left")
-    open_ = stored(open_.select("token", "lead", F.struct("node", "n", "at", F.coalesce("root", "node").alias("c")).alias("x")), "texts-open")
+    pairs = ordered(star)
+    if given is not None:
+        tree = components(links[0])
+        of = lambda x: tree.select(F.col("node").alias(x), F.col("root").alias(f"{x}c"))
+        apart = pairs.join(given.hint("merge"), ["a", "b"], "left_anti").join(of("a"), "a", "left").join(of("b"), "b", "left")
+        pairs = apart.where(F.coalesce("ac", "a") != F.coalesce("bc", "b")).select("a", "b")
+    compared.append(stored(pairs, "texts-pairs"))
+    links.append(verified(compared[-1], "texts-links"))
+    # Of two members on a element both have been compared.  Of more, only those that aren't in the leader's class by now go on, from
+    # elements whose members are of several classes: the work is theirs times the group, not the group's square.
+    tree = components(functools.reduce(DataFrame.union, links))
+    classed = index.join(tree, "node", "left").withColumn("c", F.coalesce("root", "node"))
+    lead = F.min(F.struct((F.col("own") / F.col("n")).alias("share"), "node", "c"))["c"].alias("lead")
+    open_ = classed.groupBy("token").agg(F.count("*").alias("many"), lead, F.min("c").alias("low"), F.max("c").alias("high")).where("many > 2 and low < high")
+    open_ = classed.select("token", F.struct("node", "n", "at", "c").alias("x")).join(open_.select("token", "lead").hint("merge"), "token")
+    open_ = stored(open_.select("token", "lead", "x"), "texts-open")
     outside = open_.where("x.c <> lead").select("token", "x")
     cross = outside.join(open_.select("token", "lead", F.col("x").alias("y")).hint("merge"), "token").where("x.c <> y.c and (y.c = lead or x.c < y.c)").where(bound(F.col("x"), F.col("y")))
-    rest = stored(ordered(cross).join(pairs.hint("merge"), ["a", "b"], "left_anti"), "texts-rest")
-    second = verified(rest, "texts-more-links")
-    tree = components(first.union(second))
-    discard(*parts, tops, pairs, first, open_, rest, second)
+    rest = stored(ordered(cross).join(functools.reduce(DataFrame.union, compared).hint("merge"), ["a", "b"], "left_anti"), "texts-rest")
+    links.append(verified(rest, "texts-more-links"))
+    tree = components(functools.reduce(DataFrame.union, links))
+    discard(*parts, tops, *compared, open_, rest, *links)
     return tree
 
 
