@@ -35,14 +35,17 @@ from .common import scratch, stored, width
 #: Blank runs stay with the word that follows: a pre-token never goes on from a word into a blank.
 _CHUNK = re.compile(r"\s*\S+|\s+")
 #: Blanks to Python, but not to the tokenizer's own splitting.
-_ODD = re.compile(r"[\x1c-\x1f]")
+_ODD = "\x1c\x1d\x1e\x1f"
+#: So many new pieces are encoded as one text, with an added token between them.
+JOINED = 512
 
 
 class Encoder:
     """Encodes whole texts with a ``tokenizers`` file, remembering the ids of text pieces that come again.
 
-    ``memo`` bounds the pieces that a worker remembers; it changes memory and speed, never the ids.  Texts with
-    an added token's string, or with control characters on whose class the two splitters differ, are encoded directly.
+    ``memo`` bounds the pieces that a worker remembers; it changes memory and speed, never the ids.  When half of them are new, the older
+    half goes, but for pieces that came again.  Texts with an added token's string, or with control characters on whose class the two
+    splitters differ, are encoded directly.
     """
 
     def __init__(self, path: str, memo: int = 700_000):
@@ -50,9 +53,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo, self.most = {}, memo
-        added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.whole = re.compile("|".join([_ODD.pattern, *map(re.escape, added)]))
+        self.memo, self.older, self.most = {}, {}, memo
+        added = self.tokenizer.get_added_tokens_decoder()
+        self.whole = [*_ODD, *[t.content for t in added.values()]]
+        #: An added token that cuts a text without touching what is around it, and its id.
+        self.between = next(((t.content, i) for i, t in added.items() if t.special and not (t.normalized or t.lstrip or t.rstrip or t.single_word)), None)
         self.pieces = self._splits()
         self.dtype = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
 
@@ -73,16 +78,33 @@ class Encoder:
     def _direct(self, text: str) -> bytes:
         return self._bytes(self.tokenizer.encode(text, add_special_tokens=False).ids)
 
+    def _each(self, pieces: list[str]) -> list[bytes]:
+        """The ids of pieces without an added token's string, each by itself."""
+        if self.between and len(pieces) > 1:
+            token, end = self.between
+            ids = np.asarray(self.tokenizer.encode_batch_fast([token.join(pieces)], add_special_tokens=False)[0].ids, self.dtype)
+            cuts = np.flatnonzero(ids == end)
+            if len(cuts) == len(pieces) - 1:
+                raw, size = ids.tobytes(), self.dtype.itemsize
+                return [raw[a:b] for a, b in zip([0, *((cuts + 1) * size).tolist()], [*(cuts * size).tolist(), len(raw)])]
+        return [np.asarray(e.ids, self.dtype).tobytes() for e in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as bytes of ``dtype``."""
-        split = [None if not self.pieces or self.whole.search(t) else _CHUNK.findall(t) for t in texts]
-        memo = self.memo
-        if len(memo) > self.most:
-            memo.clear()
-        new = list({c for s in split if s for c in s if c not in memo})
-        for e, c in zip(self.tokenizer.encode_batch_fast(new, add_special_tokens=False), new):
-            memo[c] = np.asarray(e.ids, self.dtype).tobytes()
-        return [self._direct(t) if s is None else b"".join([memo[c] for c in s]) for t, s in zip(texts, split)]
+        split = [None if not self.pieces or any(x in t for x in self.whole) else _CHUNK.findall(t) for t in texts]
+        if len(self.memo) > self.most // 2:
+            self.memo, self.older = {}, self.memo
+        memo, older = self.memo, self.older
+        new = {c for s in split if s for c in s if c not in memo}
+        for c in [c for c in new if c in older]:
+            memo[c] = older[c]
+            new.discard(c)
+        new = list(new)
+        for lo in range(0, len(new), JOINED):
+            some = new[lo : lo + JOINED]
+            memo.update(zip(some, self._each(some)))
+        found = memo.__getitem__
+        return [self._direct(t) if s is None else b"".join(map(found, s)) for t, s in zip(texts, split)]
 
 
 @functools.lru_cache(2)
