@@ -37,7 +37,7 @@ _CHUNK = re.compile(r"\s*\S+|\s+")
 #: Blanks to Python, but not to the tokenizer's own splitting.
 _ODD = "\x1c\x1d\x1e\x1f"
 #: So many new pieces are encoded as one text, with an added token between them.
-JOINED = 512
+JOINED = 2048
 
 
 class Encoder:
@@ -48,7 +48,7 @@ class Encoder:
     splitters differ, are encoded directly.
     """
 
-    def __init__(self, path: str, memo: int = 700_000):
+    def __init__(self, path: str, memo: int = 1_400_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
