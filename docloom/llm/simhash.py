@@ -193,8 +193,8 @@ def text_classes(docs: DataFrame, similarity: float = 0.8, shingle: int = 5, id_
     texts without words are alike.  Equal texts are one member.  Fingerprints within four bits give the first pairs, which are verified
     on whole sets.  They miss copies with more edits; those meet by the prefix filter: two sets that are this similar share one of their
     rarest shingles (as many as a partner may lack, and one), and whatever meets within the bounds of length and position, and isn't in
-    one class already, is verified too.  First each goes with the member of fewest shingles of its own; then all those on a
-    shingle that aren't in that one's class by now are compared with the members of other classes.  ``h`` is the MD5 of the text, ``class_id`` the smallest id of the
+    one class already, is verified too.  First each goes with the member of fewest shingles of its own; then members of a
+    shingle that are in different classes by now are compared, if lengths and places let them be similar.  ``h`` is the MD5 of the text, ``class_id`` the smallest id of the
     class, ``kept`` true for its smallest ``(id, h)``.  Rows with a null id are not returned.
     """
     rows = docs.where(F.col(id_col).isNotNull()).select(F.col(id_col).alias("id"), _address(F.col(text_col)).alias("h"), F.col(text_col).alias("text"))
