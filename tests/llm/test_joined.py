@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 from itertools import combinations
+from pathlib import Path
 
 import duckdb
 import numpy as np
@@ -231,3 +232,54 @@ def test_jaccard_empty_tables(spark):
     docs = documents(spark, [(1, None), (2, "")])
     assert jaccard_groups(docs.where("doc_id > 2")).collect() == []
     assert sorted(map(tuple, jaccard_groups(docs).collect())) == [(1, 0, 1), (2, 0, 2)]
+
+
+def watched(monkeypatch):
+    """What the Jaccard join stores: (name, rows, bytes) of each frame."""
+    found, keep = [], jaccardjoin.stored
+
+    def stored(df, name):
+        out = keep(df, name)
+        found.append((name, out.count(), sum(p.stat().st_size for p in Path(out._stored_at.removeprefix("file://")).glob("*.parquet"))))
+        return out
+
+    monkeypatch.setattr(jaccardjoin, "stored", stored)
+    return found
+
+
+def test_jaccard_stores_no_sets_of_rows_without_pairs(spark, monkeypatch):
+    """Hashes of whole sets don't compress: they take 8 bytes a shingle."""
+    rnd = random.Random(5)
+    rows = [(i, " ".join(f"{rnd.getrandbits(30):x}" for _ in range(2000))) for i in range(40)]
+    kept = watched(monkeypatch)
+    got = jaccard_groups(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == [(i, 1997, i) for i, _ in rows]
+    assert sum(size for _, _, size in kept) < 8 * 40 * 1997
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_long_texts_with_a_shared_half_are_told_apart_without_their_sets(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(jaccardjoin, "BROADCAST_ROWS", broadcast)
+    rnd = random.Random(6)
+    passage = lambda: [f"{rnd.getrandbits(30):x}" for _ in range(5000)]
+    shared, u, v = passage(), passage(), passage()
+    rows = [(1, shared + u), (2, shared + v), *((10 + i, u + passage()) for i in range(4)), *((20 + i, v + passage()) for i in range(4))]
+    # Sizes on both sides of a power of two: parities of 8192 buckets meet ones of 4096.
+    near = passage() + passage()[:3300]
+    rows += [(30, near[:8100]), (31, near)]
+    rows = [(i, " ".join(x)) for i, x in rows]
+    kept = watched(monkeypatch)
+    got = jaccard_groups(documents(spark, rows)).collect()
+    assert sorted(map(tuple, got)) == sorted(brute_groups(rows, 85)) and (31, 8297, 30) in map(tuple, got)
+    assert sum(n for name, n, _ in kept if name == "join-pairs") > 1 == sum(n for name, n, _ in kept if name == "join-open")
+
+
+def test_parities_never_exceed_the_difference(spark):
+    rnd = np.random.default_rng(8)
+    every = rnd.integers(-(1 << 63), (1 << 63) - 1, 30_000)
+    for m, n in ((1, 2), (2040, 2060), (4090, 4110), (100, 20_000), (20_000, 100), (9000, 9000)):
+        a, b = np.unique(every[:m]), np.unique(every[m // 2 : m // 2 + n])
+        p, q = (jaccardjoin.parities(x).tolist() for x in (a, b))
+        df = spark.createDataFrame([(p, q)], "p array<bigint>, q array<bigint>")
+        found, back = df.select(jaccardjoin.apart(F.col("p"), F.col("q")), jaccardjoin.apart(F.col("q"), F.col("p"))).first()
+        assert found == back and 0 < found <= len(np.setxor1d(a, b)) and (found - len(np.setxor1d(a, b))) % 2 == 0
