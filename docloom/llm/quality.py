@@ -23,6 +23,9 @@ BITS = 18
 _WORD = re.compile(r"[^\W_]+")
 _MARKS = re.compile(r"[^\w\s]{2,}")
 _SHAPES = 20
+#: numpy counts and sums over 64-bit copies of what it is given, so features go there in slices, and rows in blocks.
+_SLICE = 1 << 20
+_ROWS = 2048
 
 
 def features(text: str) -> np.ndarray:
@@ -62,12 +65,20 @@ class OrdinalModel:
         return 1 / (1 + np.exp(np.clip(self.thresholds - float(self.weights[found].sum()), -50, 50)))
 
 
+def counted(flat: np.ndarray) -> np.ndarray:
+    """How often each hashed feature is in ``flat``."""
+    out = np.zeros(1 << BITS, np.int64)
+    for at in range(0, len(flat), _SLICE):
+        out += np.bincount(flat[at : at + _SLICE], minlength=1 << BITS)
+    return out
+
+
 def contrasts(flat: np.ndarray, sizes: np.ndarray, grades: np.ndarray) -> np.ndarray:
     """For each hashed feature the largest difference, over all cuts between grades, of its smoothed log frequencies below and
     above the cut."""
-    out, of = np.zeros(1 << BITS), np.repeat(grades, sizes)
+    out, of = np.zeros(1 << BITS), np.repeat(grades.astype(np.min_scalar_type(int(grades.max()))), sizes)
     for cut in range(1, int(grades.max()) + 1):
-        low, high = (np.log((np.bincount(flat[side], minlength=1 << BITS) + 1) / (n + 2)) for side, n in ((of < cut, (grades < cut).sum()), (of >= cut, (grades >= cut).sum())))
+        low, high = (np.log((counted(flat[side]) + 1) / (n + 2)) for side, n in ((of < cut, (grades < cut).sum()), (of >= cut, (grades >= cut).sum())))
         out = np.maximum(out, np.abs(low - high))
     return out
 
@@ -77,23 +88,28 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, least: int
 
     A feature's value is its contrast between grades instead of 1, so that the prior holds words that tell grades apart
     less than words that don't; the model's weights include it.  Features in fewer than ``least`` rows, or than one of 600, weigh nothing.  Thresholds stay in order, as gaps are positive by construction.
+
+    Rows are gone through in blocks, so that besides ``rows`` the driver holds little more than two 32-bit numbers for each feature of a row.
     """
     k = int(grades.max()) + 1
     flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
-    often = np.bincount(flat, minlength=1 << BITS)
-    used = np.nonzero(often >= max(least, len(rows) / 600))[0]
+    used = np.nonzero(counted(flat) >= max(least, len(rows) / 600))[0]
     decay, scale = prior / len(rows), contrasts(flat, sizes, grades)[used]
-    compact = np.full(1 << BITS, -1)
-    compact[used] = np.arange(len(used))
-    row = np.repeat(np.arange(len(rows)), sizes)
-    col = compact[flat]
-    row, col = row[col >= 0], col[col >= 0]
+    del flat
+    every = np.arange(len(used), dtype=np.int32)
+    compact = np.full(1 << BITS, -1, np.int32)
+    compact[used] = every
+    blocks = []
+    for lo in range(0, len(rows), _ROWS):
+        n, col = sizes[lo : lo + _ROWS], compact[np.concatenate(rows[lo : lo + _ROWS])]
+        blocks.append((lo, len(n), np.repeat(np.arange(len(n), dtype=np.int32), n)[col >= 0], col[col >= 0]))
     each = np.full(len(rows), 1 / len(rows))
     w, first, gaps = np.zeros(len(used)), np.zeros(1), np.zeros(k - 2)
     moments = [[np.zeros_like(p), np.zeros_like(p)] for p in (w, first, gaps)]
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
     for step in range(1, steps + 1):
-        eta = np.bincount(row, (w * scale)[col], len(rows))
+        scaled = w * scale
+        eta = np.concatenate([np.bincount(row, scaled[col], n) for _, n, row, col in blocks])
         t = first + np.concatenate([[0], np.cumsum(np.exp(gaps))])
         # P(y = g) = S(eta - t[g-1]) - S(eta - t[g]), with S at the ends 1 and 0
         s = np.concatenate([np.ones((len(rows), 1)), sigmoid(eta[:, None] - t[None]), np.zeros((len(rows), 1))], axis=1)
@@ -105,7 +121,10 @@ def fit(rows: list[np.ndarray], grades: np.ndarray, steps: int = 200, least: int
         for j in range(k - 1):
             g_t[j] = (each / p * np.where(grades == j + 1, d[:, j + 1], np.where(grades == j, -d[:, j + 1], 0))).sum()
         tail = np.cumsum(g_t[::-1])[::-1]
-        grads = (np.bincount(col, g_eta[row], len(used)) * scale + decay * w, tail[:1], tail[1:] * np.exp(gaps))
+        g_w = np.zeros(len(used))
+        for lo, _, row, col in blocks:  # the sums so far come first, so that blocks don't change the order of additions
+            g_w = np.bincount(np.concatenate([every, col]), np.concatenate([g_w, g_eta[lo + row]]), len(used))
+        grads = (g_w * scale + decay * w, tail[:1], tail[1:] * np.exp(gaps))
         for x, g, m in zip((w, first, gaps), grads, moments):
             m[0] = 0.9 * m[0] + 0.1 * g
             m[1] = 0.99 * m[1] + 0.01 * g * g
@@ -139,7 +158,7 @@ def train(docs: DataFrame, rated: DataFrame, sample: int = 12_000, seed: int = S
     texts = docs.select(F.col("doc_id"), "text").join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows of two numbers
     texts = texts.groupBy("doc_id", "grade").agg(F.min_by("text", F.xxhash64("text")).alias("text"))
     rows = texts.select("grade", "text").mapInArrow(run, "grade int, found array<int>").toArrow()
-    found = [np.asarray(x, np.int32) for x in rows.column("found").to_pylist()]
+    found = [x.values.to_numpy() for x in rows.column("found")]  # views of what was received
     known = np.asarray(rows.column("grade").to_pylist(), np.int64)
     order = sorted((i for i in range(len(found)) if len(found[i])), key=lambda i: (int(known[i]), found[i].tobytes()))
     if len({int(known[i]) for i in order}) < 2:

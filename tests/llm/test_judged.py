@@ -4,6 +4,7 @@ import hashlib
 import random
 import re
 import textwrap
+import tracemalloc
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -482,6 +483,65 @@ def test_quality_keeps_what_a_plain_loop_keeps(spark):
     assert kept and Counter(r.doc_id for r in quality.selected(docs, labels).collect()) == kept
 
 
+def plain_fit(rows, grades, steps, least=5, prior=3.6):
+    """All features of all rows at once, two grades: what ``fit`` sums up in blocks."""
+    size = 1 << quality.BITS
+    flat, sizes = np.concatenate(rows), np.array([len(r) for r in rows])
+    row = np.repeat(np.arange(len(rows)), sizes)
+    used = np.nonzero(np.bincount(flat, minlength=size) >= max(least, len(rows) / 600))[0]
+    low, high = (np.log((np.bincount(flat[grades[row] == g], minlength=size) + 1) / ((grades == g).sum() + 2)) for g in (0, 1))
+    scale, compact = np.abs(low - high)[used], np.full(size, -1)
+    compact[used] = np.arange(len(used))
+    col = compact[flat]
+    row, col = row[col >= 0], col[col >= 0]
+    sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -50, 50)))
+    w, first, m, v = np.zeros(len(used)), 0.0, [0, 0], [0, 0]
+    for step in range(1, steps + 1):
+        p = sigmoid(np.bincount(row, (w * scale)[col], len(rows)) - first)
+        g = (p - grades) / len(rows)
+        grads = np.bincount(col, g[row], len(used)) * scale + prior / len(rows) * w, -g.sum()
+        m, v = [0.9 * a + 0.1 * b for a, b in zip(m, grads)], [0.99 * a + 0.01 * b * b for a, b in zip(v, grads)]
+        w, first = (x - 0.05 * (a / (1 - 0.9**step)) / (np.sqrt(b / (1 - 0.99**step)) + 1e-9) for x, a, b in zip((w, first), m, v))
+    full = np.zeros(size)
+    full[used] = w * scale
+    return full, first
+
+
+def test_fit_holds_little_more_than_its_rows_and_sums_up_all_of_them(monkeypatch):
+    rnd = np.random.default_rng(5)
+    rows = [np.unique(rnd.integers(0, 20_000, 1500, np.int32)) for _ in range(4000)]
+    grade = rnd.integers(0, 2, len(rows))
+    tracemalloc.start()
+    quality.fit(rows, grade, steps=2)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert most < 5 * sum(r.nbytes for r in rows)
+    some = slice(0, 300)
+    monkeypatch.setattr(quality, "_SLICE", 1000)
+    monkeypatch.setattr(quality, "_ROWS", 64)
+    model, (weights, first) = quality.fit(rows[some], grade[some], steps=20), plain_fit(rows[some], grade[some], steps=20)
+    assert np.count_nonzero(weights) > 500 and np.allclose(model.weights, weights, atol=1e-6) and np.allclose(model.thresholds, first)
+
+
+def test_training_reads_features_without_an_object_for_each(spark):
+    rnd = random.Random(6)
+    texts = [(i, prose(rnd, 3000)) for i in range(200)]
+    rated = spark.createDataFrame([(i, i % 2) for i, _ in texts], "doc_id bigint, grade int")
+    docs, most = documents(spark, texts), {}
+
+    def fit(rows, grades):
+        most["fit"] = tracemalloc.get_traced_memory()[1]
+        return rows
+
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(quality, "fit", fit)
+        tracemalloc.start()
+        rows = quality.train(docs, rated)
+        tracemalloc.stop()
+    assert sorted(map(tuple, rows)) == sorted(tuple(quality.features(t)) for _, t in texts)
+    assert most["fit"] < 4 * sum(r.nbytes for r in rows)
+
+
 def test_fit_orders_three_grades():
     rnd = np.random.default_rng(0)
     grade = rnd.integers(0, 3, 600)
